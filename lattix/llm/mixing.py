@@ -113,10 +113,11 @@ def pareto_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: flo
         )
 
     first = checkpoint(cut(ranked.where("z is not null"), need, "b1"))
-    inner = ranked.where("z is not null").join(first, "src").where("b1 = cut_b1")
+    # joined on source and bin, so that a large source's rows do not meet in one task
+    inner = ranked.where("z is not null").join(first.withColumnRenamed("cut_b1", "b1"), ["src", "b1"])
     second = checkpoint(cut(inner.drop("need"), first.select("src", "need"), "b2"))
     last = (
-        inner.drop("need").join(second, "src").where("b2 = cut_b2")
+        inner.drop("need").join(second.withColumnRenamed("cut_b2", "b2"), ["src", "b2"])
         .withColumn("run", F.sum("size").over(W.partitionBy("src").orderBy("z", "size", "doc_id").rowsBetween(W.unboundedPreceding, -1)))
         .where(F.coalesce("run", F.lit(0)) + F.col("size") / 2 <= F.col("need"))
         .groupBy("src").agg(F.max(F.struct("z", "size", "doc_id")).alias("last"))
