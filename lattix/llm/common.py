@@ -17,9 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 19
+BLOOM_BITS = 23
 #: What separates words: space and the control characters 9 to 13.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: What separates words where punctuation is not part of them: every ASCII character but letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 _B = 0x9E3779B97F4A7C15
@@ -89,13 +92,13 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and document numbers of the words of a chunk; no word crosses documents."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and document numbers of the words of a chunk, the runs of bytes not in gaps; no word crosses documents."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, dtype=np.int64)
         return z, z, z
-    word = ~SPACE[data]
+    word = ~gaps[data]
     first = np.zeros(n + 1, dtype=bool)
     first[offsets[:-1]] = True
     before = np.empty(n, dtype=bool)
@@ -151,6 +154,55 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def bloom(hashes: np.ndarray, bits: int = BLOOM_BITS) -> np.ndarray:
+    """A filter of 2 ** bits bits with two bits for each hash."""
+    out = np.zeros(1 << bits, dtype=bool)
+    out[(hashes >> np.uint64(64 - bits)).astype(np.int64)] = True
+    out[(hashes & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
+    return np.packbits(out)
+
+
+def passes(packed: np.ndarray, hashes: np.ndarray, bits: int = BLOOM_BITS) -> np.ndarray:
+    a = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    ok = (packed[a >> 3] >> (7 - (a & 7)).astype(np.uint8)) & 1
+    at = np.flatnonzero(ok)
+    b = (hashes[at] & np.uint64((1 << bits) - 1)).astype(np.int64)
+    out = np.zeros(len(hashes), dtype=bool)
+    out[at[((packed[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1) > 0]] = True
+    return out
+
+
+def bloom_of(df: DataFrame, hashes) -> np.ndarray:
+    """The filter of all hashes that ``hashes`` yields from df's batches; 1 MB whatever the table's size."""
+
+    def filters(batches):
+        all_ = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
+        for h in hashes(batches):
+            all_ |= bloom(h)
+        words = all_.view(np.int64)
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(words[at], pa.int64())], ["at", "v"])
+
+    out = np.zeros((1 << BLOOM_BITS) // 64, np.int64)
+    for r in df.mapInArrow(filters, "at int, v long").groupBy("at").agg(F.bit_or("v").alias("v")).collect():
+        out[r["at"]] = r["v"]
+    return out.view(np.uint8)
+
+
+def bloom_of_ids(df: DataFrame, column: str) -> np.ndarray:
+    """The filter of a column of ids, for may_hold()."""
+
+    def hashes(batches):
+        for b in batches:
+            yield mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+
+    return bloom_of(df.select(F.col(column).cast("long")).where(f"{column} is not null"), hashes)
+
+
+def may_hold(packed: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return passes(packed, mix(ids.astype(np.int64).view(np.uint64)))
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what the given ones connect, one fewer than each component's nodes."""
     parent: dict[int, int] = {}
