@@ -58,19 +58,19 @@ def train(rows: list[np.ndarray], y: np.ndarray, keep: int = 40_000, least: floa
     P, Q = float((y == 1).sum()), float((y == 0).sum())
     if not P or not Q:
         return w, float(np.log((P + 1) / (Q + 1)))
-    flat, size = np.concatenate(rows), np.array([len(r) for r in rows])
-    doc = np.repeat(np.arange(len(rows)), size)
-    p = np.bincount(flat[y[doc] == 1], minlength=1 << BITS)
-    q = np.bincount(flat[y[doc] == 0], minlength=1 << BITS)
+    p, q = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+    for row, label in zip(rows, y.tolist(), strict=True):
+        (p if label else q)[row] += 1  # a row holds each feature once
     r = np.log((p + 1) / (P + 2)) - np.log((q + 1) / (Q + 2))
     weight = np.abs(r) * np.sqrt(p + q)
     weight[weight < least] = 0
     chosen = np.argsort(-weight, kind="stable")[:keep]
     chosen = chosen[weight[chosen] > 0]
-    number = np.full(1 << BITS, -1)
-    number[chosen] = np.arange(len(chosen))
-    f = number[flat]
-    f, doc = f[f >= 0], doc[f >= 0]
+    number = np.full(1 << BITS, -1, np.int32)
+    number[chosen] = np.arange(len(chosen), dtype=np.int32)
+    own = [(k := number[row])[k >= 0] for row in rows]
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(k) for k in own])
+    f = np.concatenate(own)
     scale = r[chosen] / np.sqrt((r[chosen] ** 2).mean() if len(chosen) else 1.0)
     x = scale[f]
     theta, b = np.zeros(len(chosen)), np.log(P / Q)
@@ -103,8 +103,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([g.astype(np.uint32).tobytes() for g in got], pa.binary())], ["y", "f"])
 
     def solve(table: pa.Table) -> pa.Table:
-        y = table.column("y").to_numpy()
-        w, b = train([np.frombuffer(x, dtype=np.uint32) for x in table.column("f").to_pylist()], y)
+        packed = table.column("f").combine_chunks()
+        at, raw = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset :], packed.buffers()[2]
+        rows = [np.frombuffer(raw, np.uint32, (at[k + 1] - at[k]) // 4, at[k]) for k in range(len(packed))]
+        w, b = train(rows, table.column("y").to_numpy())
         at = np.flatnonzero(w).astype(np.int32)
         return pa.table({"bias": pa.array([b], pa.float64()), "at": pa.array([at.tobytes()], pa.binary()), "w": pa.array([w[at].tobytes()], pa.binary())})
 
