@@ -91,7 +91,8 @@ def anchored(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tup
         for store, x in zip(got, (doc[first], start[first], ends - first + 1, place[first] + at, low[first] >> np.uint64(_PLACE)), strict=True):
             store.append(x)
     empty = np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) if x else (empty if k < 4 else empty.astype(np.uint64)) for k, x in enumerate(got))
+    doc, first, count, place, h = (np.concatenate(x) if x else (empty if k < 4 else empty.astype(np.uint64)) for k, x in enumerate(got))
+    return doc, first, count, place, mix(h) >> np.uint64(_PLACE)  # smallest hashes are small: mixed again, they fill their range evenly
 
 
 def _group(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -102,6 +103,16 @@ def _group(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(), data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _pack(x: np.ndarray | bytes) -> bytes:
+    """Compressed bytes with their length in front."""
+    raw = x if isinstance(x, bytes) else _bin(x)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(x: bytes) -> bytes:
+    return pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _buckets(hashes: np.ndarray, n: int) -> np.ndarray:
     """The bucket of sorted 40-bit hashes: even steps of their range."""
     return (hashes * np.uint64(n)) >> np.uint64(40)
@@ -236,8 +247,8 @@ def front_code(keys: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
 
 def sorted_runs(c: Contexts, g: int, n: int) -> pa.Table:
     low = c.smallest()
-    lead = np.array([int.from_bytes(k[:4], "big") for k, _, _ in c.keys], dtype=np.uint64)
-    b = ((lead * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+    first = np.array([int.from_bytes(k[:4], "big") for k, _, _ in c.keys], dtype=np.uint64)
+    b = ((first * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
     cut = np.searchsorted(b, np.arange(n + 1))
     rows: dict[str, list] = {x: [] for x in ("b", "g", "base", "shared", "sizes", "rest", "left", "count", "low")}
     for k in range(n):
@@ -246,8 +257,10 @@ def sorted_runs(c: Contexts, g: int, n: int) -> pa.Table:
             continue
         own = c.keys[lo:hi]
         shared, rest = front_code([x[0] for x in own])
-        for name, value in (("b", k), ("g", g), ("base", lo), ("shared", _bin(shared)), ("sizes", _bin(np.array([len(r) for r in rest], np.uint32))), ("rest", b"".join(rest)),
-                            ("left", _bin(np.array([x[1] for x in own], np.uint16))), ("count", _bin(np.array([x[2] for x in own], np.uint16))), ("low", _bin(np.array(low[lo:hi], np.int64)))):
+        left, count = np.array([x[1] for x in own], np.uint16), np.array([x[2] for x in own], np.uint16)
+        sizes = np.array([len(r) for r in rest], np.uint32)
+        packed = {"shared": shared, "sizes": sizes, "rest": b"".join(rest), "left": left, "count": count, "low": np.array(low[lo:hi], np.int64)}
+        for name, value in ({"b": k, "g": g, "base": lo} | {n: _pack(x) for n, x in packed.items()}).items():
             rows[name].append(value)
     kinds = {"b": pa.int32(), "g": pa.int32(), "base": pa.int32()}
     return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in rows.items()})
@@ -318,7 +331,7 @@ def merge(runs: list[Iterator[tuple[bytes, int]]]) -> Iterator[tuple[int, bytes,
 
 def resolve(bucket: pa.Table) -> pa.Table:
     """Merges a bucket's runs and answers each group: (context, from window, to window, smallest id) where smaller than its own."""
-    rows = bucket.to_pylist()
+    rows = [{k: _unpack(v) if isinstance(v, bytes) else v for k, v in r.items()} for r in bucket.to_pylist()]
     meta = [(np.frombuffer(r["left"], np.uint16).tolist(), np.frombuffer(r["count"], np.uint16).tolist(), np.frombuffer(r["low"], np.int64).tolist()) for r in rows]
     at = [0] * len(rows)
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in rows]
