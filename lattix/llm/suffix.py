@@ -18,9 +18,10 @@ context: what is left of the anchor and what follows it.
 4. Each group covers the windows of its documents and digests the bytes that remain.
 
 The order of suffixes starts with the hash of the anchor, so a bucket's bounds are known without
-a sample and buckets are even. An anchor that more than ``HOT`` groups have is cut into its windows,
-each a suffix of its own dealt by its own hash, so a passage in a third of the documents does
-not meet in one bucket, however its surroundings differ.
+a sample and buckets are even. Equal contexts are one row for each group. An anchor with
+VARIED or more different surroundings in some group is cut into its windows, each a suffix of its
+own dealt by its own hash, so a passage in a third of the documents does not meet in one bucket,
+however its surroundings differ.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ from lattix.llm.common import mix, parts, text_buffer
 
 LENGTH = 50
 K = 20
-HOT = 48
+VARIED = 64
 SLICE = 1 << 20
 _PLACE = 24  # bits of a packed key that hold the position
 _HASH = ~np.uint64((1 << _PLACE) - 1)
@@ -113,6 +115,19 @@ def _unpack(x: bytes) -> bytes:
     return pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True)
 
 
+def _pack_hashes(h: np.ndarray) -> bytes:
+    """Sorted 40-bit hashes as the byte planes of their differences, compressed."""
+    step = np.diff(h, prepend=np.uint64(0))
+    return _pack(np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8)[:, :5].T))
+
+
+def _unpack_hashes(x: bytes) -> np.ndarray:
+    planes = np.frombuffer(_unpack(x), np.uint8).reshape(5, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :5] = planes.T
+    return np.cumsum(out.reshape(-1).view(np.uint64), dtype=np.uint64)
+
+
 def _buckets(hashes: np.ndarray, n: int) -> np.ndarray:
     """The bucket of sorted 40-bit hashes: even steps of their range."""
     return (hashes * np.uint64(n)) >> np.uint64(40)
@@ -122,53 +137,60 @@ def _bin(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
-def shared_anchors(group: pa.Table, n: int) -> Iterator[pa.Table]:
+def _varied(h: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Of hashes in text order, those that have VARIED or more different neighbours here."""
+    ranked = h[order]
+    starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1]))) if len(h) else np.zeros(0, np.int64)
+    size = np.diff(np.append(starts, len(h)))
+    often = np.flatnonzero(size >= VARIED)
+    around = mix(np.roll(h, 1) * np.uint64(3) + np.roll(h, -1)) if len(often) else h
+    return np.array([ranked[starts[k]] for k in often if len(np.unique(around[order[starts[k] : starts[k] + size[k]]])) >= VARIED], dtype=np.uint64)
+
+
+def shared_anchors(group: pa.Table, n: int) -> pa.Table:
+    """A row for each bucket: the group's different anchors in it, which of them several documents have, and which vary."""
     ids, valid, data, offsets = _group(group)
     doc, _, _, _, h = anchored(data, offsets)
     doc, h = doc[valid[doc]], h[valid[doc]]
-    order = np.lexsort((ids[doc], h))
+    order = np.argsort(h, kind="stable")
+    varied = _varied(h, order)
     h, own = h[order], ids[doc][order]
-    first = np.ones(len(h), dtype=bool)
-    first[1:] = h[1:] != h[:-1]
-    # shared already here: the hash's smallest and largest id differ
-    starts = np.flatnonzero(first)
-    ends = np.append(starts[1:], len(h)) - 1
-    twice = own[starts] != own[ends] if len(h) else np.zeros(0, bool)
+    starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+    # shared already here: smallest and largest id differ
+    twice = np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts) if len(h) else np.zeros(0, bool)
     h = h[starts]
-    b = _buckets(h, n).astype(np.int64)
-    cut = np.searchsorted(b, np.arange(n + 1))
+    many = np.isin(h, varied)
+    cut = np.searchsorted(_buckets(h, n).astype(np.int64), np.arange(n + 1))
     some = [k for k in range(n) if cut[k + 1] > cut[k]]
     g = group.column("g")[0].as_py()
-    low = [h[cut[k] : cut[k + 1]] for k in some]  # five bytes each: the rest is zero
+    of = lambda f: pa.array([f(slice(cut[k], cut[k + 1])) for k in some], pa.binary())
     return pa.table({
-        "b": pa.array(some, pa.int32()), "g": pa.array([g] * len(some), pa.int32()),
-        "h": pa.array([_bin(x.view(np.uint8).reshape(-1, 8)[:, :5]) for x in low], pa.binary()),
-        "twice": pa.array([_bin(np.packbits(twice[cut[k] : cut[k + 1]])) for k in some], pa.binary()),
+        "b": pa.array(some, pa.int32()), "g": pa.array([g] * len(some), pa.int32()), "h": of(lambda k: _pack_hashes(h[k])),
+        "twice": of(lambda k: _bin(np.packbits(twice[k]))), "many": of(lambda k: _bin(np.packbits(many[k])) if many[k].any() else b""),
     })
 
 
-def _wide(five: bytes) -> np.ndarray:
-    out = np.zeros((len(five) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(five, np.uint8).reshape(-1, 5)
-    return out.reshape(-1).view(np.uint64)
-
-
 def answer(bucket: pa.Table) -> pa.Table:
-    """For each group, which of its hashes are shared (1) and held by more than HOT groups (2), one byte each."""
-    rows = [_wide(x) for x in bucket.column("h").to_pylist()]
+    """For each group, which of its hashes are shared (1), and which of these vary in some group (2)."""
+    rows = [_unpack_hashes(x) for x in bucket.column("h").to_pylist()]
     sizes = [len(x) for x in rows]
-    twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=s) for x, s in zip(bucket.column("twice").to_pylist(), sizes, strict=True)]).astype(bool)
-    _, where, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    some = np.zeros(len(count), bool)
-    some[where[twice]] = True
-    mark = np.where(count > HOT, 2, np.where((count > 1) | some, 1, 0)).astype(np.uint8)[where]
+
+    def bits(column: str) -> np.ndarray:
+        got = [np.unpackbits(np.frombuffer(x, np.uint8), count=s) if x else np.zeros(s, np.uint8) for x, s in zip(bucket.column(column).to_pylist(), sizes, strict=True)]
+        return np.concatenate(got).astype(bool)
+
+    values, where, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    kind = (count > 1).astype(np.uint8)
+    kind[where[bits("twice")]] = 1
+    many = np.zeros(len(values), bool)
+    many[where[bits("many")]] = True
+    mark = np.where(many & (kind > 0), 2, kind).astype(np.uint8)[where]
     cut = np.concatenate(([0], np.cumsum(sizes)))
-    hs, ms = [], []
-    for k, h in enumerate(rows):
-        m = mark[cut[k] : cut[k + 1]]
-        hs.append(_bin(h[m > 0]))
-        ms.append(_bin(m[m > 0]))
-    return pa.table({"g": bucket.column("g"), "kind": pa.array([0] * len(rows), pa.int32()), "x": pa.array(hs, pa.binary()), "y": pa.array(ms, pa.binary())})
+    own = [mark[cut[k] : cut[k + 1]] for k in range(len(rows))]
+    return pa.table({
+        "g": bucket.column("g"), "kind": pa.array([0] * len(rows), pa.int32()),
+        "x": pa.array([_pack_hashes(h[m > 0]) for h, m in zip(rows, own, strict=True)], pa.binary()), "y": pa.array([_pack(m[m > 0]) for m in own], pa.binary()),
+    })
 
 
 class Contexts:
@@ -179,39 +201,39 @@ class Contexts:
     """
 
     def __init__(self, group: pa.Table, replies: list[tuple[bytes, bytes]]) -> None:
-        self.ids, self.valid, self.data, self.offsets = _group(group)
-        self.held: list[list[tuple[int, int]]] = []  # (document, first window) of each context
-        self.keys: list[tuple[bytes, int, int]] = []
-        known = [(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint8)) for x, y in replies if len(x)]
-        if not known:
-            return
-        h, mark = np.concatenate([x for x, _ in known]), np.concatenate([y for _, y in known])
+        ids, valid, data, offsets = _group(group)
+        known = [(_unpack_hashes(x), np.frombuffer(_unpack(y), np.uint8)) for x, y in replies]
+        h, mark = (np.concatenate([k[i] for k in known] or [np.zeros(0, np.uint64)]) for i in (0, 1))
         order = np.argsort(h)
         h, mark = h[order], mark[order]
-        doc, start, count, place, own = anchored(self.data, self.offsets)
-        at = np.minimum(np.searchsorted(h, own), len(h) - 1)
-        kind = np.where((h[at] == own) & self.valid[doc], mark[at], 0)
-        raw = self.data.tobytes()
+        doc, start, count, place, own = anchored(data, offsets)
+        if len(h):
+            at = np.minimum(np.searchsorted(h, own), len(h) - 1)
+            pick = np.flatnonzero(np.where((h[at] == own) & valid[doc], mark[at], 0))
+        else:
+            at = pick = np.zeros(0, np.int64)
+        kind = mark[at[pick]] if len(pick) else pick
+        raw = data.tobytes()
+        # an anchor that varies is cut into its windows
+        each = np.where(kind == 2, count[pick], 1)
+        rep = np.repeat(pick, each)
+        inner = np.arange(len(rep)) - np.repeat(np.concatenate(([0], np.cumsum(each)[:-1])), each) if len(rep) else rep
+        varied = np.repeat(kind == 2, each)
+        self.doc, self.start = doc[rep], start[rep] + np.where(varied, inner, 0)
+        width = np.where(varied, 1, count[rep])
         seen: dict[tuple[bytes, int, int], int] = {}
-        keys, held = [], []
-        pick = np.flatnonzero(kind)
-        for d, s, c, q, v, m in zip(doc[pick].tolist(), start[pick].tolist(), count[pick].tolist(), place[pick].tolist(), own[pick].tolist(), kind[pick].tolist(), strict=True):
-            if m == 1:
-                found = (((v >> 8).to_bytes(4, "big") + raw[q : s + c - 1 + LENGTH] + raw[s:q][::-1], q - s, c, s),)
-            else:
-                found = tuple((_digest(raw[p : p + LENGTH]) + raw[p : p + LENGTH], 0, 1, p) for p in range(s, s + c))
-            for key, left, n, p in found:
-                k = seen.setdefault((key, left, n), len(keys))
-                if k == len(keys):
-                    keys.append((key, left, n))
-                    held.append([])
-                held[k].append((d, p))
+        number = []
+        for s, c, q, v, m in zip(self.start.tolist(), width.tolist(), place[rep].tolist(), own[rep].tolist(), varied.tolist(), strict=True):
+            key = (_digest(raw[s : s + LENGTH]) + raw[s : s + LENGTH], 0, 1) if m else ((v >> 8).to_bytes(4, "big") + raw[q : s + c - 1 + LENGTH] + raw[s:q][::-1], q - s, c)
+            number.append(seen.setdefault(key, len(seen)))
+        keys = list(seen)
         rank = sorted(range(len(keys)), key=keys.__getitem__)
-        self.keys, self.held = [keys[k] for k in rank], [held[k] for k in rank]
-
-    def smallest(self) -> list[int]:
-        ids = self.ids.tolist()
-        return [min(ids[d] for d, _ in h) for h in self.held]
+        place_of = np.empty(len(keys), np.int64)
+        place_of[rank] = np.arange(len(keys))
+        self.keys = [keys[k] for k in rank]
+        self.number = place_of[np.array(number, np.int64)] if number else np.zeros(0, np.int64)
+        self.low = np.full(len(keys), np.iinfo(np.int64).max)
+        np.minimum.at(self.low, self.number, ids[self.doc])
 
 
 def _digest(window: bytes) -> bytes:
@@ -246,7 +268,7 @@ def front_code(keys: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
 
 
 def sorted_runs(c: Contexts, g: int, n: int) -> pa.Table:
-    low = c.smallest()
+    """The group's run cut into a row for each bucket, and a row of who holds each context, which passes a bucket on its way back."""
     first = np.array([int.from_bytes(k[:4], "big") for k, _, _ in c.keys], dtype=np.uint64)
     b = ((first * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
     cut = np.searchsorted(b, np.arange(n + 1))
@@ -259,9 +281,12 @@ def sorted_runs(c: Contexts, g: int, n: int) -> pa.Table:
         shared, rest = front_code([x[0] for x in own])
         left, count = np.array([x[1] for x in own], np.uint16), np.array([x[2] for x in own], np.uint16)
         sizes = np.array([len(r) for r in rest], np.uint32)
-        packed = {"shared": shared, "sizes": sizes, "rest": b"".join(rest), "left": left, "count": count, "low": np.array(low[lo:hi], np.int64)}
+        packed = {"shared": shared, "sizes": sizes, "rest": b"".join(rest), "left": left, "count": count, "low": c.low[lo:hi]}
         for name, value in ({"b": k, "g": g, "base": lo} | {n: _pack(x) for n, x in packed.items()}).items():
             rows[name].append(value)
+    held = {"shared": c.number.astype(np.int32), "sizes": c.doc.astype(np.int32), "rest": c.start.astype(np.int32 if not len(c.start) or c.start.max() < 1 << 31 else np.int64), "left": b"", "count": np.array([k[2] for k in c.keys], np.uint16), "low": c.low}
+    for name, value in ({"b": g % n, "g": g, "base": -1} | {k: _pack(x) for k, x in held.items()}).items():
+        rows[name].append(value)
     kinds = {"b": pa.int32(), "g": pa.int32(), "base": pa.int32()}
     return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in rows.items()})
 
@@ -331,6 +356,8 @@ def merge(runs: list[Iterator[tuple[bytes, int]]]) -> Iterator[tuple[int, bytes,
 
 def resolve(bucket: pa.Table) -> pa.Table:
     """Merges a bucket's runs and answers each group: (context, from window, to window, smallest id) where smaller than its own."""
+    own = bucket.filter(pa.compute.less(bucket.column("base"), 0))
+    bucket = bucket.filter(pa.compute.greater_equal(bucket.column("base"), 0))
     rows = [{k: _unpack(v) if isinstance(v, bytes) else v for k, v in r.items()} for r in bucket.to_pylist()]
     meta = [(np.frombuffer(r["left"], np.uint16).tolist(), np.frombuffer(r["count"], np.uint16).tolist(), np.frombuffer(r["low"], np.int64).tolist()) for r in rows]
     at = [0] * len(rows)
@@ -381,9 +408,12 @@ def resolve(bucket: pa.Table) -> pa.Table:
         group.setdefault((key, meta[run][0][k], meta[run][1][k]), []).append((run, k))
     if group:
         settle(group)
-    xs = [_bin(np.array([t[:3] for t in o], np.int32)) for o in out]
-    ys = [_bin(np.array([t[3] for t in o], np.int64)) for o in out]
-    return pa.table({"g": bucket.column("g"), "kind": pa.array([1] * len(rows), pa.int32()), "x": pa.array(xs, pa.binary()), "y": pa.array(ys, pa.binary())})
+    xs = [_pack(np.array([t[:3] for t in o], np.int32)) for o in out]
+    ys = [_pack(np.array([t[3] for t in o], np.int64)) for o in out]
+    told = pa.table({"g": bucket.column("g"), "kind": pa.array([1] * len(rows), pa.int32()), "x": pa.array(xs, pa.binary()), "y": pa.array(ys, pa.binary())})
+    # who holds the contexts: on to its group, in two rows
+    passed = [pa.table({"g": own.column("g"), "kind": pa.array([k] * own.num_rows, pa.int32()), "x": own.column(x), "y": own.column(y)}) for k, x, y in ((2, "shared", "sizes"), (3, "rest", "low"), (4, "count", "left"))]
+    return pa.concat_tables([told, *passed])
 
 
 def _replies(table: pa.Table, kind: int) -> list[tuple[bytes, bytes]]:
@@ -392,32 +422,35 @@ def _replies(table: pa.Table, kind: int) -> list[tuple[bytes, bytes]]:
 
 def covered(group: pa.Table, replies: pa.Table) -> pa.Table:
     """The result row of each document of a group."""
-    c = Contexts(group, _replies(replies, 0))
-    ids = c.ids.tolist()
-    marks = np.zeros(len(c.data) + LENGTH + 1, np.int32)
-    first: dict[int, list[tuple[int, int, int]]] = {}
-    for x, y in _replies(replies, 1):
-        for (k, a, b), m in zip(np.frombuffer(x, np.int32).reshape(-1, 3).tolist(), np.frombuffer(y, np.int64).tolist(), strict=True):
-            first.setdefault(k, []).append((a, b, m))
-    for k, (held, low) in enumerate(zip(c.held, c.smallest(), strict=True)):
-        n = c.keys[k][2]
-        told = first.get(k, ())
-        for d, s in held:
-            if low < ids[d]:
-                marks[s] += 1
-                marks[s + n - 1 + LENGTH] -= 1
-            else:
-                for a, b, m in told:
-                    if m < ids[d]:
-                        marks[s + a] += 1
-                        marks[s + b - 1 + LENGTH] -= 1
-    gone = np.cumsum(marks[: len(c.data)]) > 0
+    ids_, valid, data, offsets = _group(group)
+    ids = ids_.tolist()
+    marks = np.zeros(len(data) + LENGTH + 1, np.int32)
+    part = {k: [(_unpack(x), _unpack(y)) for x, y in _replies(replies, k)] for k in (1, 2, 3, 4)}
+    if part[2]:
+        number, doc = (np.frombuffer(x, np.int32) for x in part[2][0])
+        start = np.frombuffer(part[3][0][0], np.int32 if len(part[3][0][0]) == 4 * len(number) else np.int64).astype(np.int64)
+        low, count = np.frombuffer(part[3][0][1], np.int64), np.frombuffer(part[4][0][0], np.uint16).astype(np.int64)
+        later = low[number] < ids_[doc]
+        np.add.at(marks, start[later], 1)
+        np.add.at(marks, start[later] + count[number[later]] - 1 + LENGTH, -1)
+        # others have it under a smaller id: for the documents that have the group's smallest
+        order = np.argsort(number, kind="stable")
+        ranked = number[order]
+        for x, y in part[1]:
+            spans, least = np.frombuffer(x, np.int32).reshape(-1, 3), np.frombuffer(y, np.int64)
+            lo, hi = np.searchsorted(ranked, spans[:, 0]), np.searchsorted(ranked, spans[:, 0], side="right")
+            for (_, a, b), m, i, j in zip(spans.tolist(), least.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                for k in order[i:j].tolist():
+                    if m < ids[doc[k]]:
+                        marks[start[k] + a] += 1
+                        marks[start[k] + b - 1 + LENGTH] -= 1
+    gone = np.cumsum(marks[: len(data)]) > 0
     rows = []
     for d in range(len(ids)):
-        lo, hi = int(c.offsets[d]), int(c.offsets[d + 1])
+        lo, hi = int(offsets[d]), int(offsets[d + 1])
         own = gone[lo:hi]
         spans = int((own[1:] & ~own[:-1]).sum() + own[0]) if hi > lo else 0
-        rows.append((ids[d] if c.valid[d] else None, hi - lo, int(own.sum()), spans, hashlib.sha256(c.data[lo:hi][~own].tobytes()).hexdigest()))
+        rows.append((ids[d] if valid[d] else None, hi - lo, int(own.sum()), spans, hashlib.sha256(data[lo:hi][~own].tobytes()).hexdigest()))
     names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     return pa.table({n: pa.array([r[k] for r in rows], pa.string() if k == 4 else pa.int64()) for k, n in enumerate(names)})
 
@@ -434,12 +467,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     groups = 3 * n
     dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     reply = "g int, kind int, x binary, y binary"
-    known = dealt.groupBy("g").applyInArrow(lambda t: shared_anchors(t, n), "b int, g int, h binary, twice binary").groupBy("b").applyInArrow(answer, reply)
+    known = dealt.groupBy("g").applyInArrow(lambda t: shared_anchors(t, n), "b int, g int, h binary, twice binary, many binary").groupBy("b").applyInArrow(answer, reply)
 
     def runs_of(group: pa.Table, replies: pa.Table) -> pa.Table:
-        g = group.column("g")[0].as_py() if group.num_rows else -1
-        return sorted_runs(Contexts(group, _replies(replies, 0)), g, n)
+        return sorted_runs(Contexts(group, _replies(replies, 0)), group.column("g")[0].as_py(), n)
 
     runs = dealt.groupBy("g").cogroup(known.groupBy("g")).applyInArrow(runs_of, RUNS)
     lows = runs.groupBy("b").applyInArrow(resolve, reply)
-    return dealt.groupBy("g").cogroup(known.unionByName(lows).groupBy("g")).applyInArrow(covered, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return dealt.groupBy("g").cogroup(lows.groupBy("g")).applyInArrow(covered, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
