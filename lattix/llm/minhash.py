@@ -5,10 +5,10 @@ A document's set is its distinct word shingles. The top bits of a shingle's hash
 hash is a coordinate-value pair. Documents are posted under their pairs; documents with equal
 sets count as one throughout.
 
-Two sets with a Jaccard similarity of the threshold differ in ``SLACK`` of their coordinates or
-more with a chance of about 1e-8 (in short documents never). So a document needs a list with
-another document under 1 - SLACK of its pairs, and each pair of documents that links shares one
-of the SLACK + 1 pairs that come first when pairs are ordered by the length of their lists: only
+Two sets with a Jaccard similarity of the threshold differ in more than ``slack()`` of their
+coordinates with a chance under 1e-6 (in short documents never). So a document needs a list with
+another document under 1 - slack of its pairs, and each pair of documents that links shares one
+of the slack + 1 pairs that come first when pairs are ordered by the length of their lists: only
 those prefixes are merged, the longest lists are skipped.
 
 First each document is held against one leader, the document that most of its prefix lists
@@ -30,11 +30,16 @@ from pyspark.sql import functions as F
 from lattix.llm.common import bloom_of_ids, checkpoint, chunks, components, may_hold, shingle_hashes, span_hashes, word_spans
 
 COORDINATES = 64
-SLACK = 0.4
 BLOCK = 300_000
 _EDGES = np.arange(COORDINATES, dtype=np.uint64) << np.uint64(64 - COORDINATES.bit_length() + 1)
 
 
+def slack(threshold: int) -> float:
+    """The share of coordinates in which sets at the threshold may differ: the mean and five deviations."""
+    j = threshold / 100
+    return min(1.0, 1 - j + 5 * (j * (1 - j) / COORDINATES) ** 0.5)
+
+
 def sets_of(column: pa.Array, width: int):
     """(row, sorted distinct shingle hashes) of each text that has words."""
     for i, j, data, offsets in chunks(column):
@@ -166,7 +171,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 85) -> Dat
     # posts; documents alone under too many of their pairs have no near-duplicate
     posts = reps.select("doc_id", "n", F.size("sig").alias("m"), F.explode("sig").alias("key"))
     lists = posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    need = F.ceil((1 - SLACK) * F.col("m") - 1e-9)
+    need = F.greatest(F.ceil((1 - slack(threshold)) * F.col("m") - 1e-9), F.lit(1))
     own = posts.join(lists, "key").groupBy("doc_id", "n", "m").agg(F.collect_list(F.struct("c", "key")).alias("ks"), F.sum("c").alias("w")).where(F.size("ks") >= need)
     prefix = checkpoint(own.select("doc_id", "n", "w", F.transform(F.slice(F.sort_array("ks"), F.lit(1), (F.size("ks") - need + 1).cast("int")), lambda k: k["key"]).alias("keys")))
 
