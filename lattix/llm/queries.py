@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattix.llm import decontam, html, minhash, mixing, quality, secrets, suffix, toxicity
+import corpus_pipeline
+from lattix.llm import decontam, html, minhash, mixing, pq, quality, secrets, suffix, toxicity, windows
 from lattix.session import ship
 
 
@@ -34,6 +35,10 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_cosine_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.cosine_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,8 +51,16 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(ship(spark), sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_spans, op2_pareto_mix, op3_repeated_bytes, op4_toxicity, op5_main_text, op7_near_duplicates, op8_contaminated, op9_quality)}
+    return {f.__name__: f for f in (op1_secret_spans, op2_pareto_mix, op3_repeated_bytes, op4_toxicity, op5_main_text, op6_cosine_links, op7_near_duplicates, op8_contaminated, op9_quality, op10_repeated_passages, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
