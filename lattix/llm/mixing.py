@@ -83,7 +83,7 @@ def pareto_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: flo
     rates = (
         sizes.join(targets, "src")
         .withColumn("over", F.coalesce(F.sum("words").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("c", (F.col("target") - most * F.col("over")) / F.sum(F.col("words") * gain).over(rest))
+        .withColumn("c", F.try_divide(F.col("target") - most * F.col("over"), F.sum(F.col("words") * gain).over(rest)))
         .groupBy("src", "source_size", "target")
         .agg(F.max(F.when((F.col("c") >= 0) & (F.col("c") * gain <= most), F.col("c"))).alias("c"))
     )
