@@ -7,6 +7,7 @@ once and a task's memory does not depend on how many rows a batch holds.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -33,15 +34,23 @@ _POW: dict[int, np.ndarray] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``, or a temporary one if unset."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    return sc.getCheckpointDir()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and cuts its lineage; survives the loss of executors."""
+    """Writes df to the shared folder and cuts its lineage; survives the loss of executors.
+
+    The shuffle files behind it are not needed any more. Spark removes them when the driver's
+    garbage is collected, which may be long after; so that is asked for here.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def parts(spark: SparkSession, times: int = 1) -> int:

@@ -380,7 +380,9 @@ def resolve(bucket: pa.Table) -> pa.Table:
             (((_, _, n), members),) = group.items()
             if len(members) > 1:
                 low = min(meta[r][2][k] for r, k in members)
-                tell(members, [low] * n)
+                for run, k in members:
+                    if low < meta[run][2][k]:
+                        out[run].append((rows[run]["base"] + k, 0, n, low))
             return
         best: dict[bytes, int] = {}
         windows = []
