@@ -337,3 +337,24 @@ def test_passages(spark, documents, corpus, prose):
     r = next(r for r in out if r["doc_id"] == 201 and r["other_id"] in (200, 202))
     assert (r["start"], r["words"]) == (0, 60)
     assert windows.repeated_passages(docs.limit(0)).count() == 0
+
+
+def test_passages_of_documents_that_have_another(spark, prose):
+    """A and F share a passage; each has one with a hub of its own, and a third text leads the lists of most values."""
+    rng = random.Random(21)
+    p1, p2, p3 = prose(rng, 70), prose(rng, 70), prose(rng, 70)
+    t = windows.WORDS - windows.WIDTH + 1
+    docs = {0: f"{p1} {prose(rng, 20)} {p2}", 1: f"{p3} {prose(rng, 20)} {p2}"}
+    # hubs: p1 or p3, in more company than the others
+    docs |= {10 + i: f"{prose(rng, 15)} {p1} {prose(rng, 15)}" for i in range(6)} | {20 + i: f"{prose(rng, 15)} {p3} {prose(rng, 15)}" for i in range(6)}
+    # decoys: the middle of p2 that holds its windows' values, too short for a passage, besides p1 in full and other words
+    w = p2.split()
+    for i, cut in enumerate((slice(0, 30), slice(20, 50), slice(40, 70))):
+        docs[30 + i] = f"{p1} {prose(rng, 60)} {' '.join(w[cut])} {prose(rng, 60)} {p3}"
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    out = windows.repeated_passages(df).collect()
+    whole = lambda i, lo: any(r["doc_id"] == i and r["start"] <= lo + 2 and r["start"] + r["words"] >= lo + 68 for r in out)
+    assert whole(0, 0) and whole(1, 0) and whole(0, 90) and whole(1, 90)
+    a = np.arange(200).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    every = windows.open_values(a, t, [])
+    assert set(windows.open_values(a, t, [(0, 100)])) < set(every) and len(windows.open_values(a, t, [(0, 204)])) == 0
