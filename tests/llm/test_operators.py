@@ -358,3 +358,24 @@ def test_passages_of_documents_that_have_another(spark, prose):
     a = np.arange(200).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     every = windows.open_values(a, t, [])
     assert set(windows.open_values(a, t, [(0, 100)])) < set(every) and len(windows.open_values(a, t, [(0, 204)])) == 0
+
+
+def test_passages_of_repeated_lines(spark, prose):
+    rng = random.Random(31)
+    line, p = prose(rng, 20), prose(rng, 60).split()
+    thrice = " ".join([line] * 3)
+    split = " ".join([*p[:20], *line.split(), *p[40:]])
+    docs = {0: f"{prose(rng, 50)} {thrice} {prose(rng, 50)}", 1: f"{prose(rng, 90)} {thrice} {prose(rng, 9)}"}
+    docs |= {2: f"{prose(rng, 30)} {split} {prose(rng, 40)}", 3: f"{line} {prose(rng, 70)} {split} {prose(rng, 20)}"}
+    hashes = {i: next(windows._tokens(pa.array([t])))[1] for i, t in docs.items()}
+    t = windows.WORDS - windows.WIDTH + 1
+    for a, b, x, y in ((0, 1, 50, 90), (1, 0, 90, 50), (2, 3, 30, 90), (3, 2, 90, 30)):
+        got_ = windows.passages(hashes[a], windows.Side(hashes[b], t), t, 0.8)
+        assert any((s, e, u, v) == (x, x + 56, y, y + 56) for s, e, u, v, _ in got_)
+    # all pairs of places, as they are found
+    a, b = (np.array([rng.randrange(4) for _ in range(n)], dtype=np.uint64) for n in (50, 40))
+    runs = list(zip(*(x.tolist() for x in windows.runs_of(a, windows.Side(b, 5))), strict=True))
+    assert sorted((s + k, u + k) for s, e, u in runs for k in range(e - s)) == [(i, j) for i in range(50) for j in range(40) if a[i] == b[j]]
+    out = windows.repeated_passages(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in out} == {0, 1, 2, 3}
+    assert not windows.passages(np.arange(60, dtype=np.uint64), windows.Side(np.arange(100, 160, dtype=np.uint64), t), t, 0.8)
