@@ -379,3 +379,17 @@ def test_passages_of_repeated_lines(spark, prose):
     out = windows.repeated_passages(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
     assert {r["doc_id"] for r in out} == {0, 1, 2, 3}
     assert not windows.passages(np.arange(60, dtype=np.uint64), windows.Side(np.arange(100, 160, dtype=np.uint64), t), t, 0.8)
+
+
+def test_recall_of_passages_at_the_threshold(prose):
+    """Of texts of one passage with a similarity of 0.8, over 0.98 share windows under enough functions."""
+    rng = np.random.default_rng(5)
+    t = windows.WORDS - windows.WIDTH + 1
+    found, n = 0, 1500
+    for _ in range(n):
+        a = rng.integers(0, 1 << 63, t, dtype=np.uint64)
+        b = a.copy()
+        b[rng.choice(t, t // 9, replace=False)] = rng.integers(0, 1 << 63, t // 9, dtype=np.uint64)  # 41 of 46 are equal: 41 / 51
+        same = [np.isin(x[windows.centres(x, t)], y[windows.centres(y, t)]).any() for x, y in ((windows.hashed(a, fn), windows.hashed(b, fn)) for fn in range(windows.FUNCTIONS))]
+        found += sum(same) >= windows.NEED
+    assert found / n > 0.98, found / n
