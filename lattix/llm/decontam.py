@@ -10,7 +10,8 @@ at least ``share`` of the places.
 The benchmark is measured first. Up to ``most`` words it is sent to all tasks, which bounds the
 broadcast, and the texts are read once, without a shuffle. Beyond that, texts are filtered by a
 Bloom filter of fixed size, and the seeds that pass are joined with those of the benchmark on
-their hashes; only they, with the words around them, are shuffled.
+their hashes. They only say where an item may lie in a text; the texts and items they name are
+then joined whole and compared as with an index, so results do not depend on the path.
 """
 
 from __future__ import annotations
@@ -20,14 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattix.llm.common import PUNCTUATION, bloom, bloom_of, chunks, mix, passes, span_hashes, word_spans
+from lattix.llm.common import PUNCTUATION, bloom, bloom_of, bloom_of_ids, checkpoint, chunks, may_hold, mix, passes, span_hashes, word_spans
 
 #: Places of the words that make a seed.
 MASKS = ((0, 1, 2, 3, 5), (0, 1, 3, 5, 6), (0, 2, 3, 6, 8))
 WINDOW = 13
 SHARE = 0.8
 MOST_WORDS = 200_000
-REACH = 64
 HIT = "array<struct<item_id:long,start:long,words:long,matches:long>>"
 _HIT = pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("words", pa.int64()), ("matches", pa.int64())])
 
@@ -40,6 +40,11 @@ def words_of(column: pa.Array):
         yield i, j, hashes, np.searchsorted(docs, np.arange(j - i + 1))
 
 
+def words_in(text: str) -> np.ndarray:
+    """The word hashes of one text."""
+    return np.concatenate([np.zeros(0, np.uint64), *(w for _, _, w, _ in words_of(pa.array([text], pa.string())))])
+
+
 def seeds(words: np.ndarray, cut: np.ndarray, mask: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the mask's seeds, and the places where they start; none crosses texts."""
     span = mask[-1] + 1
@@ -68,6 +73,11 @@ def aligned(text: np.ndarray, item: np.ndarray, shift: int, window: int, share:
     return shift + lo + int(at[0]), int(at[-1] - at[0] + 1), int(len(at))
 
 
+def better(got: tuple[int, int, int], than: tuple[int, int, int] | None) -> bool:
+    """Whether an alignment has more equal words than another, or else comes first, or else is longer."""
+    return than is None or (got[2], -got[0], got[1]) > (than[2], -than[0], than[1])
+
+
 class Index:
     """The benchmark's words and seeds, for lookups by seed."""
 
@@ -102,8 +112,8 @@ class Index:
                     if (doc, item, shift) not in tried:
                         tried.add((doc, item, shift))
                         got = aligned(words[cut[doc] : cut[doc + 1]], self.items[item], shift, window, share)
-                        if got and got[2] > found.setdefault(doc, {}).get(item, (0, 0, 0))[2]:
-                            found[doc][item] = got
+                        if got and better(got, found.get(doc, {}).get(item)):
+                            found.setdefault(doc, {})[item] = got
         return found
 
 
@@ -137,13 +147,24 @@ def overlaps(text: Column, index: Index, window: int = WINDOW, share: float = SH
     return hits(text)
 
 
+def _keys(df: DataFrame, a: str, b: str) -> DataFrame:
+    """df with two hashes that stand for its text."""
+    return df.withColumn(a, F.xxhash64("text")).withColumn(b, F.xxhash64(F.lit(1), "text"))
+
+
 def _joined(docs: DataFrame, benchmark: DataFrame, window: int, share: float) -> DataFrame:
-    """The hits by a join on seeds, for a benchmark of any size; items and texts are compared up to REACH words around a seed."""
-    def spread(id_: str, packed: np.ndarray | None):
+    """(_k1, _k2, item_id, start, words, matches): the hits of each text by its _keys(), by a join on seeds, for a benchmark of any size.
+
+    Equal texts and equal items are compared once; an item has a hit for each of its rows.
+    """
+    items = _keys(_items(benchmark), "i1", "i2")
+    texts = _keys(docs.select("text").where("text is not null"), "_k1", "_k2")
+
+    def spread(packed: np.ndarray | None):
         def rows(batches):
             for b in batches:
-                ids = b.column(id_).to_pylist()
-                s, own, place, around = [], [], [], []
+                one, two = (b.column(c).to_numpy() for c in (1, 2))
+                s, own, place = [], [], []
                 for i, _, words, cut in words_of(b.column("text")):
                     for mask in MASKS:
                         h, at = seeds(words, cut, mask)
@@ -151,18 +172,15 @@ def _joined(docs: DataFrame, benchmark: DataFrame, window: int, share: float) ->
                             ok = passes(packed, h)
                             h, at = h[ok], at[ok]
                         doc = np.searchsorted(cut, at, side="right") - 1
-                        for x, p, d in zip(h.view(np.int64).tolist(), at.tolist(), doc.tolist(), strict=True):
-                            lo, hi = max(int(cut[d]), p - REACH), min(int(cut[d + 1]), p + REACH)
-                            s.append(x)
-                            own.append(ids[i + d])
-                            place.append((p - int(cut[d]), p - lo))
-                            around.append(words[lo:hi].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(own, pa.int64()), pa.array([p for p, _ in place], pa.int64()), pa.array([q for _, q in place], pa.int64()), pa.array(around, pa.list_(pa.int64()))], ["seed", "id", "place", "inner", "words"])
+                        s.append(h.view(np.int64))
+                        own.append(i + doc)
+                        place.append(at - cut[doc])
+                s, own, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (s, own, place))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s, one[own], two[own], place)], ["seed", "a", "b", "place"])
 
         return rows
 
-    kind = "seed long, id long, place long, inner long, words array<long>"
-    items = _items(benchmark)
+    kind = "seed long, a long, b long, place long"
 
     def hashed(batches):
         for b in batches:
@@ -170,21 +188,40 @@ def _joined(docs: DataFrame, benchmark: DataFrame, window: int, share: float) ->
                 yield np.concatenate([seeds(words, cut, mask)[0] for mask in MASKS])
 
     packed = bloom_of(items.select("text"), hashed)
-    test = items.mapInArrow(spread("item_id", None), kind).select("seed", F.col("id").alias("item_id"), F.col("inner").alias("item_at"), F.col("words").alias("item"))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(spread("doc_id", packed), kind).select("seed", F.col("id").alias("doc_id"), "place", "inner", "words")
+    test = items.select("text", "i1", "i2").mapInArrow(spread(None), kind).select("seed", F.col("a").alias("i1"), F.col("b").alias("i2"), F.col("place").alias("item_at")).distinct()
+    text = texts.mapInArrow(spread(packed), kind).select("seed", F.col("a").alias("_k1"), F.col("b").alias("_k2"), "place").distinct()
+    tries = checkpoint(text.join(test, "seed").groupBy("_k1", "_k2", "i1", "i2").agg(F.collect_set(F.col("place") - F.col("item_at")).alias("shifts")))
 
-    def verify(batches):
+    named = bloom_of_ids(tries.select("_k1"), "_k1")  # the other texts are left where they are read
+
+    def held(batches):
         for b in batches:
-            out = []
-            for doc, item_id, place, inner, words, item_at, item in zip(*(b.column(c).to_pylist() for c in ("doc_id", "item_id", "place", "inner", "words", "item_at", "item")), strict=True):
-                got = aligned(np.array(words), np.array(item), inner - item_at, window, share)
-                if got:
-                    out.append((doc, item_id, place - inner + got[0], got[1], got[2]))
-            names = ("doc_id", "item_id", "start", "words", "matches")
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(5)], names)
+            yield b.filter(pa.array(may_hold(named, b.column("_k1").to_numpy())))
 
-    best = F.max(F.struct("matches", F.negate("start").alias("s"), "words")).alias("best")
-    return text.join(test, "seed").mapInArrow(verify, "doc_id long, item_id long, start long, words long, matches long").groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.negate("best.s").alias("start"), "best.words", "best.matches")
+    whole = texts.mapInArrow(held, texts.schema).dropDuplicates(["_k1", "_k2"])
+    laid = tries.join(items.select("i1", "i2", F.col("text").alias("item")).dropDuplicates(["i1", "i2"]), ["i1", "i2"]).join(whole, ["_k1", "_k2"])
+
+    def verify(batches):
+        for b in batches:
+            at, best = [], []
+            last: tuple[str, np.ndarray] | None = None
+            for k in range(b.num_rows):
+                text, item = b.column("text")[k].as_py(), b.column("item")[k].as_py()
+                if last is None or last[0] != text:
+                    last = text, words_in(text)
+                own, found = words_in(item), None
+                for shift in b.column("shifts")[k].as_py():
+                    got = aligned(last[1], own, shift, window, share)
+                    if got and better(got, found):
+                        found = got
+                if found:
+                    at.append(k)
+                    best.append(found)
+            keys = [b.column(c).take(pa.array(at, pa.int64())) for c in ("_k1", "_k2", "i1", "i2")]
+            yield pa.RecordBatch.from_arrays([*keys, *(pa.array([x[k] for x in best], pa.int64()) for k in range(3))], ["_k1", "_k2", "i1", "i2", "start", "words", "matches"])
+
+    found = laid.select("_k1", "_k2", "i1", "i2", "shifts", "text", "item").mapInArrow(verify, "_k1 long, _k2 long, i1 long, i2 long, start long, words long, matches long")
+    return found.join(items.select("item_id", "i1", "i2"), ["i1", "i2"]).select("_k1", "_k2", "item_id", "start", "words", "matches")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, most: int = MOST_WORDS) -> DataFrame:
@@ -197,7 +234,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     """
     index = load(benchmark, most)
     if index is None:
-        return _joined(docs, benchmark, window, share)
+        own = _keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null"), "_k1", "_k2").drop("text")
+        return own.join(_joined(docs, benchmark, window, share), ["_k1", "_k2"]).select("doc_id", "item_id", "start", "words", "matches")
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(overlaps(F.col("text"), index, window, share)).alias("hit"))
     return found.select("doc_id", "hit.*")
 
@@ -206,5 +244,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     """The rows of docs that no benchmark item overlaps, with all their columns."""
     index = load(benchmark, most)
     if index is None:
-        return docs.join(_joined(docs, benchmark, window, share).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+        return _keys(docs, "_k1", "_k2").join(_joined(docs, benchmark, window, share).select("_k1", "_k2").distinct(), ["_k1", "_k2"], "left_anti").select(*docs.columns)
     return docs.where(F.size(overlaps(F.col("text"), index, window, share)) == 0)

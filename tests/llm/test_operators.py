@@ -287,6 +287,23 @@ def test_contamination(spark, documents, prose):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0 and decontam.drop_contaminated(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_contamination_is_the_same_by_both_paths(spark, prose):
+    """Long items, null and repeated ids, repeated rows of both tables."""
+    rng = random.Random(16)
+    items = [prose(rng, 300), prose(rng, 30), prose(rng, 250)]
+    w = items[2].split()
+    w[3], w[120], w[200] = "alpha", "beta", "gamma"
+    twice = f"{items[1]} {prose(rng, 20)} {items[1]}"
+    rows = [(1, f"{prose(rng, 40)} {items[0]} {prose(rng, 20)}"), (1, prose(rng, 60)), (None, f"so {' '.join(w)}"), (2, twice), (2, twice), (None, prose(rng, 80)), (3, None)]
+    bench = spark.createDataFrame([*enumerate(items), (1, items[1]), (9, items[0])], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = {most: sorted(map(tuple, decontam.contaminated(docs, bench, most=most).collect()), key=str) for most in (decontam.MOST_WORDS, 1)}
+    assert out[1] == out[decontam.MOST_WORDS]
+    assert (1, 0, 40, 300, 300) in out[1] and (1, 9, 40, 300, 300) in out[1] and (None, 2, 1, 250, 247) in out[1] and len(out[1]) == 7
+    for most in out:
+        assert sorted(map(tuple, decontam.drop_contaminated(docs, bench, most=most).collect()), key=str) == sorted((rows[k] for k in (1, 5, 6)), key=str)
+
+
 # 10: passages
 
 
