@@ -76,6 +76,21 @@ def test_field_adds_short_secrets(spark, prose):
     assert cut[160] == new.replace("ab12cd34", "[secret]") and cut[100] == texts[100] and "password=" not in cut[3]
 
 
+def test_field_tags_secrets_of_plain_words(spark, prose):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    named = ("password: {}", "token = {}", "password={}", 'secret: "{}"')
+    texts = [f"{prose(rng, 12)} {named[k % 4].format(word(12 + k % 4))} {prose(rng, 9)}" for k in range(160)] + [f"{prose(rng, 9)} note: {prose(rng, 6)} a token of 20{k % 30:02d} {prose(rng, 4)}" for k in range(80)]
+    new = [("swordfish", "my password: swordfish and so on"), ("letmeinnow", "a token = letmeinnow here"), ("hunter2", "with password=hunter2 it is")]
+    df = spark.createDataFrame(list(enumerate([*texts, *(t for _, t in new)])), "doc_id long, text string")
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secrets.find_secrets(df).collect()}
+    for k, (secret, text) in enumerate(new):
+        assert found[240 + k] == [("crf", text.index(secret), text.index(secret) + len(secret))]
+    assert sum(map(len, (found[k] for k in range(160, 240)))) == 0
+    starts, ends, *_ = secrets._suspect(*(lambda t: (np.frombuffer(t, np.uint8), np.array([0, len(t)])))(b"so the password: swordfish is it"))
+    assert list(zip(starts, ends, strict=True)) == [(0, 2), (3, 6), (7, 15), (17, 26), (27, 29), (30, 32)]
+
+
 def test_viterbi_and_marginals_agree_with_all_paths():
     rng = np.random.default_rng(0)
     u, t = rng.normal(size=(1, 4, 3)), rng.normal(size=(3, 3))
