@@ -90,6 +90,12 @@ def reads(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.translate(digest, "0123456789abcdef", "ACGTACGTACGTACGT").alias("dna"))
 
 
+def dealt(spark: SparkSession, d: str) -> DataFrame:
+    """The reads with a parent and a slot by their ids."""
+    k = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(44))
+    return reads(spark, d).withColumn("parent", F.substr(F.lit(combos.ALPHABET), (k % 4 + 1).cast("int"), F.lit(1))).withColumn("slot", (F.floor(k / 4) + 1).cast("int"))
+
+
 def features(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
     mean = -((i * 37) % 1000) / F.lit(10.0)
@@ -240,10 +246,19 @@ def stop_x_penalty(spark, d):
 
 @query()
 def local_alignment(spark, d):
-    """The reads' first frames aligned with the fragments of slot 1, of which there are four."""
-    first = parts(spark, d).where("slot = 1").select("letter", F.col("aa_sequence").alias("target"))
-    frames = library.six_frame_candidates(reads(spark, d)).where("frame = 0").select("doc_id", "orientation", "aa_raw")
-    return alignment.align(frames.join(F.broadcast(first.limit(4))), "target", "aa_raw").select("doc_id", "orientation", "letter", "align_score")
+    """All frames of the reads aligned with the fragment, one of 44, that each read is dealt by its id."""
+    targets = parts(spark, d).select("letter", "slot", F.col("aa_sequence").alias("target"))
+    frames = library.six_frame_candidates(dealt(spark, d)).withColumnRenamed("parent", "letter")
+    return alignment.align(frames.join(targets, ["letter", "slot"]), "target", "aa_raw").select("doc_id", "orientation", "frame", "letter", "slot", "align_score")
+
+
+@query()
+def translated_candidates(spark, d):
+    """All frames of the reads aligned with the protein of their parent, which is its eleven fragments in a row, and scored."""
+    slots = F.array_sort(F.collect_list(F.struct("slot", "aa_sequence")))
+    proteins = parts(spark, d).groupBy(F.col("letter").alias("parent")).agg(F.array_join(F.transform(slots, lambda s: s["aa_sequence"]), "").alias("protein"))
+    return library.translated_candidates(dealt(spark, d), proteins).select(
+        "doc_id", "parent", "slot", "gen_idx", "orientation", "frame", "align_score", "parent_start", "parent_end", "query_start", "query_end", "aa_trimmed", "stop_count", "x_fraction", "adjusted_score")
 
 
 # joins, ranks, selections

@@ -51,27 +51,34 @@ def _codes(s: str) -> np.ndarray:
     return _NUMBER[np.frombuffer(s.encode("latin-1", "replace"), dtype=np.uint8)]
 
 
-def local_alignment(target: str, query: str, open_: float = OPEN, extend: float = EXTEND) -> tuple[float, int, int, int, int] | None:
-    """(score, target start, target end, query start, query end), ends behind the last; None if nothing aligns.
-
-    Of equal cells the first in target order, then in query order, ends the alignment.
-    """
-    t, q = _codes(target or ""), _codes(query or "")
+def _scores(t: np.ndarray, q: np.ndarray, open_: float, extend: float) -> np.ndarray:
+    """The best score of what ends at each cell."""
     n, m = len(t), len(q)
-    if not n or not m:
-        return None
     h = np.zeros((n + 1, m + 1))
-    down = np.full((n + 1, m + 1), -np.inf)  # ends in a gap of the query
+    down = np.full(m + 1, -np.inf)  # ends in a gap of q
     slope = extend * np.arange(m + 1)
     for i in range(1, n + 1):
-        down[i] = np.maximum(h[i - 1] + open_, down[i - 1] + extend)
-        row = np.maximum(0.0, down[i])
+        down = np.maximum(h[i - 1] + open_, down + extend)
+        row = np.maximum(0.0, down)
         row[1:] = np.maximum(row[1:], h[i - 1, :-1] + _SCORES[t[i - 1]][q])
         row[0] = 0.0
-        # ends in a gap of the target: opened at any cell before, extended since
+        # ends in a gap of t: opened at any cell before, extended since
         best = np.maximum.accumulate(row - slope)
         row[1:] = np.maximum(row[1:], best[:-1] + open_ - extend + slope[1:])
         h[i] = row
+    return h
+
+
+def local_alignment(target: str, query: str, open_: float = OPEN, extend: float = EXTEND) -> tuple[float, int, int, int, int] | None:
+    """(score, target start, target end, query start, query end), ends behind the last; None if nothing aligns.
+
+    Of equal cells the first in target order, then in query order, ends the alignment.
+    """
+    t, q = _codes(target or ""), _codes(query or "")
+    n, m = len(t), len(q)
+    if not n or not m:
+        return None
+    h = _scores(t, q, open_, extend) if n <= m else _scores(q, t, open_, extend).T  # a row for each of the fewer letters
     end = int(h.argmax())
     i, j = divmod(end, m + 1)
     score = float(h[i, j])
@@ -82,15 +89,13 @@ def local_alignment(target: str, query: str, open_: float = OPEN, extend: float
     while h[i, j] > 1e-9:
         if i and j and near(h[i, j], h[i - 1, j - 1] + _SCORES[t[i - 1], q[j - 1]]):
             i, j = i - 1, j - 1
-        elif near(h[i, j], down[i, j]):
-            while not near(down[i, j], h[i - 1, j] + open_):
-                i -= 1
-            i -= 1
         else:
-            k = j - 1
-            while not near(h[i, j], h[i, k] + open_ + extend * (j - k - 1)):
-                k -= 1
-            j = k
+            # ends in a gap of the query, or else of the target; the shortest
+            gap = np.flatnonzero(np.abs(h[:i, j] + open_ + extend * np.arange(i - 1, -1, -1) - h[i, j]) < 1e-9)
+            if len(gap):
+                i = int(gap[-1])
+            else:
+                j = int(np.flatnonzero(np.abs(h[i, :j] + open_ + extend * np.arange(j - 1, -1, -1) - h[i, j]) < 1e-9)[-1])
     return score, i, stop_t, j, stop_q
 
 

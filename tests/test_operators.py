@@ -234,3 +234,21 @@ def test_stream_scores_once(spark, tmp_path, fragments):
         got = spark.read.parquet(str(tmp_path / "out"))
         assert got.count() == 6 and got.where("teacher_cache_hit").count() == 6 * k
     assert memo.read(spark, str(tmp_path / "memo")).count() == 6
+
+
+def test_all_frames_of_reads_are_aligned(spark, sf):
+    from lattix.jobs import queries
+
+    reads = {r["doc_id"]: r["dna"] for r in queries.reads(spark, sf).collect()}
+    target = {(r["letter"], r["slot"]): r["aa_sequence"] for r in queries.parts(spark, sf).collect()}
+    got = queries.local_alignment(spark, sf).collect()
+    assert len(got) == 6 * len(reads) and {(r["letter"], r["slot"]) for r in got} == set(target)
+    aa = {(r["doc_id"], r["orientation"], r["frame"]): r["aa_raw"] for r in queries.six_frame_translate(spark, sf).collect()}
+    for r in got[::40]:
+        want = alignment.local_alignment(target[r["letter"], r["slot"]], aa[r["doc_id"], r["orientation"], r["frame"]])
+        assert r["align_score"] == (want[0] if want else None)
+    found = queries.translated_candidates(spark, sf).collect()
+    assert {r["doc_id"] for r in found} == set(reads) and {r["gen_idx"] for r in found} == set(range(6)) and {r["slot"] for r in found} == set(range(1, 12))
+    for r in found[::40]:
+        protein = "".join(target[r["parent"], k] for k in range(1, 12))
+        assert (r["align_score"], r["parent_start"], r["parent_end"], r["query_start"], r["query_end"]) == alignment.local_alignment(protein, aa[r["doc_id"], r["orientation"], r["frame"]])
