@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lattix.functions import combos
@@ -47,9 +48,22 @@ def split_indices(n: int, fraction: float, seed: int) -> tuple[list[int], list[i
 
 
 def split(df: DataFrame, fraction: float, seed: int, key: str, most: int = 1 << 16) -> DataFrame:
-    """df with is_val: the share of rows with the smallest hashes of key and seed, exact to one bin of ``most``.
+    """df with is_val: round(n * fraction) rows, one of each kind at least, with the smallest hashes of key and seed.
 
-    Rows are counted in bins of the hash and never sorted.
+    Rows are counted in ``most`` bins of the hash; only the bin in which the share ends is ordered,
+    by key and then by the whole row.
     """
-    b = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(most))
-    return df.withColumn("is_val", b < F.lit(round(most * fraction)))
+    h = F.xxhash64(F.col(key), F.lit(seed))
+    b = F.pmod(h, F.lit(most))
+    counts = {r["b"]: r["count"] for r in df.groupBy(b.alias("b")).count().collect()}  # at most ``most`` rows
+    n = sum(counts.values())
+    if n < 2:
+        raise ValueError("at least two rows are needed")
+    rest = min(max(round(n * fraction), 1), n - 1)
+    for edge in sorted(counts):
+        if counts[edge] >= rest:
+            break
+        rest -= counts[edge]
+    whole = df.where(b != edge).withColumn("is_val", b < edge)
+    own = W.orderBy(h, key, F.xxhash64(*df.columns))
+    return whole.unionByName(df.where(b == edge).withColumn("is_val", F.row_number().over(own) <= rest))

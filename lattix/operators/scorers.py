@@ -42,8 +42,9 @@ def bigram_fit(df: DataFrame, text: str = "sequence_aa", smoothing: float = 1.0)
 
 
 def bigram_scorer(model: DataFrame, most: int = 100_000, unseen: float = -8.0) -> Scorer:
-    """Scores by a model of letter pairs, of which there are at most ``most``; it goes into the plan as one map."""
-    table = model.limit(most).agg(F.map_from_entries(F.collect_list(F.struct(F.concat("prev", "cur"), "ll"))).alias("_m"))
+    """Scores by a model of letter pairs, which goes into the plan as one map; more than ``most`` of them are an error."""
+    pairs_ = F.when(F.count("*") <= most, F.map_from_entries(F.collect_list(F.struct(F.concat("prev", "cur"), "ll"))))
+    table = model.limit(most + 1).agg(F.coalesce(pairs_, F.raise_error(F.lit("the model has too many letter pairs"))).alias("_m"))
 
     def score(df: DataFrame) -> DataFrame:
         s = F.concat(F.lit("^"), F.col("sequence_aa"))

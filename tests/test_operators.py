@@ -252,3 +252,17 @@ def test_all_frames_of_reads_are_aligned(spark, sf):
     for r in found[::40]:
         protein = "".join(target[r["parent"], k] for k in range(1, 12))
         assert (r["align_score"], r["parent_start"], r["parent_end"], r["query_start"], r["query_end"]) == alignment.local_alignment(protein, aa[r["doc_id"], r["orientation"], r["frame"]])
+
+
+def test_split_is_exact_and_models_are_whole(spark, fragments):
+    for n, keys in ((3, 3), (7, 1), (1000, 40)):
+        rows = spark.range(n).select("id", (F.col("id") % keys).cast("string").alias("k"))
+        for most in (4, 1 << 16):
+            got = sampling.split(rows, 0.2, 5, "k", most).collect()
+            assert len(got) == n and sum(r["is_val"] for r in got) == max(1, round(n * 0.2)) and {r["id"] for r in got} == set(range(n))
+            assert sorted(got) == sorted(sampling.split(rows.repartition(3), 0.2, 5, "k", most).collect())
+    with pytest.raises(ValueError):
+        sampling.split(rows.limit(1), 0.2, 5, "k")
+    model = scorers.bigram_fit(fragments, "aa_sequence")
+    with pytest.raises(Exception, match="too many letter pairs"):
+        scorers.bigram_scorer(model, most=2)(fragments.withColumnRenamed("aa_sequence", "sequence_aa")).collect()
