@@ -6,11 +6,8 @@ from tables, one for each subspace, of the distances of the query's residual to
 
 Probes are sufficient: a vector that differs from a query by x lies in a list only if the query
 is no farther behind the plane between that list's centroid and its own nearest one than x
-reaches across it. A linked x is at most r long; across a plane that has nothing to do with it it
-reaches r / sqrt(d), give or take. All lists within ``deviations`` times that, or r if that is
-less, are probed: of links between vectors that differ at random fewer than one in 10,000 is
-missed at 4 deviations, and none of any kind in up to 16 dimensions, or with deviations of
-sqrt(d). A member's code is off by a known distance e, kept with it; a table distance over r + e
+reaches across it. A linked x is at most r long, so all lists within r are probed, and no link is
+missed from either side. A member's code is off by a known distance e, kept with it; a table distance over r + e
 rules the pair out and loses none. What is left is decided by the cosine in double precision.
 
 Centroids and codewords are fitted to at most ``sample`` vectors, the first by a hash. Equal
@@ -32,7 +29,6 @@ SUBSPACES = 8
 CODES = 64
 BLOCK = 1024
 QUERY_BLOCK = 4096
-DEVIATIONS = 4.0
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -129,7 +125,7 @@ class Joined:
                 self.label = up
 
 
-def cosine_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = SAMPLE, deviations: float = DEVIATIONS) -> DataFrame:
+def cosine_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = SAMPLE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of vectors (vec_id, embedding).
 
     Vectors that are null, zero, or hold null or non-finite values link with nothing, nor do
@@ -150,7 +146,7 @@ def cosine_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = SAM
     classes = checkpoint(keyed.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first(e).alias("embedding")))
     picked = classes.orderBy("k2", "k1").limit(sample).select("embedding").toArrow()  # bounded by ``sample``
     quantiser = Quantiser(unit(matrix(picked.column("embedding"))), max(1, min(4096, int(total**0.5) // 2)))
-    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) * min(1.0, deviations / d**0.5)
+    reach = float(np.sqrt(max(0.0, 2 - 2 * least)))
 
     def coded(batches):
         for b in batches:

@@ -425,3 +425,15 @@ def test_recall_of_passages_at_the_threshold(prose):
         same = [np.isin(x[windows.centres(x, t)], y[windows.centres(y, t)]).any() for x, y in ((windows.hashed(a, fn), windows.hashed(b, fn)) for fn in range(windows.FUNCTIONS))]
         found += sum(same) >= windows.NEED
     assert found / n > 0.98, found / n
+
+
+def test_links_along_the_line_between_centroids(spark):
+    """Copies that differ only towards another cluster are found from both sides."""
+    rng = np.random.default_rng(8)
+    vectors = [np.eye(64)[k % 10] + rng.normal(size=64) * 0.01 for k in range(400)]
+    for k in range(9):
+        for angle in (29, 46):  # 17 degrees apart; 45 is halfway
+            vectors.append(np.eye(64)[k] * np.cos(np.radians(angle)) + np.eye(64)[k + 1] * np.sin(np.radians(angle)))
+    rows = {i: v.tolist() for i, v in enumerate(vectors)}
+    df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pq.cosine_duplicates(df).collect()} == brute.cosine(rows)
