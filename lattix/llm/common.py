@@ -32,10 +32,16 @@ _POW: dict[int, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``, or a temporary one if unset."""
+    """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``; on one machine, a temporary one if unset.
+
+    Executors on other machines do not see a temporary folder, so on a cluster an unset folder is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
@@ -212,6 +218,39 @@ def may_hold(packed: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return passes(packed, mix(ids.astype(np.int64).view(np.uint64)))
 
 
+def word_sequences(docs: DataFrame, wanted: DataFrame, least: int = 1) -> DataFrame:
+    """(doc_id, items) of the texts of the wanted ids, and perhaps others, that have ``least`` words: folded words as 32-bit hashes in order.
+
+    Texts are filtered where they are read, and the result is written. Shingles of such hashes,
+    by shingles_of(), are 64-bit ones; half the bytes of a set of them, or fewer, move.
+    """
+    packed = bloom_of_ids(wanted, "doc_id")
+
+    def rows(batches):
+        for b in batches:
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            keep = np.flatnonzero(may_hold(packed, ids))
+            own, items = [], []
+            for i, j, data, offsets in chunks(b.column("text").take(pa.array(keep))):
+                starts, ends, doc = word_spans(data, offsets)
+                if len(starts):
+                    h = (span_hashes(data, starts, ends) >> np.uint64(32)).astype(np.uint32)
+                    cut = np.searchsorted(doc, np.arange(j - i + 1))
+                    for k in np.flatnonzero(np.diff(cut) >= least).tolist():
+                        own.append(int(ids[keep[i + k]]))
+                        items.append(h[cut[k] : cut[k + 1]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(items, pa.binary())], ["doc_id", "items"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    return checkpoint(texts.mapInArrow(rows, "doc_id long, items binary"))
+
+
+def shingles_of(items: bytes, width: int) -> np.ndarray:
+    """The shingles of a text, in order, from its word_sequences() row."""
+    words = np.frombuffer(items, np.uint32).astype(np.uint64)
+    return shingle_hashes(words, np.zeros(len(words), np.int64), 1, width)[0]
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what the given ones connect, one fewer than each component's nodes."""
     parent: dict[int, int] = {}

@@ -217,6 +217,18 @@ PAGES = {
 }
 
 
+LONG = "A long sentence, with commas and words enough to weigh, follows here; it goes on, and on, for a while."
+#: What the markup calls a part of the page is evidence, not a verdict.
+PAGES |= {
+    f"<article><p>{LONG}</p><section class=legal><p>{LONG}</p></section><p>{LONG}</p></article>": " ".join([LONG] * 3),
+    f"<article><p>{LONG}</p><div class='search-results'><p>{LONG}</p></div></article>": " ".join([LONG] * 2),
+    f"<article><p>{LONG} <math><mi>x</mi></math> and <label>so</label>.</p></article>": f"{LONG} x and so.",
+    f"<body><main><p>Hi.</p></main><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div></body>": f"Hi. {' '.join([LONG] * 3)}",
+    f"<article><p>{LONG}</p><p>{LONG}</p></article><div><p>Reader says, well, no.</p></div>": " ".join([LONG] * 2),
+    f"<article><p>{LONG}</p><div class='related'><a>More of it</a></div><p>{LONG}</p></article>": " ".join([LONG] * 2),
+}
+
+
 @pytest.mark.parametrize("page", PAGES)
 def test_main_text(page):
     assert html.main_text(page) == PAGES[page]
@@ -263,6 +275,23 @@ def test_near_duplicates(spark, documents, corpus, width, threshold):
     assert minhash.near_duplicates(documents.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_an_id(spark, prose):
+    """Texts of one id stay together; of rows with one id and one text one stays."""
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    rows = [(1, a, "x"), (1, b, "x"), (1, a, "x"), (2, c, "x"), (3, b, "x"), (4, None, "x"), (None, a, "x"), (None, a, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string").repartition(3)
+    out = sorted(((r["doc_id"] or 0, r["text"] or "") for r in minhash.drop_near_duplicates(df).collect()))
+    assert out == sorted([(0, a), (0, a), (1, a), (1, b), (2, c), (4, "")])
+    lab = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 0, 1), (3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.toxicity_scores(df, lab).count() == 8 and quality.quality_scores(df, lab).count() == 8
+    kept = quality.keep_good(df, lab)
+    assert kept.columns == df.columns and quality.keep_good(df, lab.limit(0)).count() in (0, 8)
+    assert secrets.find_secrets(df).count() == 8
+    clash = spark.createDataFrame([(1, f"password={'a1' * 9} {k}") for k in range(40)], "doc_id long, text string")
+    assert secrets.fit(clash) is not None and secrets.find_secrets(clash).where("size(spans) > 0").count() == 40
+
+
 def test_near_duplicates_of_many_unlike_copies(spark, prose, monkeypatch):
     """Copies edited so much that few link with a leader: all other links come from the blocks, here tiny ones."""
     monkeypatch.setattr(minhash, "BLOCK", 3000)
@@ -401,7 +430,7 @@ def test_passages_of_repeated_lines(spark, prose):
         got_ = windows.passages(hashes[a], windows.Side(hashes[b]), t, 0.8)
         assert any((s, e, u, v) == (x, x + 56, y, y + 56) for s, e, u, v, _ in got_)
     # all pairs of places, as they are found
-    a, b = (np.array([rng.randrange(4) for _ in range(n)], dtype=np.uint64) for n in (50, 40))
+    a, b = (np.array([2 * rng.randrange(3) + k % 2 for k in range(n)], dtype=np.uint64) for n in (50, 40))
     runs = list(zip(*(x.tolist() for x in windows.runs_of(a, windows.Side(b))), strict=True))
     assert sorted((s + k, u + k) for s, e, u in runs for k in range(e - s)) == [(i, j) for i in range(50) for j in range(40) if a[i] == b[j]]
     out = windows.repeated_passages(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
