@@ -13,9 +13,11 @@ those prefixes are merged, the longest lists are skipped.
 
 First each document is held against one leader, the document that most of its prefix lists
 name as having the most company. Lists whose documents are connected then need no more work.
-In what is left, documents of different components are compared, in blocks of about ``BLOCK``
-shingles: collisions are counted, collisions of a set with all sets of the block are counted on the full sets, a link
-is made in the first list that both share, and what links connect already is passed over. So large groups of copies cost a row for each copy, not for each pair.
+In the others, documents of different components are compared, in blocks of about ``BLOCK``
+shingles: an inverted join of the signatures in the block counts in how many coordinates two
+documents collide, pairs with fewer collisions than a link can have are passed over, and what
+is left is confirmed on the full sets, in the first list that both share. Pairs that links of the
+block have connected are not looked at again, so a large group of copies costs a row for each copy.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattix.llm.common import bloom_of_ids, checkpoint, chunks, components, may_hold, shingle_hashes, span_hashes, word_spans
+from lattix.llm.common import checkpoint, chunks, components, shingle_hashes, shingles_of, span_hashes, word_sequences, word_spans
 
 COORDINATES = 64
 BLOCK = 300_000
@@ -74,22 +76,6 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n long, digest binary, sig array<long>")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc_id, items) of the wanted ids: sets as sorted 8-byte hashes. Texts are filtered where they are read."""
-    packed = bloom_of_ids(wanted, "doc_id")
-
-    def rows(batches):
-        for b in batches:
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            keep = np.flatnonzero(may_hold(packed, ids))
-            if len(keep):
-                got = [(int(ids[keep[k]]), s.tobytes()) for k, s in sets_of(b.column("text").take(pa.array(keep)), width)]
-                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary())], ["doc_id", "items"])
-
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(rows, "doc_id long, items binary")
-    return checkpoint(found.join(wanted, "doc_id", "left_semi"))
-
-
 def linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
     """Whether 100 * intersection >= threshold * union of two sorted sets."""
     small, large = (a, b) if len(a) <= len(b) else (b, a)
@@ -100,11 +86,19 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
     return 100 * both >= threshold * (len(a) + len(b) - both)
 
 
-def _confirm(threshold: int):
+def set_of(items: bytes, width: int) -> np.ndarray:
+    """The sorted distinct shingles of a text's word_sequences() row."""
+    return np.unique(shingles_of(items, width))
+
+
+def _confirm(width: int, threshold: int):
     def rows(batches):
         for b in batches:
-            x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
-            ok = np.array([linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), threshold) for p, q in zip(x, y, strict=True)], dtype=bool)
+            ok, last = np.zeros(b.num_rows, bool), (b"", np.zeros(0, np.uint64))
+            for k, (x, y) in enumerate(zip(b.column("x"), b.column("y"), strict=True)):
+                if last[0] != (y := y.as_py()):  # rows come by leader
+                    last = y, set_of(y, width)
+                ok[k] = linked(set_of(x.as_py(), width), last[1], threshold)
             yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], ["a", "b"])
 
     return rows
@@ -126,20 +120,26 @@ class Postings:
         return np.bincount(self.owner[at], minlength=len(self.size))
 
 
+def collisions_needed(coordinates: int, threshold: int) -> int:
+    """The least number of coordinates, of those a set has, in which it collides with a set that it links with."""
+    return max(1, int(np.ceil((1 - slack(threshold)) * coordinates - 1e-9)))
+
+
 def block_links(ids, comp, side, sets, prefixes, key: int, same: bool, threshold: int) -> list[tuple[int, int]]:
     """Links that connect components of one block pair of a list.
 
     side is 0 or 1, the block of each document; with same, both blocks are one. Documents of the
     largest component are not held against each other.
     """
-    posts, label = Postings(sets), comp.copy()
+    signs = [signature(s) for s in sets]
+    posts, label = Postings(signs), comp.copy()
+    need = np.array([collisions_needed(len(s), threshold) for s in signs])
     values, counts = np.unique(comp, return_counts=True)
     rows = np.flatnonzero(comp != values[counts.argmax()])
     order: list[dict[int, int] | None] = [None] * len(ids)
     out = []
     for i in rows.tolist():
-        both = posts.common(sets[i])
-        ok = (100 * both >= threshold * (posts.size + posts.size[i] - both)) & (label != label[i])
+        ok = (posts.common(signs[i]) >= np.maximum(need, need[i])) & (label != label[i])
         if not same:
             ok &= side != side[i]
         for j in np.flatnonzero(ok).tolist():
@@ -148,7 +148,7 @@ def block_links(ids, comp, side, sets, prefixes, key: int, same: bool, threshold
             for k in (i, j):
                 if order[k] is None:
                     order[k] = dict.fromkeys(prefixes[k], 0)
-            if next(k for k in order[i] if k in order[j]) != key:
+            if next((k for k in order[i] if k in order[j]), key) != key or not linked(sets[i], sets[j], threshold):
                 continue  # confirmed in the first list that they share
             low, high = min(label[i], label[j]), max(label[i], label[j])
             label[label == high] = low
@@ -181,15 +181,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 85) -> Dat
     votes = member.join(leads, "key").where("leader <> doc_id").groupBy("doc_id", "leader").agg(F.count("*").alias("v"))
     pairs = checkpoint(votes.groupBy("doc_id").agg(F.max(F.struct("v", F.negate("leader").alias("d"))).alias("top")).select(F.col("doc_id").alias("a"), F.negate("top.d").alias("b")))
     mixed_ids = member.join(leads.select("key"), "key").select("doc_id").distinct()
-    items = full_sets(docs, mixed_ids, width)
+    items = word_sequences(docs, mixed_ids)
     x, y = items.withColumnsRenamed({"doc_id": "a", "items": "x"}), items.withColumnsRenamed({"doc_id": "b", "items": "y"})
-    first = checkpoint(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(threshold), "a long, b long"))
+    first = checkpoint(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(width, threshold), "a long, b long"))
 
     # lists that still hold several components
     comp = components(first)
     seen = checkpoint(prefix.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n", "keys", F.coalesce("component", "doc_id").alias("comp")))
     place = seen.select("doc_id", "n", "comp", F.explode("keys").alias("key"))
-    mixed = place.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    mixed = place.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.col("n") + COORDINATES).alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     spread = (
         place.join(mixed, "key")
         .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 85) -> Dat
 
     def compare(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by([("comp", "ascending"), ("doc_id", "ascending")])
-        sets = [np.frombuffer(s, np.uint64) for s in t.column("items").to_pylist()]
+        sets = [set_of(s, width) for s in t.column("items").to_pylist()]
         k, i, j = (x.as_py() for x in key)
         got = block_links(t.column("doc_id").to_numpy(), t.column("comp").to_numpy().copy(), t.column("side").to_numpy(), sets, t.column("keys").to_pylist(), k, i == j, threshold)
         return pa.table({"a": pa.array([g[0] for g in got], pa.int64()), "b": pa.array([g[1] for g in got], pa.int64())})
@@ -213,6 +213,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 85) -> Dat
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 85) -> DataFrame:
-    """One row of docs for each component, that of the smallest id, with all columns; rows without an id stay."""
+    """The rows of docs, with all columns, of the smallest id of each component; rows without an id stay.
+
+    Of rows with one id and one text one stays (if their other columns differ, either); an id
+    that has several texts keeps them all or none.
+    """
     kept = near_duplicates(docs.select("doc_id", "text"), width, threshold).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id is null"))
+    rows = docs.where("doc_id is not null").withColumn("_k1", F.xxhash64("text")).withColumn("_k2", F.xxhash64(F.lit(1), "text"))
+    return rows.join(kept, "doc_id").dropDuplicates(["doc_id", "_k1", "_k2"]).select(*docs.columns).union(docs.where("doc_id is null"))
