@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattix.llm.common import checkpoint, chunks, crc_bucket, mix, shingle_hashes, span_hashes, word_spans
+from lattix.llm.common import bloom_of_ids, checkpoint, chunks, crc_bucket, may_hold, mix, shingle_hashes, span_hashes, word_spans
 
 NAMES = (
     "log_chars", "log_words", "word_length", "upper", "symbols", "digits", "stops", "pipes",
@@ -197,8 +197,24 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", f
     ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def labelled_statistics(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, stats) of the documents that labels name, and perhaps others: texts are filtered where they are read."""
+    packed = bloom_of_ids(labels, "doc_id")
+
+    def rows(batches):
+        for b in batches:
+            keep = pa.array(np.flatnonzero(may_hold(packed, b.column("doc_id").to_numpy(zero_copy_only=False))))
+            for i, j, data, offsets in chunks(b.column("text").take(keep)):
+                flat = statistics_of(data, offsets).ravel()
+                stats = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, D, dtype=np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(keep[i:j]), stats], ["doc_id", "stats"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    return texts.mapInArrow(rows, "doc_id long, stats array<double>")
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that the classifier accepts, with all their columns."""
-    stats = docs.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", statistics(F.col("text")).alias("stats"))
-    model = fit(stats, labels.where(crc_bucket(F.col("doc_id"), folds) != held), label)
+    """The rows of docs that the classifier accepts, with all their columns; texts are not shuffled."""
+    learned = labels.where(crc_bucket(F.col("doc_id"), folds) != held)
+    model = fit(labelled_statistics(docs, learned), learned, label)
     return docs.where(model.score(statistics(F.col("text"))) >= threshold)
