@@ -3,10 +3,14 @@
 A page is read as a sequence of text runs, each with the path of tags from the root to it. Runs
 of one path are taken together: their characters, their punctuation and how many they are. A
 path's ratio is (characters + 8 * punctuation) / runs; it is smoothed over the paths next to it
-in page order, and fused with the ratio of the container it lies in, so that headings and short
-paragraphs are judged with the article around them. Paths under a fixed share of the best are
-dropped. Runs under elements that never hold main text (scripts, menus, forms, what a class,
-id or role calls an advert, a notice, a sidebar, comments, ...) don't take part.
+in page order, and fused with the share of the page's text that its container holds, so that
+headings and short paragraphs are judged with the article around them.
+
+What the markup says is evidence that goes into the fused score, not a verdict: a path in an
+article or main element scores ``INSIDE`` at least; what lies outside of one, on a page that has
+one, and what a class, id or role calls an advert, a sidebar, comments, a notice, ... is scaled
+down. Paths under a fixed share of the best are dropped. Only runs under elements that cannot
+hold main text (scripts, menus, page headers and footers, asides, forms), and hidden ones, take no part.
 
 Each page is its own unit of work: no shuffle, and a task holds one batch of pages.
 """
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 # Element names, and words of class, id and role values.
 RAW = ("script", "style", "noscript", "template", "svg", "textarea", "title", "iframe", "object", "canvas", "xmp")
-NEVER = {"head", "script", "style", "noscript", "template", "svg", "math", "textarea", "title", "iframe", "object", "canvas", "audio", "video", "map", "xmp", "nav", "footer", "aside", "form", "button", "select", "option", "input", "label", "fieldset", "dialog", "menu", "legend", "datalist"}
+NEVER = {"head", "script", "style", "noscript", "template", "svg", "textarea", "title", "iframe", "object", "canvas", "audio", "video", "map", "xmp", "nav", "footer", "aside", "form", "button", "select", "option", "input", "fieldset", "dialog", "menu", "datalist"}
 MAIN = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
@@ -31,31 +35,37 @@ CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "d
 LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "blockquote", "td", "th", "tr", "figcaption", "caption", "tbody", "thead", "ul", "ol", "dl", "table"} | INLINE
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "aside", "nav", "footer", "header", "form", "body", "td", "th", "blockquote", "figure", "details", "fieldset"}
-BAD_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adbox", "banner", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "side", "aside", "widget", "related", "recommended", "share", "sharing", "social", "footer", "masthead", "topbar", "toolbar", "pagination", "pager", "comment", "comments", "disqus", "replies", "reply", "respond", "disclaimer", "copyright", "legal", "tags", "complementary", "contentinfo", "search", "skip", "hidden"}
+STRONG = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adbox", "banner", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "aside", "related", "recommended", "share", "sharing", "social", "footer", "masthead", "topbar", "toolbar", "pagination", "pager", "comment", "comments", "disqus", "replies", "respond", "complementary", "contentinfo"}
+WEAK = {"notice", "notices", "alert", "side", "widget", "reply", "disclaimer", "copyright", "legal", "tags", "search", "skip"}
 PUNCTUATION = frozenset(".,;:!?…。，、")
 SHARE = 0.2
+#: The least score of a path in an article or main element; what scales scores down: a weak and a strong word, and lying outside.
+INSIDE, WEAK_FACTOR, STRONG_FACTOR, OUTSIDE = 0.5, 0.35, 0.1, 0.15
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
-def _unwanted(tag: str, attrs: str, stack: list) -> bool:
+def _judged(tag: str, attrs: str, stack: list) -> tuple[bool, float]:
+    """Whether an element takes no part, and the factor that its class, id and role give."""
     if tag in NEVER or tag == "header" and not any(s[0] in MAIN for s in stack):
-        return True
+        return True, 0.0
+    factor = 1.0
     if attrs and tag not in ("html", "body"):
         for name, value in _ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'").lower()
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-            if name in ("class", "id", "role") and tag not in MAIN and BAD_WORDS & set(re.split(r"[^a-z]+", value)):
-                return True
-    return False
+                return True, 0.0
+            if name in ("class", "id", "role") and tag not in MAIN:
+                words = set(re.split(r"[^a-z]+", value))
+                factor = min(factor, STRONG_FACTOR if STRONG & words else WEAK_FACTOR if WEAK & words else 1.0)
+    return False, factor
 
 
-def runs(page: str) -> list[tuple[str, str, int, str, bool]]:
-    """(path, container path, block number, text, under main?) of the text runs that may be main text."""
-    out, stack = [], []  # stack: (tag, unwanted so far)
+def runs(page: str) -> list[tuple[str, str, int, str, bool, float]]:
+    """(path, container path, block number, text, under main?, factor) of the text runs that may be main text."""
+    out, stack = [], []  # stack: (tag, unwanted so far, factor so far)
     block, at, n = 0, 0, len(page)
     while at < n:
         m = _TOKEN.match(page, at)
@@ -88,7 +98,8 @@ def runs(page: str) -> list[tuple[str, str, int, str, bool]]:
                         break
                     if stack[k][0] in SCOPE - SAME[tag]:
                         break
-            stack.append((tag, bool(stack and stack[-1][1]) or _unwanted(tag, m[3], stack)))
+            unwanted, factor = _judged(tag, m[3], stack)
+            stack.append((tag, unwanted or bool(stack and stack[-1][1]), min(factor, stack[-1][2] if stack else 1.0)))
         elif m[1]:
             tag = m[1].lower()
             if tag not in INLINE:
@@ -101,25 +112,24 @@ def runs(page: str) -> list[tuple[str, str, int, str, bool]]:
                     break
         elif token[0] != "<" or token == "<" or token.startswith("<![CDATA["):
             if not (stack and stack[-1][1]) and token.strip():
-                tags = [s[0] for s in stack]
+                tags = [f"{s[0]}{s[2]:g}" if s[2] < 1 else s[0] for s in stack]  # what is judged apart has a path of its own
                 k = len(tags)
-                while k and tags[k - 1] in LEAVES:
+                while k and stack[k - 1][0] in LEAVES:
                     k -= 1
                 text = token[9:-3] if token.startswith("<![CDATA[") else html.unescape(token)
-                out.append(("/".join(tags), "/".join(tags[:k]), block, text, bool(MAIN & set(tags))))
+                out.append(("/".join(tags), "/".join(tags[:k]), block, text, any(s[0] in MAIN for s in stack), stack[-1][2] if stack else 1.0))
             elif not (stack and stack[-1][1]):
-                out.append(("", "", block, token, False))  # white space between runs
+                out.append(("", "", block, token, False, 1.0))  # white space between runs
     return out
 
 
 def main_text(page: str | None, share: float = SHARE) -> str:
     """The main text: blocks in page order, joined by one space; empty if the page has none."""
     got = runs(page or "")
-    if any(r[4] for r in got):  # outside of article or main there is no main text
-        got = [r for r in got if r[4] or not r[0]]
+    main = any(r[4] for r in got)
     totals: dict[str, list[float]] = {}
     inside: dict[str, list[float]] = {}
-    for path, container, _, text, _ in got:
+    for path, container, _, text, _, _ in got:
         if path or text.strip():
             values = (len(text), sum(c in PUNCTUATION for c in text), 1)
             for store, key in ((totals, path), (inside, container)):
@@ -135,11 +145,17 @@ def main_text(page: str | None, share: float = SHARE) -> str:
     smooth = {p: (own[max(0, k - 1)] + 2 * own[k] + own[min(len(own) - 1, k + 1)]) / 4 for k, p in enumerate(paths)}
     mass = {c: v[0] + 8 * v[1] for c, v in inside.items()}
     most = max(mass.values())
-    of = {r[0]: r[1] for r in got if r[0] in totals}
-    fused = {p: 0.5 * smooth[p] / max(smooth.values()) + 0.5 * mass[of[p]] / most for p in paths}
+    of = {r[0]: r for r in got if r[0] in totals}
+    high = max(smooth.values())
+    fused = {}
+    for p in paths:
+        _, container, _, _, inside_main, factor = of[p]
+        own = 0.5 * smooth[p] / high + 0.5 * mass[container] / most
+        fused[p] = factor * (max(own, INSIDE) if inside_main else own * OUTSIDE if main else own)
+    best = max(fused.values())
     blocks, last = [], None
-    for path, _, block, text, _ in got:
-        if path in fused and fused[path] < share * max(fused.values()):
+    for path, _, block, text, _, _ in got:
+        if path in fused and fused[path] < share * best:
             continue
         if block != last:
             blocks.append(" ")
