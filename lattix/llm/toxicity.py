@@ -7,22 +7,28 @@ and without the label that hold it, and a logistic regression with L2 penalty we
 scaled features. Features whose ratio is not clear (``|r| * sqrt(texts)``) get no weight.
 
 The classifier is fitted to at most ``sample`` labelled texts, the first by a digest of the id,
-half of them of each label if there are enough; that bound, not the corpus, sizes the fit. The
+half of them of each label if there are enough, with ``most`` features together and weights for
+the ``keep`` clearest; these bounds, not the corpus, size the fit. The
 weights are one array of fixed size and travel with the scoring function over all texts.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattix.llm.common import crc_bucket
+from lattix.llm.common import checkpoint, crc_bucket
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
 SAMPLE = 8000
+MOST_FEATURES = 80_000_000
+KEEP = 40_000
 THRESHOLD = 0.3
 BATCH_CHARS = 1 << 19
 _M = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0x2545F491)]
@@ -52,7 +58,7 @@ def features(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate([grams(x, n) for n in ORDERS]))
 
 
-def train(rows: list[np.ndarray], y: np.ndarray, keep: int = 40_000, least: float = 6.0, penalty: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, float]:
+def train(rows: list[np.ndarray], y: np.ndarray, keep: int = KEEP, least: float = 6.0, penalty: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, float]:
     """(weight of each feature, its bias) from each text's feature numbers and labels 0 and 1."""
     w, bias = np.zeros(1 << BITS, np.float32), 0.0
     P, Q = float((y == 1).sum()), float((y == 0).sum())
@@ -87,30 +93,43 @@ def train(rows: list[np.ndarray], y: np.ndarray, keep: int = 40_000, least: floa
     return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Weights and bias from at most ``sample`` rows of labels (doc_id, label), fitted in one task."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, most: int = MOST_FEATURES, keep: int = KEEP) -> tuple[np.ndarray, float]:
+    """Weights and bias from at most ``sample`` rows of labels (doc_id, label), fitted in one task.
+
+    The texts hold ``most`` features together at most, and ``keep`` features get a weight, so the
+    task's memory is bounded. Of the texts of an id that repeats, that with the smallest digest is taken.
+    """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
     picked = None
     for c in (1, 0):
         part = known.where(F.col("y") == c).orderBy(order, "doc_id").limit(sample // 2)
         picked = part if picked is None else picked.union(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most ``sample`` ids
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")  # at most ``sample`` ids
 
     def gather(batches):
         for b in batches:
-            got = [features(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([g.astype(np.uint32).tobytes() for g in got], pa.binary())], ["y", "f"])
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                texts = part.column("text").to_pylist()
+                got = [features(t).astype(np.uint32) for t in texts]
+                mark = [hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=8).digest() for t in texts]
+                packed = [pa.compress(np.diff(g, prepend=np.uint32(0)).tobytes(), codec="zstd", asbytes=True) for g in got]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(mark, pa.binary()), pa.array([len(g) for g in got], pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "y", "mark", "n", "f"])
 
     def solve(table: pa.Table) -> pa.Table:
-        packed = table.column("f").combine_chunks()
-        at, raw = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset :], packed.buffers()[2]
-        rows = [np.frombuffer(raw, np.uint32, (at[k + 1] - at[k]) // 4, at[k]) for k in range(len(packed))]
-        w, b = train(rows, table.column("y").to_numpy())
+        table = table.sort_by([("doc_id", "ascending")])
+        rows = [np.cumsum(np.frombuffer(pa.decompress(f, 4 * n, codec="zstd", asbytes=True), np.uint32), dtype=np.uint32) for f, n in zip(table.column("f").to_pylist(), table.column("n").to_pylist(), strict=True)]
+        w, b = train(rows, table.column("y").to_numpy(), keep)
         at = np.flatnonzero(w).astype(np.int32)
         return pa.table({"bias": pa.array([b], pa.float64()), "at": pa.array([at.tobytes()], pa.binary()), "w": pa.array([w[at].tobytes()], pa.binary())})
 
-    got = rows.mapInArrow(gather, "y int, f binary").withColumn("one", F.lit(1)).groupBy("one").applyInArrow(solve, "bias double, at binary, w binary").collect()
+    found = rows.mapInArrow(gather, "doc_id long, y int, mark binary, n int, f binary")
+    found = checkpoint(found.groupBy("doc_id").agg(F.min_by(F.struct("y", "n", "f"), "mark").alias("r")).select("doc_id", "r.*"))
+    # the smallest digests of ids first, as far as their features go together into ``most``
+    size = W.orderBy(order, "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    within = found.select("doc_id", F.sum("n").over(size).alias("upto")).where(F.col("upto") <= most).select("doc_id")
+    got = found.join(F.broadcast(within), "doc_id").withColumn("one", F.lit(1)).groupBy("one").applyInArrow(solve, "bias double, at binary, w binary").collect()
     w = np.zeros(1 << BITS, np.float32)
     if not got:
         return w, 0.0
