@@ -502,7 +502,31 @@ def split_rows(spark, d):
     return sampling.split(designs(spark, d), 0.2, 13, "combo").select("o_orderkey", "is_val")
 
 
-@query()
+_RANKED = f"""{V_COMBO}, {V_LIB}, d AS (SELECT DISTINCT combo FROM v_combo),
+mp AS (SELECT CASE WHEN i = 1 THEN '^' ELSE substr(seq, (i - 1)::INT, 1) END AS prev, substr(seq, i::INT, 1) AS cur FROM v_lib, range(1, 200) r(i) WHERE i <= length(seq)),
+model AS (SELECT prev || cur AS p, ln((count(*) + 1) / (sum(count(*)) OVER (PARTITION BY prev) + 28)) AS ll FROM mp GROUP BY prev, cur), mm AS (SELECT map(list(p), list(ll)) AS m FROM model),
+bs AS (SELECT combo, string_agg(seq, '' ORDER BY slot) AS seq, list(length(seq)::INT ORDER BY slot) AS lens FROM d, v_lib WHERE letter = substr(combo, slot, 1) GROUP BY combo),
+ts AS (SELECT combo, seq, list_transform(range(1, 11), lambda i: list_sum(list_slice(lens, 1, i))::INT) AS bounds, list_transform(range(1, length(seq) + 1), lambda i: coalesce(m[CASE WHEN i = 1 THEN '^' || substr(seq, 1, 1) ELSE substr(seq, (i - 1)::INT, 2) END], -8.0::DOUBLE)) AS ll FROM bs, mm),
+js AS (SELECT combo, seq, list_avg(ll) AS global_score, list_transform(bounds, lambda b: list_avg(list_slice(ll, greatest(b - 25, 1) + 1, least(length(seq)::INT, b + 25)))) AS j FROM ts),
+ss AS (SELECT combo, seq, global_score, list_avg(j) AS junction_mean, list_min(j) AS junction_min, j[1] AS junction_01, j[10] AS junction_10 FROM js),
+short AS (SELECT * FROM ss ORDER BY global_score + 0.5::DOUBLE * junction_mean + 0.5::DOUBLE * junction_min DESC, combo LIMIT 500),
+cal AS (SELECT *, 1 / (1 + exp(-({ARTIFACT['intercept']}::DOUBLE + {_A[0]}::DOUBLE * global_score + {_A[1]}::DOUBLE * junction_mean + {_A[2]}::DOUBLE * junction_min))) AS prob FROM short),
+o AS (SELECT *, row_number() OVER (ORDER BY prob DESC, combo) AS n FROM cal),
+g AS (SELECT 0::BIGINT AS n, []::VARCHAR[] AS acc UNION ALL SELECT o.n, CASE WHEN len(acc) < 50 AND len(list_filter(acc, lambda y: hamming(y, o.combo) < 2)) = 0 THEN list_append(acc, o.combo) ELSE acc END FROM g JOIN o ON o.n = g.n + 1),
+a AS (SELECT acc FROM g ORDER BY n DESC LIMIT 1), p AS (SELECT o.* FROM o, a ORDER BY NOT list_contains(acc, combo), n LIMIT 50)"""
+
+
+@query(f"""WITH RECURSIVE {_RANKED} SELECT row_number() OVER (ORDER BY prob DESC, combo)::INT AS final_rank, combo AS combo_compact, seq AS sequence_aa, sha256(seq) AS sequence_hash,
+  round(global_score, 6) AS global_score, round(junction_mean, 6) AS junction_mean, round(junction_min, 6) AS junction_min, round(ln(prob), 6) AS log_prob, junction_min >= {ARTIFACT['s_min_threshold']}::DOUBLE AS passes_s_min,
+  round(junction_01, 6) AS junction_01, round(junction_10, 6) AS junction_10, 'r1' AS source_run_id, 13::BIGINT AS seed FROM p""")
 def rank_candidates(spark, d):
-    """The flagship: designs of all orders built, scored, cut to a shortlist, rescored, calibrated, diversified, ranked."""
-    return rank(designs(spark, d).select(F.col("combo").alias("combo_compact")).distinct(), parts(spark, d), ARTIFACT)
+    """The flagship: designs of all orders scored, cut to a shortlist, rescored, calibrated, diversified, ranked."""
+    out = rank(designs(spark, d).select("idx", F.col("combo").alias("combo_compact")).distinct(), parts(spark, d), ARTIFACT, run_id="r1", seed=13)
+    rounded = [F.round(c, 6).alias(c) for c in ("global_score", "junction_mean", "junction_min", "junction_01", "junction_10")]
+    return out.select("final_rank", "combo_compact", "sequence_aa", "sequence_hash", *rounded, F.round(F.log("calibrated_prob"), 6).alias("log_prob"), "passes_s_min", "source_run_id", "seed")
+
+
+@query()
+def rank_exhaustive(spark, d):
+    """All 4 ** 11 designs over the fragments of part, ranked."""
+    return rank(ranking.enumerated(spark), parts(spark, d), ARTIFACT, run_id="all", seed=0)

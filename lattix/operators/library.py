@@ -140,8 +140,11 @@ def six_frame_candidates(fragments_: DataFrame, dna: str = "dna", reverse: bool
 
 
 def translated_candidates(fragments_: DataFrame, parents: DataFrame, reverse: bool = True) -> DataFrame:
-    """Aligned and scored candidates of fragments (parent, slot, dna) against parents (parent, protein)."""
-    named = six_frame_candidates(fragments_, reverse=reverse).join(F.broadcast(parents.select("parent", "protein").limit(MOST_FRAGMENTS)), "parent", "left")
+    """Aligned and scored candidates of fragments (parent, slot, dna) against parents (parent, protein), of which MOST_FRAGMENTS are the most."""
+    proteins = parents.select("parent", "protein")
+    if proteins.limit(MOST_FRAGMENTS + 1).count() > MOST_FRAGMENTS:
+        raise ValueError("too many parents to send to all tasks")
+    named = six_frame_candidates(fragments_, reverse=reverse).join(F.broadcast(proteins), "parent", "left")
     checked = named.withColumn("protein", F.coalesce("protein", F.raise_error(F.concat(F.lit("no protein of "), F.col("parent")))))
     found = align(checked, "protein", "aa_raw").where("align_score is not null")
     aa = sequences.trimmed(F.col("aa_raw"), F.col("query_start"), F.col("query_end"))

@@ -37,13 +37,14 @@ def scored(rows: DataFrame, memo: DataFrame, score: Callable[[DataFrame], DataFr
     """rows with scores: from the memo if it has them, else from ``score``, once for each key.
 
     score gets rows of distinct keys and adds global_score and junction_scores. The columns of
-    rows go through it; nothing is put together by position.
+    rows go through it; nothing is put together by position. Rows without a key are scored as
+    one more key.
     """
     split = marked(rows, memo)
     hits = split.where("teacher_cache_hit")
     misses = split.where("not teacher_cache_hit").drop("global_score", "junction_scores")
-    new = score(misses.dropDuplicates(["key"])).select("key", "global_score", "junction_scores")
-    return hits.unionByName(misses.join(new, "key"))
+    new = score(misses.dropDuplicates(["key"])).select(F.col("key").alias("_key"), "global_score", "junction_scores")
+    return hits.unionByName(misses.join(new, F.col("key").eqNullSafe(F.col("_key"))).drop("_key"))
 
 
 def append(path: str, rows: DataFrame) -> None:

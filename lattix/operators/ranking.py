@@ -54,13 +54,14 @@ def top_k_bucketed(df: DataFrame, k: int, path: str, bucket: Column, n: int, sco
 def greedy_diversity(df: DataFrame, k: int, score: str = "calibrated_prob", key: str = "combo_compact", least: int = 2, most: int = 20_000) -> DataFrame:
     """k rows of df, the best first, each ``least`` slots from those before, then the best of the rest if too few.
 
-    The choice depends on all earlier ones, so it is a fold over one sorted array; ``most`` bounds
-    it, and the rows beyond, which come last by score, are left out, as a shortlist is. Adds
+    The choice depends on all earlier ones, so it is a fold over one sorted array; more than
+    ``most`` rows are an error, for they may hold some that are far enough: cut a shortlist first. Adds
     selection_order, diversity_selected and selection_reason (distance or backfill).
     """
-    rows = df.orderBy(junctions.orderable(F.col(score)).desc_nulls_last(), key).limit(most)
+    rows = df.limit(most + 1)
     items = rows.select(F.struct(F.negate(F.coalesce(junctions.orderable(F.col(score)), F.lit(float("-inf")))).alias("_s"), F.col(key).alias("_key"), F.struct(*df.columns).alias("_row")).alias("x"))
-    all_ = items.agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    bounded = F.when(F.count("*") <= most, F.array_sort(F.collect_list("x")))
+    all_ = items.agg(F.coalesce(bounded, F.raise_error(F.lit("too many rows to choose from"))).alias("xs"))
     kind = all_.schema["xs"].dataType.simpleString()
     wanted = max(k, 1)
     near = lambda acc, x: F.exists(acc, lambda y: combos.hamming_text(x["_key"], y["_key"]) < least)
