@@ -7,6 +7,7 @@ from events, features from labelled documents.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lattix.functions import combos, junctions, sequences
+from lattix.jobs import fragment_library
+from lattix.jobs.calibrate import calibrate
+from lattix.jobs.distill import distill
 from lattix.jobs.rank import rank
 from lattix.operators import alignment, calibration, library, memo, ranking, reports, sampling, scorers
-from lattix.session import ship
+from lattix.session import scratch, ship
 from lattix.sources.readers import fragment_name
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -332,7 +336,7 @@ def label_union(spark, d):
 
 @query(f"WITH {V_LAB} SELECT label, round(quantile_cont(junction_min, 0.1) FILTER (NOT isnan(junction_min)), 6) AS s_min FROM v_lab GROUP BY label")
 def s_min_quantile(spark, d):
-    return features(spark, d).groupBy("label").agg(F.round(calibration.s_min(), 6).alias("s_min"))
+    return calibration.s_min_grouped(features(spark, d), "label").select("label", F.round("s_min", 6).alias("s_min"))
 
 
 @query(f"""WITH {V_LAB} SELECT label, round(avg(global_score), 6) AS global_score, round(avg(junction_mean), 6) AS junction_mean, round(avg(junction_min) FILTER (NOT isnan(junction_min)), 6) AS junction_min, count(*) AS n FROM v_lab GROUP BY label""")
@@ -430,11 +434,38 @@ def slots_increasing(spark, d):
     return library.slots_increasing(library.best(candidates(spark, d)))
 
 
-@query()
+_SENTINEL = "{'score': -1e300::DOUBLE, 'stop': -1000000::INT, 'path': []::BIGINT[]}"
+
+
+def _chain(source: str, keep: int) -> str:
+    """SQL of the chains of candidates: the states of a parent's slot are a list, a step makes the next from it."""
+    best = lambda xs: f"list_reduce(list_concat([{_SENTINEL}], {xs}), lambda a, b: CASE WHEN b.score > a.score THEN b ELSE a END)"
+    before = best("list_filter(st, lambda s: c.b >= s.stop - 5)")
+    return f"""r AS (SELECT *, row_number() OVER ({_ORDER}) AS rk FROM {source} QUALIFY rk <= {keep}),
+o AS (SELECT parent, slot, list({{'g': gen_idx::BIGINT, 's': adjusted_score::DOUBLE, 'b': parent_start, 'e': parent_end}} ORDER BY rk) AS opts FROM r GROUP BY parent, slot),
+q AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY slot) AS k, count(*) OVER (PARTITION BY parent) AS n FROM o),
+f AS (SELECT parent, k, n, list_transform(opts, lambda c: {{'score': c.s, 'stop': c.e, 'path': [c.g]}}) AS st FROM q WHERE k = 1
+  UNION ALL SELECT f.parent, q.k, f.n, list_filter(list_transform(opts, lambda c: {{'score': {before}.score + c.s, 'stop': c.e, 'path': CASE WHEN len({before}.path) > 0 THEN list_append({before}.path, c.g) ELSE []::BIGINT[] END}}), lambda s: len(s.path) > 0) FROM f JOIN q ON q.parent = f.parent AND q.k = f.k + 1),
+e AS (SELECT parent, {best('st')}.path AS path FROM f WHERE k = n),
+ch AS (SELECT q.parent, q.slot, CASE WHEN len(path) > 0 THEN path[q.k] ELSE opts[1].g END AS gen_idx, len(path) = 0 AS fell_back FROM q JOIN e USING (parent))"""
+
+
+@query(f"WITH RECURSIVE {V_CAND}, {_chain('v_cand', 3)} SELECT ch.parent, ch.slot, ch.gen_idx, adjusted_score, fell_back FROM ch JOIN v_cand USING (gen_idx)")
 def chain_dp(spark, d):
     return library.chain(candidates(spark, d)).select("parent", "slot", "gen_idx", "adjusted_score", "fell_back")
 
 
+@query(f"""WITH RECURSIVE {V_CAND}, kept AS (SELECT * FROM v_cand QUALIFY stop_count <= 0 OR min(stop_count) OVER (PARTITION BY parent, slot) > 0), {_chain('kept', 5)},
+am AS (SELECT parent, slot, coalesce(adjusted_score - lead(adjusted_score) OVER ({_ORDER}) < 25, false) AS ambiguous FROM kept QUALIFY row_number() OVER ({_ORDER}) = 1),
+rows_ AS (SELECT ch.parent, ch.slot, ch.gen_idx, adjusted_score, fell_back, ambiguous, parent_start, parent_end, concat_ws(';', CASE WHEN ambiguous THEN 'ambiguous_top2' END, CASE WHEN stop_count > 0 THEN 'stop_in_trimmed' END) AS warnings FROM ch JOIN v_cand USING (gen_idx) JOIN am ON am.parent = ch.parent AND am.slot = ch.slot),
+inc AS (SELECT parent, bool_and(ok) AS slots_increasing FROM (SELECT parent, parent_start >= lag(parent_end, 1, -1) OVER (PARTITION BY parent ORDER BY slot) - 5 AS ok FROM rows_) GROUP BY parent)
+SELECT parent, slot, gen_idx, adjusted_score, fell_back, ambiguous, warnings, slots_increasing FROM rows_ JOIN inc USING (parent)""")
+def library_build(spark, d):
+    """The library job's choice over all candidates: stop filter, chains, ambiguity, warnings, order of slots."""
+    rows = fragment_library.warned(fragment_library.chosen(candidates(spark, d)).withColumn("x_fraction", F.lit(0.0)))
+    return rows.join(library.slots_increasing(rows), "parent").select("parent", "slot", "gen_idx", "adjusted_score", "fell_back", "ambiguous", "warnings", "slots_increasing")
+
+
 _CUT = "CASE WHEN o_orderkey % 7 = {k} THEN '?' ELSE lower(substr(combo, {i}, 1)) || ' ' END"
 _WIDE = ", ".join(f"{_CUT.format(k=i % 7, i=i)} AS s{i:02d}" for i in range(1, 12))
 
@@ -497,18 +528,20 @@ def bigram_score(spark, d):
     return scorers.bigram_scorer(scorers.bigram_fit(rows))(rows).select("p_partkey", F.round(junctions.global_score(F.col("token_ll")), 6).alias("global_score"))
 
 
-@query()
+@query(f"""WITH {V_COMBO}, h AS (SELECT o_orderkey, ('0x' || substr(md5('13:' || combo), 1, 15))::BIGINT AS h, combo FROM v_combo)
+SELECT o_orderkey, row_number() OVER (ORDER BY h % 65536, h, combo) <= (SELECT greatest(1, least(count(*) - 1, round(count(*) * 0.2))) FROM h) AS is_val FROM h""")
 def split_rows(spark, d):
     return sampling.split(designs(spark, d), 0.2, 13, "combo").select("o_orderkey", "is_val")
 
 
-_RANKED = f"""{V_COMBO}, {V_LIB}, d AS (SELECT DISTINCT combo FROM v_combo),
-mp AS (SELECT CASE WHEN i = 1 THEN '^' ELSE substr(seq, (i - 1)::INT, 1) END AS prev, substr(seq, i::INT, 1) AS cur FROM v_lib, range(1, 200) r(i) WHERE i <= length(seq)),
+#: Scores of the designs d by the letter-pair model of the library.
+_PAIR_SCORES = f"""mp AS (SELECT CASE WHEN i = 1 THEN '^' ELSE substr(seq, (i - 1)::INT, 1) END AS prev, substr(seq, i::INT, 1) AS cur FROM v_lib, range(1, 200) r(i) WHERE i <= length(seq)),
 model AS (SELECT prev || cur AS p, ln((count(*) + 1) / (sum(count(*)) OVER (PARTITION BY prev) + 28)) AS ll FROM mp GROUP BY prev, cur), mm AS (SELECT map(list(p), list(ll)) AS m FROM model),
 bs AS (SELECT combo, string_agg(seq, '' ORDER BY slot) AS seq, list(length(seq)::INT ORDER BY slot) AS lens FROM d, v_lib WHERE letter = substr(combo, slot, 1) GROUP BY combo),
 ts AS (SELECT combo, seq, list_transform(range(1, 11), lambda i: list_sum(list_slice(lens, 1, i))::INT) AS bounds, list_transform(range(1, length(seq) + 1), lambda i: coalesce(m[CASE WHEN i = 1 THEN '^' || substr(seq, 1, 1) ELSE substr(seq, (i - 1)::INT, 2) END], -8.0::DOUBLE)) AS ll FROM bs, mm),
 js AS (SELECT combo, seq, list_avg(ll) AS global_score, list_transform(bounds, lambda b: list_avg(list_slice(ll, greatest(b - 25, 1) + 1, least(length(seq)::INT, b + 25)))) AS j FROM ts),
-ss AS (SELECT combo, seq, global_score, list_avg(j) AS junction_mean, list_min(j) AS junction_min, j[1] AS junction_01, j[10] AS junction_10 FROM js),
+ss AS (SELECT combo, seq, global_score, list_avg(j) AS junction_mean, list_min(j) AS junction_min, j[1] AS junction_01, j[10] AS junction_10 FROM js)"""
+_RANKED = f"""{V_COMBO}, {V_LIB}, d AS (SELECT DISTINCT combo FROM v_combo), {_PAIR_SCORES},
 short AS (SELECT * FROM ss ORDER BY global_score + 0.5::DOUBLE * junction_mean + 0.5::DOUBLE * junction_min DESC, combo LIMIT 500),
 cal AS (SELECT *, 1 / (1 + exp(-({ARTIFACT['intercept']}::DOUBLE + {_A[0]}::DOUBLE * global_score + {_A[1]}::DOUBLE * junction_mean + {_A[2]}::DOUBLE * junction_min))) AS prob FROM short),
 o AS (SELECT *, row_number() OVER (ORDER BY prob DESC, combo) AS n FROM cal),
@@ -530,3 +563,27 @@ def rank_candidates(spark, d):
 def rank_exhaustive(spark, d):
     """All 4 ** 11 designs over the fragments of part, ranked."""
     return rank(ranking.enumerated(spark), parts(spark, d), ARTIFACT, run_id="all", seed=0)
+
+
+def pair_scorer(spark, d):
+    return scorers.bigram_scorer(scorers.bigram_fit(parts(spark, d), "aa_sequence"))
+
+
+@query(f"""WITH {V_COMBO}, {V_LAB}, {V_LIB}, d AS (SELECT combo FROM v_combo UNION SELECT combo_compact FROM v_lab WHERE label = 1), {_PAIR_SCORES}
+SELECT 'distill' AS source_run_id, 13::BIGINT AS seed, combo AS combo_compact, sha256(seq) AS sequence_hash, round(global_score, 6) AS global_score, round(junction_mean, 6) AS junction_mean, round(junction_min, 6) AS junction_min, round(junction_01, 6) AS junction_01, false AS teacher_cache_hit FROM ss""")
+def distill_build(spark, d):
+    """The distillation set of the designs of all orders and of the active ones."""
+    sample, active = designs(spark, d).select(F.col("combo").alias("combo_compact")), features(spark, d).where("label = 1")
+    out = distill(sample, active, parts(spark, d), pair_scorer(spark, d), run_id="distill", seed=13)
+    return out.select("source_run_id", "seed", "combo_compact", "sequence_hash", *[F.round(c, 6).alias(c) for c in ("global_score", "junction_mean", "junction_min", "junction_01")], "teacher_cache_hit")
+
+
+@query(f"""WITH {V_COMBO}, {V_LAB}, {V_LIB}, act AS (SELECT DISTINCT combo_compact FROM v_lab WHERE label = 1), d AS (SELECT DISTINCT combo FROM v_combo WHERE combo NOT IN (SELECT combo_compact FROM act) UNION SELECT combo_compact FROM act), {_PAIR_SCORES}
+SELECT combo AS combo_compact, (combo IN (SELECT combo_compact FROM act))::INT AS label, round(global_score, 6) AS global_score, round(junction_mean, 6) AS junction_mean, round(junction_min, 6) AS junction_min,
+  junction_min >= (SELECT quantile_cont(junction_min, 0.1) FROM ss WHERE combo IN (SELECT combo_compact FROM act)) - 1e-9 AS passes_s_min FROM ss""")
+def calibrate_background(spark, d):
+    """The calibration job over the active designs and those of all other orders: scored, fitted, saved, read back, applied."""
+    active = features(spark, d).where("label = 1").select("combo_compact").distinct()
+    background = designs(spark, d).select(F.col("combo").alias("combo_compact")).distinct()
+    _, both = calibrate(spark, active, background, parts(spark, d), pair_scorer(spark, d), f"{scratch(spark)}/calibrate-{uuid.uuid4().hex}", size=0)
+    return both.select("combo_compact", "label", *[F.round(c, 6).alias(c) for c in calibration.FEATURES], "passes_s_min")

@@ -50,10 +50,11 @@ def split_indices(n: int, fraction: float, seed: int) -> tuple[list[int], list[i
 def split(df: DataFrame, fraction: float, seed: int, key: str, most: int = 1 << 16) -> DataFrame:
     """df with is_val: round(n * fraction) rows, one of each kind at least, with the smallest hashes of key and seed.
 
-    Rows are counted in ``most`` bins of the hash; only the bin in which the share ends is ordered,
-    by key and then by the whole row.
+    The hash is of a digest that other engines have as well. Rows are counted in ``most`` bins of
+    it; only the bin in which the share ends is ordered, by key and then by the whole row.
     """
-    h = F.xxhash64(F.col(key), F.lit(seed))
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
     b = F.pmod(h, F.lit(most))
     counts = {r["b"]: r["count"] for r in df.groupBy(b.alias("b")).count().collect()}  # at most ``most`` rows
     n = sum(counts.values())

@@ -12,6 +12,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +24,53 @@ class Scorer(Protocol):
 
 
 def summaries(df: DataFrame, left: int = junctions.LEFT, right: int = junctions.RIGHT) -> DataFrame:
-    """df (token_ll, domain_lengths) with global_score, junction_scores, junction_mean, junction_min."""
-    scores = junctions.window_means(junctions.from_tokens(F.col("token_ll")), junctions.boundaries(F.col("domain_lengths")), left, right)
-    return df.withColumn("global_score", junctions.global_score(F.col("token_ll"))).withColumn("junction_scores", scores).withColumn("junction_mean", junctions.junction_mean(F.col("junction_scores"))).withColumn("junction_min", junctions.junction_min(F.col("junction_scores")))
+    """df (token_ll, domain_lengths) with global_score, junction_scores, junction_mean, junction_min.
+
+    The same as the column functions of junctions give, by running sums over Arrow batches.
+    """
+
+    @F.arrow_udf("struct<global_score:double,junction_scores:array<double>>")
+    def run(ll: pa.Array, lengths: pa.Array) -> pa.Array:
+        total, means = np.full(len(ll), np.nan), np.full((len(ll), junctions.JUNCTIONS), np.nan)
+        for i in range(0, len(ll), 1024):
+            total[i : i + 1024], means[i : i + 1024] = _summed(ll.slice(i, 1024), lengths.slice(i, 1024), left, right)
+        flat = pa.array(means.ravel())
+        scores = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, junctions.JUNCTIONS, dtype=np.int32)), flat)
+        return pa.StructArray.from_arrays([pa.array(total), scores], ["global_score", "junction_scores"])
+
+    rows = df.withColumn("_s", run(F.col("token_ll"), F.col("domain_lengths"))).withColumn("global_score", F.col("_s.global_score")).withColumn("junction_scores", F.col("_s.junction_scores")).drop("_s")
+    return rows.withColumn("junction_mean", junctions.junction_mean(F.col("junction_scores"))).withColumn("junction_min", junctions.junction_min(F.col("junction_scores")))
+
+
+def _summed(ll: pa.Array, lengths: pa.Array, left: int, right: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means of all scores, and window means, of a batch of rows."""
+    sizes = pc.fill_null(pc.list_value_length(ll), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    parts = pc.fill_null(pc.list_value_length(lengths), 0).to_numpy(zero_copy_only=False)
+    if (parts != junctions.JUNCTIONS + 1).any():
+        raise ValueError("eleven lengths are needed")
+    values = ll.flatten()
+    row = np.repeat(np.arange(len(ll)), sizes)
+    col = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    # sums, counts and NaN counts before each place of each row
+    known = np.asarray(values.is_valid())
+    x = pc.fill_null(values, 0.0).to_numpy(zero_copy_only=False)
+    odd = known & np.isnan(x)
+    before = []
+    for v in (np.where(odd, 0.0, x), known.astype(float), odd.astype(float)):
+        grid = np.zeros((len(ll), int(sizes.max(initial=0)) + 1))
+        grid[row, col + 1] = v
+        before.append(np.cumsum(grid, axis=1))
+    each = np.arange(len(ll))[:, None]
+    bounds = np.cumsum(lengths.flatten().to_numpy(zero_copy_only=False).reshape(len(ll), -1), axis=1)[:, :-1]
+    low = np.maximum(bounds - left, 1)  # the first residue has no score
+    high = np.minimum(bounds + right, sizes[:, None])
+    low = np.minimum(low, sizes[:, None])
+    high = np.maximum(high, low)
+    total, count, nans = (b[each, high] - b[each, low] for b in before)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        means = np.where(nans > 0, np.nan, total / count)
+    whole, _, some = (b[np.arange(len(ll)), sizes] for b in before)
+    return np.where(some > 0, np.nan, whole / np.maximum(sizes, 1)), means
 
 
 def pairs(df: DataFrame, text: str = "sequence_aa") -> DataFrame:
@@ -42,17 +87,31 @@ def bigram_fit(df: DataFrame, text: str = "sequence_aa", smoothing: float = 1.0)
 
 
 def bigram_scorer(model: DataFrame, most: int = 100_000, unseen: float = -8.0) -> Scorer:
-    """Scores by a model of letter pairs, which goes into the plan as one map; more than ``most`` of them are an error."""
-    pairs_ = F.when(F.count("*") <= most, F.map_from_entries(F.collect_list(F.struct(F.concat("prev", "cur"), "ll"))))
-    table = model.limit(most + 1).agg(F.coalesce(pairs_, F.raise_error(F.lit("the model has too many letter pairs"))).alias("_m"))
-
-    def score(df: DataFrame) -> DataFrame:
-        s = F.concat(F.lit("^"), F.col("sequence_aa"))
-        ll = F.transform(F.sequence(F.lit(1), F.length("sequence_aa")), lambda i: F.coalesce(F.col("_m")[F.substr(s, i, F.lit(2))], F.lit(unseen)))
-        empty = F.array().cast("array<double>")
-        return df.crossJoin(F.broadcast(table)).withColumn("token_ll", F.when(F.length("sequence_aa") > 0, ll).otherwise(empty)).drop("_m")  # one row
-
-    return score
+    """Scores by a model of letter pairs, which travels with the function as a table; more than ``most`` pairs are an error."""
+    rows = model.select("prev", "cur", "ll").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError("the model has too many letter pairs")
+    letters = sorted({c for r in rows for c in (r["prev"], r["cur"])} | {"^"})
+    number = {c: k + 1 for k, c in enumerate(letters)}
+    table = np.full((len(letters) + 1, len(letters) + 1), unseen)
+    for r in rows:
+        table[number[r["prev"]], number[r["cur"]]] = r["ll"]
+    codes = np.zeros(max(map(ord, letters)) + 2, np.int64)  # the last place is for letters beyond
+    codes[[ord(c) for c in letters]] = [number[c] for c in letters]
+    start = number["^"]
+
+    @F.arrow_udf("array<double>")
+    def run(column: pa.Array) -> pa.Array:
+        texts = [t or "" for t in column.to_pylist()]
+        x = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        cur = codes[np.minimum(x, len(codes) - 1)]
+        ends = np.cumsum([0, *map(len, texts)])
+        prev = np.concatenate(([start], cur[:-1])) if len(cur) else cur
+        first = ends[:-1][np.diff(ends) > 0]
+        prev[first] = start
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(table[prev, cur]))
+
+    return lambda df: df.withColumn("token_ll", run(F.col("sequence_aa")))
 
 
 class Network:

@@ -26,6 +26,16 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share: the cluster's ``spark.checkpoint.dir``; on one machine, a temporary one if unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def local(cpus: int | str = 8, partitions: int | None = None, **conf: str) -> SparkSession:
     """A session on this machine; on a cluster, submit with the cluster's own configuration."""
     n = partitions or (int(cpus) if str(cpus).isdigit() else 8)
