@@ -7,11 +7,12 @@ from tables, one for each subspace, of the distances of the query's residual to
 Probes are sufficient: a vector that differs from a query by x lies in a list only if the query
 is no farther behind the plane between that list's centroid and its own nearest one than x
 reaches across it. A linked x is at most r long, so all lists within r are probed, and no link is
-missed from either side. A member's code is off by a known distance e, kept with it; a table distance over r + e
+missed. As that holds from both sides, a query probes its own list and those of higher numbers
+only, and what is found counts for both. A member's code is off by a known distance e, kept with it; a table distance over r + e
 rules the pair out and loses none. What is left is decided by the cosine in double precision.
 
-Centroids and codewords are fitted to at most ``sample`` vectors, the first by a hash. Equal
-vectors are one class with a count. Lists and their queries are cut into blocks of bounded size,
+Vectors of each length are compared with one another. Centroids and codewords are fitted to at
+most ``sample`` vectors of a length, the first by a hash. Equal vectors are one class with a count. Lists and their queries are cut into blocks of bounded size,
 and a block pair returns link counts and a spanning forest of its links, not the pairs.
 """
 
@@ -78,12 +79,14 @@ class Quantiser:
         decoded = np.concatenate([book[codes[:, j]] for j, book in enumerate(self.books)], axis=1)
         return own, codes.astype(np.uint8), np.linalg.norm(residual - decoded, axis=1)
 
-    def probes(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of the lists that can hold a vector within the radius of each row."""
+    def probes(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, list, own list) of the lists from each row's own on that can hold a vector within the radius of it."""
         d = squared(x, self.centroids)
         own = d.argmin(axis=1)
         behind = d - d[np.arange(len(x)), own][:, None]
-        return np.nonzero(behind <= 2 * radius * self.gaps[own] * (1 + 1e-9) + 1e-9)
+        near = behind <= 2 * radius * self.gaps[own] * (1 + 1e-9) + 1e-9
+        row, list_ = np.nonzero(near & (np.arange(len(self.centroids)) >= own[:, None]))
+        return row, list_, own[row]
 
     def tables(self, x: np.ndarray, list_: int) -> list[np.ndarray]:
         residual = x - self.centroids[list_]
@@ -129,20 +132,23 @@ def cosine_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = SAM
     """(vec_id, n_links, component_id, kept) of each row of vectors (vec_id, embedding).
 
     Vectors that are null, zero, or hold null or non-finite values link with nothing, nor do
-    rows without an id and vectors whose length isn't the most common one. Rows that repeat an
-    id count as vectors of their own. Ties at the threshold link. An empty table gives an empty
-    result. Other columns are ignored.
+    rows without an id and vectors of different lengths (each length is a pass of its own, so
+    there should be few). Rows that repeat an id count as vectors of their own. Ties at the
+    threshold link. An empty table gives an empty result. Other columns are ignored.
     """
     e = F.col("embedding")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     good = F.col("vec_id").isNotNull() & F.coalesce(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
-    lengths = rows.where(good).groupBy(F.size(e).alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    alone = lambda df: df.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if lengths is None:
-        return alone(rows)
-    d, total = lengths["d"], lengths["n"]
-    usable = good & (F.size(e) == d)
-    keyed = rows.where(usable).select("vec_id", "embedding", F.xxhash64(e).alias("k1"), F.xxhash64(F.lit(1), e).alias("k2"))
+    lengths = rows.where(good).groupBy(F.size(e).alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").collect()  # a row for each length
+    out = rows.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    for r in lengths:
+        out = out.union(_of_one_length(rows.where(good & (F.size(e) == r["d"])), r["n"], least, sample))
+    return out
+
+
+def _of_one_length(rows: DataFrame, total: int, least: float, sample: int) -> DataFrame:
+    e = F.col("embedding")
+    keyed = rows.select("vec_id", "embedding", F.xxhash64(e).alias("k1"), F.xxhash64(F.lit(1), e).alias("k2"))
     classes = checkpoint(keyed.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first(e).alias("embedding")))
     picked = classes.orderBy("k2", "k1").limit(sample).select("embedding").toArrow()  # bounded by ``sample``
     quantiser = Quantiser(unit(matrix(picked.column("embedding"))), max(1, min(4096, int(total**0.5) // 2)))
@@ -154,19 +160,20 @@ def cosine_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = SAM
             yield pa.RecordBatch.from_arrays(
                 [pa.array(own, pa.int32()), b.column("rep"), b.column("n"), b.column("embedding"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off)], ["list", "rep", "n", "embedding", "codes", "off"])
 
-    kind = vectors.schema["embedding"].dataType.simpleString()
+    kind = rows.schema["embedding"].dataType.simpleString()
     members = checkpoint(classes.mapInArrow(coded, f"list int, rep long, n long, embedding {kind}, codes binary, off double"))
 
     def probing(batches):
         for b in batches:
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)
-                row, list_ = quantiser.probes(unit(matrix(part.column("embedding"))), reach)
+                row, list_, own = quantiser.probes(unit(matrix(part.column("embedding"))), reach)
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(list_, pa.int32()), part.column("rep").take(at), part.column("embedding").take(at)], ["list", "rep", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array(list_, pa.int32()), pa.array(list_ == own), part.column("rep").take(at), part.column("n").take(at), part.column("embedding").take(at)], ["list", "at_home", "rep", "n", "embedding"])
 
-    queries = members.select("rep", "embedding").mapInArrow(probing, f"list int, rep long, embedding {kind}")
-    asked = members.select("rep", "embedding").mapInArrow(lambda bs: (x.select(["list"]) for x in probing(bs)), "list int").groupBy("list").agg(F.count("*").alias("q"))
+    source = members.select("rep", "n", "embedding")
+    queries = source.mapInArrow(probing, f"list int, at_home boolean, rep long, n long, embedding {kind}")
+    asked = source.mapInArrow(lambda bs: (x.select(["list"]) for x in probing(bs)), "list int").groupBy("list").agg(F.count("*").alias("q"))
     sizes = checkpoint(
         members.groupBy("list").agg(F.count("*").alias("m")).join(asked, "list").select("list", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("q") / QUERY_BLOCK).cast("int").alias("qb"))
     )  # a row for each list, at most 4096
@@ -180,18 +187,20 @@ def cosine_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = SAM
         if not m.num_rows or not q.num_rows:
             return empty
         codes = np.frombuffer(b"".join(m.column("codes").to_pylist()), np.uint8).reshape(m.num_rows, -1)
-        own, other = m.column("rep").to_numpy(), q.column("rep").to_numpy()
-        weight, count = m.column("n").to_numpy(), np.zeros(q.num_rows, np.int64)
+        own, other, home = m.column("rep").to_numpy(), q.column("rep").to_numpy(), q.column("at_home").to_numpy()
+        weight, times = m.column("n").to_numpy(), q.column("n").to_numpy()
+        count, back = np.zeros(q.num_rows, np.int64), np.zeros(m.num_rows, np.int64)
         nodes, where = np.unique(np.concatenate((own, other)), return_inverse=True)
         joined = Joined(len(nodes))
         for a, b in links(quantiser, key[0].as_py(), matrix(m.column("embedding")), codes, m.column("off").to_numpy(), matrix(q.column("embedding")), least):
-            strange = other[a] != own[b]
-            a, b = a[strange], b[strange]
+            once = ~home[a] | (other[a] > own[b])  # a pair of one list is found from both sides
+            a, b = a[once], b[once]
             count += np.bincount(a, weight[b], minlength=len(count)).astype(np.int64)
+            back += np.bincount(b, times[a], minlength=len(back)).astype(np.int64)
             joined.add(where[len(own) + a], where[b])
-        some, tied = np.flatnonzero(count), np.flatnonzero(joined.label != np.arange(len(nodes)))
+        some, more, tied = np.flatnonzero(count), np.flatnonzero(back), np.flatnonzero(joined.label != np.arange(len(nodes)))
         return pa.table({
-            "kind": pa.array([0] * len(some) + [1] * len(tied), pa.int32()), "a": pa.array(np.concatenate((other[some], nodes[tied]))), "b": pa.array(np.concatenate((count[some], nodes[joined.label[tied]]))),
+            "kind": pa.array([0] * (len(some) + len(more)) + [1] * len(tied), pa.int32()), "a": pa.array(np.concatenate((other[some], own[more], nodes[tied]))), "b": pa.array(np.concatenate((count[some], back[more], nodes[joined.label[tied]]))),
         })
 
     found = checkpoint(left.groupBy("list", "i", "j").cogroup(right.groupBy("list", "i", "j")).applyInArrow(compare, "kind int, a long, b long"))
@@ -199,5 +208,4 @@ def cosine_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = SAM
     comp = components(found.where("kind = 1")).withColumnRenamed("id", "rep")
     result = classes.select("k1", "k2", "rep", "n").join(counts, "rep", "left").join(comp, "rep", "left").select(
         "k1", "k2", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = keyed.select("vec_id", "k1", "k2").join(result, ["k1", "k2"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    return linked.union(alone(rows.where(~usable)))
+    return keyed.select("vec_id", "k1", "k2").join(result, ["k1", "k2"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))

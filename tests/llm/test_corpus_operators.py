@@ -255,7 +255,7 @@ def test_cosine_links(spark):
     for k in range(150):
         x[250 + k] = x[k % 12] + rng.normal(size=16) * 0.12 * (k % 4)
     rows = {i: v.astype(np.float32).tolist() for i, v in enumerate(x)}
-    rows |= {900: None, 901: [0.0] * 16, 902: [math.nan] * 16, 903: [math.inf] + [1.0] * 15, 904: [None] + [1.0] * 15, 905: [1.0] * 3, 906: rows[0], 907: [2 * v for v in rows[1]], 908: []}
+    rows |= {900: None, 901: [0.0] * 16, 902: [math.nan] * 16, 903: [math.inf] + [1.0] * 15, 904: [None] + [1.0] * 15, 905: [1.0] * 3, 909: [2.0, 2.0, 2.0], 910: [1.0, 1.0, 1.01], 911: [5.0], 906: rows[0], 907: [2 * v for v in rows[1]], 908: []}
     df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<float>").withColumn("rep", F.lit("x")).repartition(5)
     out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pq.cosine_duplicates(df).collect()}
     assert out == brute.cosine(rows)
