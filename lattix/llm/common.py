@@ -252,25 +252,20 @@ def shingles_of(items: bytes, width: int) -> np.ndarray:
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what the given ones connect, one fewer than each component's nodes."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        top = x
-        while (up := parent.get(top, top)) != top:
-            top = up
-        while x != top:
-            parent[x], x = top, parent.get(x, x)
-        return top
-
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = root(x), root(y)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            parent.setdefault(min(p, q), min(p, q))
-    nodes = [(x, root(x)) for x in parent]
-    out = np.array([(x, r) for x, r in nodes if x != r], dtype=np.int64).reshape(-1, 2)
-    return out[:, 0], out[:, 1]
+    """Edges that connect what the given ones connect, one fewer than each component's nodes: each node's to its smallest."""
+    nodes, where = np.unique(np.concatenate((a, b)), return_inverse=True)
+    label, x, y = np.arange(len(nodes)), where[: len(a)], where[len(a) :]
+    while True:
+        p, q = label[x], label[y]
+        differ = p != q
+        if not differ.any():
+            break
+        x, y, p, q = x[differ], y[differ], p[differ], q[differ]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while not np.array_equal(up := label[label], label):
+            label = up
+    tied = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[tied], nodes[label[tied]]
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -284,14 +279,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     spark = edges.sparkSession
 
     def shrink(batches):
-        import pandas as pd
-
-        got = [(x["a"].to_numpy(), x["b"].to_numpy()) for x in batches]
-        if got:
-            u, v = forest(np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got]))
-            yield pd.DataFrame({"a": u, "b": v})
+        a = b = np.zeros(0, np.int64)
+        for x in batches:
+            a, b = forest(np.concatenate((a, x.column("a").to_numpy())), np.concatenate((b, x.column("b").to_numpy())))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").mapInPandas(shrink, "a long, b long")
+    pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").mapInArrow(shrink, "a long, b long")
     both = checkpoint(pairs.union(pairs.select("b", "a")).distinct())
     labels = checkpoint(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("label")))
     while True:

@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 85) -> Dat
         got = block_links(t.column("doc_id").to_numpy(), t.column("comp").to_numpy().copy(), t.column("side").to_numpy(), sets, t.column("keys").to_pylist(), k, i == j, threshold)
         return pa.table({"a": pa.array([g[0] for g in got], pa.int64()), "b": pa.array([g[1] for g in got], pa.int64())})
 
-    second = full.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+    second = checkpoint(full.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"))
     joined = components(first.union(second))
     class_comp = classes.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id")).alias("component_id")
