@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -10,11 +11,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent
+#: Bytes of an Arrow batch; texts differ so much in length that a number of rows bounds nothing.
+BATCH, MOST_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors, once, unless their PYTHONPATH has it."""
+    """Sends this package to the executors, once, unless their PYTHONPATH has it; bounds what a Python worker gets at a time."""
     sc = spark.sparkContext
+    if int(re.sub(r"\D", "", spark.conf.get(BATCH, "")) or 1 << 40) > MOST_BATCH:
+        spark.conf.set(BATCH, str(MOST_BATCH))
     if str(ROOT.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_lattix_shipped", False):
         return spark
     out = Path(tempfile.mkdtemp(prefix="spark-")) / "lattix.zip"
