@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lattix.llm import decontam, minhash, mixing, quality, secrets
-from lattix.llm.common import shared_dir
+from lattix.llm.common import checkpoint, shared_dir
 from lattix.session import ship
 
 
@@ -58,10 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each result written as Parquet to the shared folder and read again."""
+    """Applies the stages to documents, each result written as Parquet to the shared folder and read again; the folder goes at the end."""
     docs = _table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = checkpoint(STAGES[-1][1](spark, docs, sf_dir))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return out
