@@ -11,8 +11,9 @@ the words still missing are reached, to within half of the last document.
 Scale: after one pass over the texts only (id, source, size, u) moves on. Nothing is sorted
 inside a source: c comes from one row for each distinct size, and the cut of the ranking from
 counts in ``BINS`` bins, then in ``BINS`` bins of the bin that holds the cut, and only what
-falls in that last bin is put in order. A source with a third of all rows thus gives no task
-more than its share.
+falls in that last bin is put in order. What holds for a source reaches its rows as a broadcast
+of a row for each source if there are at most ``MOST_SOURCES`` of them, else by a join on the
+source and a salt. A source with a third of all rows thus gives no task more than its share.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ from lattix.llm.common import checkpoint
 
 WORDS = r"[^\x20\x09-\x0D]+"
 BINS = 512
+#: Sources whose rows are broadcast; a row has a few numbers and the source's name.
+MOST_SOURCES = 10_000
+SALTS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -39,6 +43,15 @@ def uniform(key: Column, seed: int = 0) -> Column:
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
+def with_source(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows (doc_id, src, ...) with the columns that known has for their source, one row for each."""
+    known = checkpoint(known)
+    if known.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES:
+        return rows.join(F.broadcast(known), "src")
+    salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "u" if "u" in rows.columns else "size"), F.lit(SALTS)).cast("int")).join(salted, ["src", "_salt"]).drop("_salt")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], total: float, most: float) -> DataFrame:
     """(source, source_size, target) from one row (source, source_size) for each source.
 
@@ -91,7 +104,7 @@ def pareto_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: flo
     q = F.col("u") / (1 - F.col("u")) * (1 - F.col("p")) / F.col("p")
     # z in (0, 1) keeps the order of q; bins are cut at its even steps
     ranked = checkpoint(
-        slim.join(rates, "src")
+        with_source(slim, rates)
         .withColumn("sure", F.floor(e + 1e-12).cast("long"))
         .withColumn("p", F.when(F.col("size") > 0, e - F.col("sure")))
         .withColumn("z", F.when(F.col("p") > 1e-9, q / (1 + q)))
@@ -129,7 +142,7 @@ def pareto_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: flo
         F.col("cut_b2").isNull() | (F.col("b2") < F.col("cut_b2")), True).when(F.col("b2") > F.col("cut_b2"), False).otherwise(
         F.coalesce(F.struct("z", "size", "doc_id") <= F.col("last"), F.lit(False)))
     copies = F.col("sure") + more.cast("long")
-    return ranked.join(ends.join(wanted, "src"), "src").select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return with_source(ranked, ends.join(wanted, "src")).select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 ORACLE_SQL = r"""

@@ -126,6 +126,13 @@ def test_mix(spark, documents, corpus):
     assert [tuple(r)[-1] for r in mixing.pareto_mix(documents.where("text is null")).collect()] == [0, 0]
 
 
+def test_mix_of_many_sources(spark, documents, monkeypatch):
+    """With too many sources for a broadcast the mix is the same."""
+    want = sorted(map(tuple, mixing.pareto_mix(documents).collect()))
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 1)
+    assert sorted(map(tuple, mixing.pareto_mix(documents).collect())) == want
+
+
 def test_filling(spark):
     """Weights 5, 2, 1: the first two are full, the third gets the rest."""
     df = spark.createDataFrame([("a", 10), ("b", 10), ("c", 80)], "source string, source_size long")
