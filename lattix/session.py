@@ -18,7 +18,7 @@ BATCH, MOST_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors, once, unless their PYTHONPATH has it; bounds what a Python worker gets at a time."""
     sc = spark.sparkContext
-    if int(re.sub(r"\D", "", spark.conf.get(BATCH, "")) or 1 << 40) > MOST_BATCH:
+    if int(re.sub(r"\D", "", spark.conf.get(BATCH, None) or "") or 1 << 40) > MOST_BATCH:
         spark.conf.set(BATCH, str(MOST_BATCH))
     if str(ROOT.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_lattix_shipped", False):
         return spark
