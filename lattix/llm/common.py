@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 19
 BLOOM_BITS = 23
+#: Edges of components in a file of their checkpoints.
+EDGES = 250_000
 #: What separates words: space and the control characters 9 to 13.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -274,9 +276,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each partition first shrinks its edges to a forest; then labels pass over the edges and
     pointers are halved until nothing changes, in a number of rounds that grows with the
     logarithm of the diameter. Every round is a join and a combined minimum, so a hub's rows
-    are spread over tasks.
+    are spread over tasks; its result is written in a file for each EDGES edges. edges is read
+    more than once, so it should be a written table.
     """
-    spark = edges.sparkSession
 
     def shrink(batches):
         a = b = np.zeros(0, np.int64)
@@ -285,8 +287,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").mapInArrow(shrink, "a long, b long")
-    both = checkpoint(pairs.union(pairs.select("b", "a")).distinct())
-    labels = checkpoint(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("label")))
+    files = max(1, -(-pairs.count() // EDGES))
+    both = checkpoint(pairs.union(pairs.select("b", "a")).distinct().coalesce(files))
+    labels = checkpoint(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("label")).coalesce(files))
     while True:
         seen = both.join(labels.select(F.col("id").alias("b"), "label"), "b").select(F.col("a").alias("id"), "label")
         # the label of each neighbour, offered to the node and to the node's own label
@@ -295,7 +298,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         ).where("near < label").select(F.col("label").alias("id"), F.col("near").alias("label"))
         low = labels.union(seen).union(offered).groupBy("id").agg(F.min("label").alias("label"))
         jumped = low.join(low.select(F.col("id").alias("label"), F.col("label").alias("up")), "label", "left").select("id", F.least("label", F.coalesce("up", "label")).alias("label"))
-        after = checkpoint(jumped)
+        after = checkpoint(jumped.coalesce(files))
         changed = after.join(labels.withColumnRenamed("label", "was"), "id").where("label <> was").limit(1).count()
         labels = after
         if not changed:
