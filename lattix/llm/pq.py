@@ -70,6 +70,12 @@ class Quantiser:
         residual = x - self.centroids[squared(x, self.centroids).argmin(axis=1)]
         self.books = [kmeans(residual[:, a:b], codes, 6) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
         self.gaps = np.sqrt(squared(self.centroids, self.centroids))
+        # all tables of a residual as one product: a block for each subspace
+        self.starts = np.concatenate(([0], np.cumsum([len(book) for book in self.books])))
+        self.blocks = np.zeros((d, int(self.starts[-1])), np.float32)
+        for a, b, at, book in zip(self.cuts[:-1], self.cuts[1:], self.starts[:-1], self.books, strict=True):
+            self.blocks[a:b, at : at + len(book)] = -2 * book.T
+        self.norms = np.concatenate([(book**2).sum(axis=1) for book in self.books]).astype(np.float32)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(list, codes, distance of the decoded vector) of each row."""
@@ -88,21 +94,29 @@ class Quantiser:
         row, list_ = np.nonzero(near & (np.arange(len(self.centroids)) >= own[:, None]))
         return row, list_, own[row]
 
-    def tables(self, x: np.ndarray, list_: int) -> list[np.ndarray]:
+    def tables(self, x: np.ndarray, list_: int) -> np.ndarray:
+        """Of each row, the tables of all subspaces in a row: a codeword's share of the distance of the row from the list's members.
+
+        Shares of the row itself are in those of the first subspace.
+        """
         residual = x - self.centroids[list_]
-        return [squared(residual[:, a:b], book) for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)]
+        out = residual.astype(np.float32) @ self.blocks + self.norms
+        out[:, : self.starts[1]] += (residual**2).sum(axis=1, keepdims=True).astype(np.float32)
+        return out
 
 
 def links(quantiser: Quantiser, list_: int, members: np.ndarray, codes: np.ndarray, off: np.ndarray, queries: np.ndarray, least: float):
     """(query, member) numbers of the pairs with a cosine of at least ``least``, a batch of queries at a time."""
     radius = np.sqrt(max(0.0, 2 - 2 * least))
     m, q = unit(members), unit(queries)
-    bound = (radius + off) ** 2 + 1e-9
+    bound = ((radius + off) ** 2 + 1e-4).astype(np.float32)  # more than single precision loses
+    columns = codes.T.astype(np.intp) + quantiser.starts[:-1, None]
     for i in range(0, len(q), 256):
         part = q[i : i + 256]
-        far = np.zeros((len(part), len(m)))
-        for j, table in enumerate(quantiser.tables(part, list_)):
-            far += table[:, codes[:, j]]
+        tables = quantiser.tables(part, list_)
+        far = tables.take(columns[0], axis=1)
+        for c in columns[1:]:
+            far += tables.take(c, axis=1)
         a, b = np.nonzero(far <= bound)
         for k in range(0, len(a), 1 << 16):
             x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
