@@ -171,6 +171,29 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+#: The table of CRC-32 by its rule, as the CTE that crc32_sql() reads.
+CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS rem)"
+
+
+def crc32_sql(x: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a string's UTF-8 bytes, null for null; the query has CRC_TABLE among its tables."""
+    byte = f"('0x' || substr(hex(encode({x})), (2 * i - 1)::INT, 2))::BIGINT"
+    bytes_ = f"list_transform(range(1, octet_length(encode({x})) + 1), lambda i: {byte})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda c, b: xor(c >> 8, crc.rem[((xor(c, b) & 255) + 1)::INT])), 4294967295::BIGINT)"
+
+
+def in_order(df: DataFrame, *order: str) -> DataFrame:
+    """df, written, with ``at``: each row's place from 0 in the order of the columns, by ranges of them and the sizes of the ranges."""
+    spark = df.sparkSession
+    n = parts(spark)
+    rows = checkpoint(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    sizes = {r["p"]: r["n"] for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # a row for each partition
+    starts = np.concatenate(([0], np.cumsum([sizes.get(p, 0) for p in range(max(sizes, default=0) + 1)])))
+    start = F.element_at(F.lit([int(x) for x in starts[:-1]]).cast("array<long>"), (part + 1).cast("int"))
+    return rows.withColumn("at", start + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
+
+
 def bloom(hashes: np.ndarray, bits: int = BLOOM_BITS) -> np.ndarray:
     """A filter of 2 ** bits bits with two bits for each hash."""
     out = np.zeros(1 << bits, dtype=bool)
