@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lattix.llm import decontam, html, merkle, minhash, mixing, pq, quality, secrets, suffix, topk, toxicity, windows
+from lattix.llm import decontam, html, merkle, minhash, mixing, pq, quality, resample, secrets, suffix, topk, toxicity, windows
 from lattix.session import ship
 
 
@@ -63,13 +63,17 @@ def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(ship(spark), sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_spans, op2_pareto_mix, op3_repeated_bytes, op4_toxicity, op5_main_text, op6_cosine_links, op7_near_duplicates, op8_contaminated, op9_quality, op10_repeated_passages, op11_merkle_manifest, op12_exact_topk, pipeline)}
+    return {f.__name__: f for f in (op1_secret_spans, op2_pareto_mix, op3_repeated_bytes, op4_toxicity, op5_main_text, op6_cosine_links, op7_near_duplicates, op8_contaminated, op9_quality, op10_repeated_passages, op11_merkle_manifest, op12_exact_topk, op13_resample, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_pareto_mix": mixing.ORACLE_SQL, "op11_merkle_manifest": merkle.oracle_sql(), "op12_exact_topk": topk.ORACLE_SQL}
+    return {"op2_pareto_mix": mixing.ORACLE_SQL, "op11_merkle_manifest": merkle.oracle_sql(), "op12_exact_topk": topk.ORACLE_SQL, "op13_resample": resample.oracle_sql()}
