@@ -170,7 +170,7 @@ def kth_key(rows: DataFrame, k: int, seed: int = SEED) -> tuple[int, int | None]
         # random keys: those with the smallest hashes of this turn
         picks = open_.select("score", "doc_id").orderBy(F.xxhash64(F.lit(seed + turn), "score", "doc_id")).limit(PIVOTS).collect()
         pivots = sorted({(r["score"], r["doc_id"]) for r in picks}, key=lambda p: (-p[0], p[1] is None, p[1] or 0))
-        counts = open_.agg(*(F.count_if(c).alias(f"{n}{i}") for i, p in enumerate(pivots) for n, c in (("a", above(p)), ("e", at_key(p))))).head()
+        passed, counts = before, open_.agg(*(F.count_if(c).alias(f"{n}{i}") for i, p in enumerate(pivots) for n, c in (("a", above(p)), ("e", at_key(p))))).head()
         for i, p in enumerate(pivots):
             up_to = before + counts[f"a{i}"]
             if up_to >= k:
@@ -179,8 +179,7 @@ def kth_key(rows: DataFrame, k: int, seed: int = SEED) -> tuple[int, int | None]
             if up_to + counts[f"e{i}"] >= k:
                 return p
             low, passed = p, up_to + counts[f"e{i}"]
-        if low in pivots:
-            before = passed
+        before = passed
 
 
 def resampled(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least: int = LEAST_WORDS, seed: int = SEED) -> DataFrame:
@@ -207,13 +206,16 @@ def resampled(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least:
 
 def oracle_sql(buckets: int = BUCKETS, least: int = LEAST_WORDS, percent: int = PERCENT, seed: int = SEED) -> str:
     words = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-    runs = " || ".join(f"list_transform(range(1, greatest(len(w) - {n} + 2, 1)), lambda i: array_to_string(w[i:i + {n - 1}], ' '))" for n in range(1, WIDTH + 1))
+    grams = lambda t: " UNION ALL ".join(f"SELECT r, {g} AS g FROM {t} WHERE {last} IS NOT NULL" for g, last in (("a", "a"), ("a || ' ' || b", "b"), ("a || ' ' || b || ' ' || c", "c")))
+    placed = "SELECT r, a, lead(a) OVER p AS b, lead(a, 2) OVER p AS c FROM (SELECT r, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM {}) WINDOW p AS (PARTITION BY r ORDER BY i)"
     return f"""
 WITH {CRC_TABLE},
 d AS (SELECT row_number() OVER () AS r, doc_id, {words.format("coalesce(text, '')")} AS w FROM documents),
-b AS (SELECT {words.format("coalesce(text, '')")} AS w FROM benchmark),
-f AS (SELECT r, unnest({runs}) AS g FROM d),
-u AS (SELECT unnest({runs}) AS g FROM b),
+b AS (SELECT row_number() OVER () AS r, {words.format("coalesce(text, '')")} AS w FROM benchmark),
+dw AS ({placed.format("d")}),
+bw AS ({placed.format("b")}),
+f AS ({grams("dw")}),
+u AS ({grams("bw")}),
 h AS (SELECT g, {crc32_sql("g")} % {buckets} AS k FROM (SELECT g FROM f UNION SELECT g FROM u), crc),
 s AS (SELECT k, count(*) AS n FROM f JOIN h USING (g) GROUP BY k),
 t AS (SELECT k, count(*) AS n FROM u JOIN h USING (g) GROUP BY k),
