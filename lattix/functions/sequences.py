@@ -11,7 +11,7 @@ BASES = "TCAG"
 # The standard genetic code in the order of BASES, and the letters of the vocabulary.
 CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 VOCABULARY = ("<pad>", "<bos>", *"ACDEFGHIKLMNPQRSTVWY", *"BJOUZ", "X")
-BOS, UNKNOWN = 1, len(VOCABULARY) - 1
+PAD, BOS, UNKNOWN = 0, 1, len(VOCABULARY) - 1
 STOP_PENALTY, X_PENALTY = 50.0, 5.0
 SLOTS = 11
 

@@ -15,12 +15,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lattix.functions import combos, junctions, sequences
-from lattix.jobs import fragment_library
+from lattix.jobs import fragment_library, train
 from lattix.jobs.calibrate import calibrate
 from lattix.jobs.distill import distill
 from lattix.jobs.rank import rank
-from lattix.operators import alignment, calibration, library, memo, ranking, reports, sampling, scorers
+from lattix.operators import alignment, calibration, library, memo, ranking, reports, sampling, scorers, training
 from lattix.session import scratch, ship
+from lattix.sources import weights
 from lattix.sources.readers import fragment_name
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -578,6 +579,28 @@ def distill_build(spark, d):
     return out.select("source_run_id", "seed", "combo_compact", "sequence_hash", *[F.round(c, 6).alias(c) for c in ("global_score", "junction_mean", "junction_min", "junction_01")], "teacher_cache_hit")
 
 
+#: Rows that the student learns from, those with the smallest hashes of their keys.
+TAUGHT = 512
+
+
+def student(spark, d, folder: str) -> DataFrame:
+    """The history of a small student of the distillation set of all orders; folder gets its checkpoints."""
+    sample = designs(spark, d).select(F.col("combo").alias("combo_compact"))
+    taught = distill(sampling.hashed_sample(sample.distinct(), TAUGHT, 13), None, parts(spark, d), pair_scorer(spark, d))
+    return train.train(spark, taught, folder, parts(spark, d), training.Shape(16, 24, 1, 0.0), train.Settings(batch=64, epochs=3, rate=0.02, lanes=2))
+
+
+@query()
+def student_scores(spark, d):
+    """All orders' designs scored by the best checkpoint of a student trained on TAUGHT of them, beside the teacher's scores."""
+    folder = f"{scratch(spark)}/student-{uuid.uuid4().hex}"
+    student(spark, d, folder)
+    rows = library.built(designs(spark, d).select(F.col("combo").alias("combo_compact")).distinct(), parts(spark, d))
+    names = ("global_score", "junction_mean", "junction_min")
+    own = scorers.summaries(weights.saved_scorer(spark, f"{folder}/best")(rows)).select("combo_compact", "sequence_aa", "domain_lengths", *[F.round(c, 6).alias(f"student_{c}") for c in names])
+    return scorers.summaries(pair_scorer(spark, d)(own)).select("combo_compact", *[f"student_{c}" for c in names], *[F.round(c, 6).alias(f"teacher_{c}") for c in names])
+
+
 @query(f"""WITH {V_COMBO}, {V_LAB}, {V_LIB}, act AS (SELECT DISTINCT combo_compact FROM v_lab WHERE label = 1), d AS (SELECT DISTINCT combo FROM v_combo WHERE combo NOT IN (SELECT combo_compact FROM act) UNION SELECT combo_compact FROM act), {_PAIR_SCORES}
 SELECT combo AS combo_compact, (combo IN (SELECT combo_compact FROM act))::INT AS label, round(global_score, 6) AS global_score, round(junction_mean, 6) AS junction_mean, round(junction_min, 6) AS junction_min,
   junction_min >= (SELECT quantile_cont(junction_min, 0.1) FROM ss WHERE combo IN (SELECT combo_compact FROM act)) - 1e-9 AS passes_s_min FROM ss""")

@@ -3,7 +3,7 @@
 A scorer is a function from a DataFrame with sequence_aa and domain_lengths to one that also has
 token_ll; summaries() turns that into the scores that ranking uses. Two are here: a bigram model
 counted and applied by Spark, a stand-in for a trained language model, and the forward pass of a
-gated recurrent network with weights from a file.
+gated recurrent network, with weights that sources.weights keeps and jobs.train makes.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from typing import Protocol
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattix.functions import junctions, sequences
@@ -33,7 +33,7 @@ def summaries(df: DataFrame, left: int = junctions.LEFT, right: int = junctions.
     def run(ll: pa.Array, lengths: pa.Array) -> pa.Array:
         total, means = np.full(len(ll), np.nan), np.full((len(ll), junctions.JUNCTIONS), np.nan)
         for i in range(0, len(ll), 1024):
-            total[i : i + 1024], means[i : i + 1024] = _summed(ll.slice(i, 1024), lengths.slice(i, 1024), left, right)
+            total[i : i + 1024], means[i : i + 1024] = summed(ll.slice(i, 1024), lengths.slice(i, 1024), left, right)
         flat = pa.array(means.ravel())
         scores = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, junctions.JUNCTIONS, dtype=np.int32)), flat)
         return pa.StructArray.from_arrays([pa.array(total), scores], ["global_score", "junction_scores"])
@@ -42,7 +42,7 @@ def summaries(df: DataFrame, left: int = junctions.LEFT, right: int = junctions.
     return rows.withColumn("junction_mean", junctions.junction_mean(F.col("junction_scores"))).withColumn("junction_min", junctions.junction_min(F.col("junction_scores")))
 
 
-def _summed(ll: pa.Array, lengths: pa.Array, left: int, right: int) -> tuple[np.ndarray, np.ndarray]:
+def summed(ll: pa.Array, lengths: pa.Array, left: int, right: int) -> tuple[np.ndarray, np.ndarray]:
     """Means of all scores, and window means, of a batch of rows."""
     sizes = pc.fill_null(pc.list_value_length(ll), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     parts = pc.fill_null(pc.list_value_length(lengths), 0).to_numpy(zero_copy_only=False)
@@ -153,13 +153,15 @@ class Network:
         return out
 
 
-def network_scorer(weights: dict[str, np.ndarray], batch: int = 64) -> Scorer:
-    """Scores by a network of fixed size; its weights travel with the function, sequences come in Arrow batches."""
-    net = Network(weights)
+def network_scorer(weights: dict[str, np.ndarray], batch: int = 64, spark: SparkSession | None = None) -> Scorer:
+    """Scores by a network of fixed size, sequences in Arrow batches; its weights travel with the function, or with a session once to each executor."""
+    sent = spark.sparkContext.broadcast(weights) if spark else None
+    own = None if sent else weights
 
     def score(df: DataFrame) -> DataFrame:
         @F.arrow_udf("array<double>")
         def run(column: pa.Array) -> pa.Array:
+            net = Network(sent.value if sent else own)
             ids = [np.array(x or [], dtype=np.int64) for x in column.to_pylist()]
             out: list[list[float] | np.ndarray] = [[] for _ in ids]
             order = [k for k in sorted(range(len(ids)), key=lambda k: len(ids[k])) if len(ids[k])]
