@@ -61,6 +61,10 @@ V_LL = """v_ll AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE)
 v_b AS (SELECT *, list_transform(range(1, 11), lambda i: (i * (n // 11))::INT) AS bounds FROM v_ll),
 v_j AS (SELECT *, list_transform(bounds, lambda b: list_avg(list_slice(ll, greatest(1, b - 25 + 1), least(n, b + 25)))) AS j FROM v_b)"""
 V_DNA = "v_dna AS (SELECT doc_id, translate(sha256(coalesce(text, '')), '0123456789abcdef', 'ACGTACGTACGTACGT') AS dna FROM documents)"
+#: Letters of whole texts as nucleotides, for reads of thousands of bases.
+_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_BASES = ("ACGT" * 13)[: len(_LETTERS)]
+V_LONG = f"v_dna AS (SELECT doc_id, regexp_replace(translate(regexp_replace(coalesce(text, ''), '[^a-zA-Z]', '', 'g'), '{_LETTERS}', '{_BASES}'), '[^ACGT]', '', 'g') AS dna FROM documents)"
 V_LAB = f"""v_lab AS (SELECT doc_id, quality AS label, {COMBO.format(IDX.format('doc_id'))} AS combo_compact, -n_chars / 100.0::DOUBLE AS global_score,
   -((doc_id * 37) % 1000) / 10.0::DOUBLE AS junction_mean, CASE WHEN doc_id % 13 = 0 THEN 'nan'::DOUBLE ELSE -((doc_id * 37) % 1000) / 10.0::DOUBLE - doc_id % 17 END AS junction_min
   FROM labels JOIN documents USING (doc_id))"""
@@ -95,10 +99,16 @@ def reads(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.translate(digest, "0123456789abcdef", "ACGTACGTACGTACGT").alias("dna"))
 
 
-def dealt(spark: SparkSession, d: str) -> DataFrame:
+def long_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts as reads: their letters A-Z as nucleotides."""
+    letters_ = F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z]", "")
+    return table(spark, d, "documents").select("doc_id", F.translate(letters_, _LETTERS, _BASES).alias("dna"))
+
+
+def dealt(spark: SparkSession, d: str, own: Callable[[SparkSession, str], DataFrame] = reads) -> DataFrame:
     """The reads with a parent and a slot by their ids."""
     k = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(44))
-    return reads(spark, d).withColumn("parent", F.substr(F.lit(combos.ALPHABET), (k % 4 + 1).cast("int"), F.lit(1))).withColumn("slot", (F.floor(k / 4) + 1).cast("int"))
+    return own(spark, d).withColumn("parent", F.substr(F.lit(combos.ALPHABET), (k % 4 + 1).cast("int"), F.lit(1))).withColumn("slot", (F.floor(k / 4) + 1).cast("int"))
 
 
 def features(spark: SparkSession, d: str) -> DataFrame:
@@ -230,10 +240,23 @@ def sanitize_revcomp(spark, d):
     return reads(spark, d).select("doc_id", sequences.sanitised(F.col("dna")).alias("clean"), sequences.reverse_complement(F.col("dna")).alias("rev"))
 
 
-_FRAMES = f"""{V_DNA}, frames AS (SELECT doc_id, (3 * o + f)::INT AS gen_idx, CASE o WHEN 0 THEN 'fwd' ELSE 'rev' END AS orientation, f::INT AS frame, CASE o WHEN 0 THEN dna ELSE reverse(translate(dna, 'ACGTN', 'TGCAN')) END AS s
+def _frames(reads_: str) -> str:
+    """SQL tables that end in ``aa`` (doc_id, gen_idx, orientation, frame, aa_raw): the six frames of v_dna."""
+    return f"""{reads_}, frames AS (SELECT doc_id, (3 * o + f)::INT AS gen_idx, CASE o WHEN 0 THEN 'fwd' ELSE 'rev' END AS orientation, f::INT AS frame, CASE o WHEN 0 THEN dna ELSE reverse(translate(dna, 'ACGTN', 'TGCAN')) END AS s
   FROM v_dna, range(0, 2) a(o), range(0, 3) b(f)),
-aa AS (SELECT doc_id, gen_idx, orientation, frame, list_aggregate(list_transform(range(0, (length(s) - frame) // 3), lambda i: substr('{sequences.CODE}',
-  (16 * (instr('TCAG', substr(s, (frame + 3 * i + 1)::INT, 1)) - 1) + 4 * (instr('TCAG', substr(s, (frame + 3 * i + 2)::INT, 1)) - 1) + instr('TCAG', substr(s, (frame + 3 * i + 3)::INT, 1)))::INT, 1)), 'string_agg', '') AS aa_raw FROM frames)"""
+codon AS (SELECT doc_id, gen_idx, unnest(range(0, (length(s) - frame) // 3)) AS i, unnest(regexp_extract_all(substr(s, frame + 1), '...')) AS c FROM frames WHERE length(s) - frame >= 3),
+amino AS (SELECT doc_id, gen_idx, string_agg(substr('{sequences.CODE}', (16 * (instr('TCAG', c[1]) - 1) + 4 * (instr('TCAG', c[2]) - 1) + instr('TCAG', c[3]))::INT, 1), '' ORDER BY i) AS aa FROM codon GROUP BY doc_id, gen_idx),
+aa AS (SELECT doc_id, gen_idx, orientation, frame, coalesce(aa, '') AS aa_raw FROM frames LEFT JOIN amino USING (doc_id, gen_idx))"""
+
+
+_FRAMES = _frames(V_DNA)
+
+
+@query(f"WITH {_frames(V_LONG)} SELECT doc_id, gen_idx, length(aa_raw)::INT AS aa_length, (length(aa_raw) - length(replace(aa_raw, '*', '')))::INT AS stops, sha256(aa_raw) AS aa_hash FROM aa")
+def long_read_frames(spark, d):
+    """The six frames of whole texts read as nucleotides."""
+    aa = F.col("aa_raw")
+    return library.six_frame_candidates(long_reads(spark, d)).select("doc_id", "gen_idx", F.length(aa).alias("aa_length"), sequences.count_of(aa, "*").alias("stops"), sequences.sha256(aa).alias("aa_hash"))
 
 
 @query(f"WITH {_FRAMES} SELECT * FROM aa")
@@ -249,12 +272,48 @@ def stop_x_penalty(spark, d):
     return library.six_frame_candidates(reads(spark, d)).select("doc_id", "gen_idx", stops.alias("stops"), sequences.adjusted_score(F.lit(100.0), aa).alias("adjusted_score"), sequences.without_stops(aa).alias("clean"), sequences.warnings(F.lit(False), stops, sequences.x_fraction(aa)).alias("warnings"))
 
 
-@query()
+def _aligned(pairs: str) -> str:
+    """SQL tables that end in ``al`` (p, score, t0, t1, q0, q1): local alignments of the pairs (p, t, q), a step for each letter of the targets.
+
+    A cell has the best score that ends in it (h) and where that begins (s); d and sd are those of alignments that end in a gap of the query.
+    """
+    rows = [r.split() for r in alignment.BLOSUM62.strip().split("\n")]
+    scores = ", ".join(f"'{x}{y}': {v}" for x, r in zip(alignment.LETTERS, rows, strict=True) for y, v in zip(alignment.LETTERS, r, strict=True))
+    letters = alignment.LETTERS
+    own = lambda x: f"list_transform(string_split(upper({x}), ''), lambda c: CASE WHEN contains('{letters}', c) THEN c ELSE 'X' END)"
+    open_, extend = f"({alignment.OPEN}::DOUBLE)", f"({alignment.EXTEND}::DOUBLE)"
+    return f"""bl AS (SELECT MAP {{{scores}}} AS m), pr AS MATERIALIZED (SELECT p, {own('t')} AS t, {own('q')} AS q FROM ({pairs}) WHERE length(t) > 0 AND length(q) > 0),
+letter AS MATERIALIZED (SELECT p, i::INT AS i, t[i::INT] AS c FROM pr, range(1, 100000) r(i) WHERE i <= len(t)),
+dp AS (SELECT p, q, 0 AS i, j::INT AS j, 0.0::DOUBLE AS h, 0::BIGINT AS s, '-inf'::DOUBLE AS d, 0::BIGINT AS sd FROM pr, range(0, 100000) r(j) WHERE j <= len(q) UNION ALL
+  SELECT p, q, i, j, greatest(v, {extend} * j + {open_} - {extend} + best.l), CASE WHEN best IS NULL OR v >= {extend} * j + {open_} - {extend} + best.l THEN sv ELSE best.s END, d, sd FROM (
+    SELECT *, max(struct_pack(l := v - {extend} * j, j := j, s := sv)) OVER w AS best FROM (
+      SELECT *, CASE WHEN j = 0 THEN 0 ELSE greatest(0, d, match) END AS v, CASE WHEN j > 0 AND match >= greatest(d, 0) THEN begin_ ELSE sd END AS sv FROM (
+        SELECT dp.p, q, dp.i + 1 AS i, j, greatest(h + {open_}, d + {extend}) AS d, CASE WHEN d + {extend} > h + {open_} THEN sd ELSE s END AS sd,
+          coalesce(lag(h) OVER k + bl.m[letter.c || q[j]], -1e9) AS match, CASE WHEN lag(h) OVER k > 0 THEN lag(s) OVER k ELSE dp.i * (len(q) + 1) + j - 1 END AS begin_
+        FROM dp JOIN letter ON letter.p = dp.p AND letter.i = dp.i + 1, bl WINDOW k AS (PARTITION BY dp.p ORDER BY j)))
+    WINDOW w AS (PARTITION BY p ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))),
+al AS (SELECT p, max(h) AS score, arg_min(struct_pack(t0 := s // (len(q) + 1), t1 := i, q0 := s % (len(q) + 1), q1 := j), (-h, i, j)) AS x FROM dp WHERE h > 0 GROUP BY p)"""
+
+
+_PARENTS = "SELECT letter, string_agg(seq, '' ORDER BY slot) AS protein FROM v_lib GROUP BY letter"
+_DEALT = "SELECT *, substr('ALFM', (coalesce(doc_id, 0) % 44 % 4 + 1)::INT, 1) AS letter, (coalesce(doc_id, 0) % 44 // 4 + 1)::INT AS slot FROM aa"
+
+
+@query(f"""WITH RECURSIVE {_FRAMES}, {V_LIB}, dealt AS ({_DEALT}), {_aligned("SELECT (doc_id, gen_idx) AS p, seq AS t, aa_raw AS q FROM dealt JOIN v_lib USING (letter, slot)")}
+SELECT doc_id, orientation, frame, letter, slot, score AS align_score, x.t0::INT AS parent_start, x.t1::INT AS parent_end, x.q0::INT AS query_start, x.q1::INT AS query_end FROM dealt JOIN v_lib USING (letter, slot) LEFT JOIN al ON p = (doc_id, gen_idx)""")
 def local_alignment(spark, d):
     """All frames of the reads aligned with the fragment, one of 44, that each read is dealt by its id."""
     targets = parts(spark, d).select("letter", "slot", F.col("aa_sequence").alias("target"))
     frames = library.six_frame_candidates(dealt(spark, d)).withColumnRenamed("parent", "letter")
-    return alignment.align(frames.join(targets, ["letter", "slot"]), "target", "aa_raw").select("doc_id", "orientation", "frame", "letter", "slot", "align_score")
+    return alignment.align(frames.join(targets, ["letter", "slot"]), "target", "aa_raw").select("doc_id", "orientation", "frame", "letter", "slot", "align_score", "parent_start", "parent_end", "query_start", "query_end")
+
+
+@query()
+def long_read_alignment(spark, d):
+    """All frames of whole texts aligned with the fragment that each text is dealt by its id."""
+    targets = parts(spark, d).select("letter", "slot", F.col("aa_sequence").alias("target"))
+    frames = library.six_frame_candidates(dealt(spark, d, long_reads)).withColumnRenamed("parent", "letter")
+    return alignment.align(frames.join(targets, ["letter", "slot"]), "target", "aa_raw").select("doc_id", "gen_idx", "letter", "slot", "align_score", "parent_start", "parent_end", "query_start", "query_end")
 
 
 @query()

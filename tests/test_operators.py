@@ -163,11 +163,27 @@ def test_local_alignment(spark):
         assert (got[0] if got else 0.0) == pytest.approx(want)
         if got:
             assert 0 <= got[1] < got[2] <= len(t) and 0 <= got[3] < got[4] <= len(q)
+            assert brute_alignment(t[got[1] : got[2]], q[got[3] : got[4]]) == pytest.approx(want)
     assert alignment.local_alignment("", "A") is None
     df = spark.createDataFrame([("MKV", "MKV"), ("W", "A"), (None, "A")], "t string, q string")
     assert [r["align_score"] for r in alignment.align(df, "t", "q").collect()] == [14.0, None, None]
 
 
+def test_alignments_of_many_pairs(monkeypatch):
+    """Pairs of all lengths together are what each is alone, empty ones and null ones included; and for any size of a batch."""
+    rng = random.Random(7)
+    letters = ["ACDEFGHIKLMNPQRSTVWY", "AW", "acX*Z-"]
+    pairs = [tuple("".join(rng.choice(own) for _ in range(rng.choice([0, 1, 3, 20, 90]))) for _ in range(2)) for own in letters * 25] + [(None, "A"), ("A", None)]
+    alone = [alignment.local_alignment(*p) for p in pairs]
+    assert alignment.local_alignments(pairs) == alone
+    monkeypatch.setattr(alignment, "CELLS", 50)
+    monkeypatch.setattr(alignment, "TOGETHER", 3)
+    assert alignment.local_alignments(pairs) == alone
+    for (t, q), got in zip(pairs, alone, strict=True):
+        if t and q and len(t) * len(q) < 500:
+            assert (got[0] if got else 0.0) == pytest.approx(brute_alignment(t, q))
+
+
 def test_reports(spark):
     nan = math.nan
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (nan, 1.0), (3.0, math.inf)], "x double, y double")
