@@ -335,6 +335,31 @@ def hamming_pairs(spark, d):
     return rows.select("o_orderkey", "other", combos.hamming(F.col("idx"), F.col("b")).alias("distance"))
 
 
+@query(f"""WITH {V_COMBO}, d AS (SELECT DISTINCT idx, combo FROM v_combo), n AS (SELECT idx, combo, p.p, unnest(list_filter(range(4), lambda v: v <> ((idx >> (2 * p.p)) & 3))) AS v FROM d, range(11) p(p)),
+e AS (SELECT idx, combo, xor(idx, (xor(v, (idx >> (2 * p)) & 3)) << (2 * p)) AS other, p FROM n), two AS (SELECT e.idx, e.combo, xor(e.other, xor(f.v, (e.other >> (2 * f.p)) & 3) << (2 * f.p)) AS other FROM e JOIN n f ON f.idx = e.idx AND f.p > e.p),
+reach AS (SELECT idx, combo, other FROM e UNION ALL SELECT idx, combo, other FROM two)
+SELECT r.idx AS a, d.idx AS b, hamming(r.combo, d.combo)::INT AS distance FROM reach r JOIN d ON d.idx = r.other WHERE r.idx < d.idx""")
+def hamming_near(spark, d):
+    """All pairs of orders' designs that differ in one or two slots."""
+    return ranking.near_pairs(designs(spark, d), 3, blocks=5)
+
+
+def _shuffled(i: str, half: int, seed: int) -> str:
+    """sampling.permuted() in SQL."""
+    mask = (1 << half) - 1
+    high, low = f"({i} >> {half})", f"({i} & {mask})"
+    columns = [f"p0 AS (SELECT {i} AS i, {high} AS high, {low} AS low FROM v_n)"]
+    for k, key in enumerate(sampling.round_keys(seed)):
+        columns.append(f"p{k + 1} AS (SELECT i, low AS high, xor(high, (((low * low + {key}) * 40503 + low * 2654435761) >> 9) & {mask}) AS low FROM p{k})")
+    return ", ".join(columns) + f", p AS (SELECT i, (high << {half}) | low AS idx FROM p{sampling.ROUNDS})"
+
+
+@query(f"WITH v_n AS (SELECT unnest(range(count(*))) AS n FROM orders), {_shuffled('n', combos.SLOTS, 13)} SELECT idx, {COMBO.format('idx')} AS combo_compact FROM p")
+def distinct_designs(spark, d):
+    """As many different designs as there are orders, drawn without a memory."""
+    return sampling.distinct_designs(spark, table(spark, d, "orders").count(), 13)
+
+
 _SCORE = "global_score + 0.5::DOUBLE * junction_mean + 0.5::DOUBLE * junction_min"
 _TOP = f"""{V_LAB}, top AS (SELECT * FROM (SELECT *, CASE WHEN isnan({_SCORE}) THEN NULL ELSE {_SCORE} END AS student_rank_score FROM v_lab) ORDER BY student_rank_score DESC NULLS LAST, combo_compact, doc_id LIMIT 100)"""
 
@@ -354,10 +379,14 @@ s AS (SELECT range AS idx, {COMBO.format('range')} AS combo_compact FROM range(4
 SELECT idx, combo_compact, list_sum(list_transform(range(1, 12), lambda i: m[substr(combo_compact, i::INT, 1) || i]))::BIGINT AS score FROM s, m ORDER BY score DESC, combo_compact LIMIT 50""")
 def exhaustive_topk(spark, d):
     """All designs scored by the mean prices of their fragments, over all of part; the best fifty."""
+    return ranking.exhaustive(spark, _weights(spark, d), 50)
+
+
+def _weights(spark, d):
+    """One row with the prices of the fragments by slot and letter."""
     place = (F.col("slot") - 1) * len(combos.ALPHABET) + F.instr(F.lit(combos.ALPHABET), F.col("letter"))
     pairs = parts(spark, d).select(F.struct(place.alias("k"), F.round(F.col("weight") * 10000).cast("long").alias("w")).alias("x"))
-    table_ = pairs.limit(combos.SLOTS * len(combos.ALPHABET)).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["w"]).alias("w"))
-    return ranking.exhaustive(spark, table_, 50)
+    return pairs.limit(combos.SLOTS * len(combos.ALPHABET)).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["w"]).alias("w"))
 
 
 @query(f"WITH {_TOP} SELECT doc_id, row_number() OVER (ORDER BY student_rank_score DESC NULLS LAST, combo_compact)::INT AS final_rank FROM top")
@@ -373,6 +402,12 @@ def greedy_diversity(spark, d):
     return ranking.greedy_diversity(shortlist(spark, d).select("combo_compact", "student_rank_score"), 20, "student_rank_score", least=8).select("combo_compact", "selection_reason")
 
 
+@query()
+def diverse_exhaustive(spark, d):
+    """Of all designs, by the mean prices of their fragments over part, the best fifty that differ in four slots at least."""
+    return ranking.diverse(ranking.weighted(spark, _weights(spark, d)), 50, least=4).select("idx", "score", "selection_order")
+
+
 @query(f"WITH {_TOP} SELECT v_lab.doc_id, v_lab.combo_compact IN (SELECT combo_compact FROM top) AS diversity_selected FROM v_lab")
 def diversity_flag_semi(spark, d):
     return ranking.flagged(features(spark, d), shortlist(spark, d)).select("doc_id", "diversity_selected")

@@ -5,6 +5,8 @@ A score that is NaN counts as missing and comes last; ties go by the key, so eve
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,18 +19,22 @@ def enumerated(spark: SparkSession, start: int = 0, end: int = combos.SPACE, par
     return spark.range(start, end, 1, partitions).select(F.col("id").alias("idx"), combos.from_index(F.col("id")).alias("combo_compact"))
 
 
-def exhaustive(spark: SparkSession, weights: DataFrame, k: int) -> DataFrame:
-    """(idx, combo_compact, score): the k best of all designs by the sum of their fragments' weights.
+def weighted(spark: SparkSession, weights: DataFrame) -> DataFrame:
+    """(idx, combo_compact, score): all designs with the sums of their fragments' weights.
 
     weights is one row with the array w: four weights for each slot, in the order of the alphabet.
     A design's score is read from it by the digits of its index, two bits a slot, so nothing but
-    integers is handled for the designs that lose; each task keeps its best k.
+    integers is handled for the designs that lose.
     """
     n = len(combos.ALPHABET)
     digit = lambda slot: F.shiftright("idx", 2 * (combos.SLOTS - 1 - slot)).bitwiseAND(F.lit(n - 1)).cast("int")
     score = sum((F.get("w", digit(s) + n * s) for s in range(1, combos.SLOTS)), F.get("w", digit(0)))
-    rows = enumerated(spark).crossJoin(F.broadcast(weights))  # a single row
-    return rows.select("idx", "combo_compact", score.alias("score")).orderBy(F.desc("score"), "combo_compact").limit(k)
+    return enumerated(spark).crossJoin(F.broadcast(weights)).select("idx", "combo_compact", score.alias("score"))  # a single row
+
+
+def exhaustive(spark: SparkSession, weights: DataFrame, k: int) -> DataFrame:
+    """The k best of weighted() designs; each task keeps its best k."""
+    return weighted(spark, weights).orderBy(F.desc("score"), "combo_compact").limit(k)
 
 
 def top_k(df: DataFrame, k: int, score: str | Column = "student_rank_score", key: str = "combo_compact") -> DataFrame:
@@ -72,6 +78,70 @@ def greedy_diversity(df: DataFrame, k: int, score: str = "calibrated_prob", key:
     return out.select("x.r.*", (F.col("n") + 1).alias("selection_order"), F.lit(True).alias("diversity_selected"), F.col("x.why").alias("selection_reason"))
 
 
+HEAD = 2_000
+
+
+def diverse(df: DataFrame, k: int, score: str = "score", least: int = 2, head: int = HEAD) -> DataFrame:
+    """What greedy_diversity() chooses by distance among any number of rows (idx, score): (idx, score, selection_order).
+
+    A round takes the first ``head`` rows behind those decided that are far enough from all that
+    were accepted, a filter and a bounded heap in each task, and decides them in order; the first
+    one is always accepted, so there are k rounds at most. Only keys of heads come to the driver.
+    df is read once for each round: a written table, or one that costs little to make.
+    """
+    s = junctions.orderable(F.col(score))
+    rows = df.select("idx", F.coalesce(s, F.lit(float("-inf"))).alias(score))
+    chosen: list[tuple[int, float]] = []
+    last = None
+    while len(chosen) < k:
+        left = rows if last is None else rows.where((F.col(score) < last[1]) | ((F.col(score) == last[1]) & (F.col("idx") > last[0])))
+        for idx, _ in chosen:
+            left = left.where(combos.hamming(F.col("idx"), F.lit(idx).cast("long")) >= least)
+        first = [(r["idx"], r[score]) for r in left.orderBy(F.desc(score), "idx").limit(head).collect()]
+        for idx, value in first:
+            if len(chosen) < k and all(_distance(idx, c) >= least for c, _ in chosen):
+                chosen.append((idx, value))
+        if len(first) < head:
+            break
+        last = first[-1]
+    return df.sparkSession.createDataFrame([(i, v, n + 1) for n, (i, v) in enumerate(chosen)], f"idx long, {score} double, selection_order int")
+
+
+def _distance(a: int, b: int) -> int:
+    return sum((a >> 2 * k & 3) != (b >> 2 * k & 3) for k in range(combos.SLOTS))
+
+
+#: Rows of a block of slots that are compared in one task; larger ones are cut into pieces.
+MOST_BLOCK = 4_096
+
+
+def near_pairs(df: DataFrame, below: int, blocks: int | None = None, most: int = MOST_BLOCK) -> DataFrame:
+    """(a, b, distance) of all pairs a < b of different indices (idx) that differ in fewer than ``below`` slots.
+
+    Slots are cut into blocks; a pair that differs in fewer than ``below`` slots agrees in all but
+    below - 1 blocks, so rows meet under each choice of that many blocks and are compared there. A
+    pair is given under the first choice on which it agrees. Choices of more than ``most`` rows are cut into
+    pieces that meet in pairs. More blocks make more and longer keys, and fewer rows under each.
+    """
+    if not 1 <= below <= combos.SLOTS:
+        raise ValueError("the distance lies between 1 and the number of slots")
+    n = min(combos.SLOTS, blocks or below + 2)
+    edges = [combos.SLOTS * k // n for k in range(n + 1)]
+    masks = [sum(3 << 2 * slot for slot in range(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
+    choices = [sum(masks[k] for k in kept) for kept in itertools.combinations(range(n), n - below + 1)]
+    key = F.array(*[F.struct(F.lit(c).alias("choice"), F.col("idx").bitwiseAND(F.lit(m).cast("long")).alias("value")) for c, m in enumerate(choices)])
+    rows = df.select(F.col("idx").cast("long").alias("idx")).distinct().select("idx", F.explode(key).alias("k")).select("idx", "k.*")
+    size = rows.groupBy("choice", "value").agg(F.count("*").alias("n")).where("n > 1").select("choice", "value", F.ceil(F.col("n") / most).cast("int").alias("pieces"))
+    met = rows.join(size, ["choice", "value"]).withColumn("piece", F.pmod(F.xxhash64("idx"), F.col("pieces")).cast("int"))
+    left = met.select("choice", "value", F.col("idx").alias("x"), F.col("piece").alias("p"), F.explode(F.sequence("piece", F.col("pieces") - 1)).alias("q"))
+    right = met.select("choice", "value", F.col("idx").alias("y"), F.explode(F.sequence(F.lit(0), "piece")).alias("p"), F.col("piece").alias("q"))
+    differ = F.col("x").bitwiseXOR(F.col("y"))
+    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m).cast("long")) == 0, F.lit(c)) for c, m in enumerate(choices)])
+    distance = combos.hamming(F.col("x"), F.col("y"))
+    pairs = left.join(right, ["choice", "value", "p", "q"]).where((F.col("x") < F.col("y")) | (F.col("p") < F.col("q"))).where((distance < below) & (first == F.col("choice")))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), distance.alias("distance"))
+
+
 def final_rank(selected: DataFrame, score: str = "calibrated_prob", key: str = "combo_compact") -> DataFrame:
     """selected with final_rank 1 .. n; its size is that of a report, so one task orders it."""
     return selected.withColumn("final_rank", F.row_number().over(W.orderBy(junctions.orderable(F.col(score)).desc_nulls_last(), key)))

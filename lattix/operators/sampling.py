@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,6 +33,41 @@ def drawn(spark: SparkSession, n: int, seed: int, prefix: str = "", slots: int =
     return spark.createDataFrame([(c,) for c in sorted(seen)], "combo_compact string")
 
 
+ROUNDS = 6
+
+
+def round_keys(seed: int) -> list[int]:
+    """The numbers that a seed gives the rounds of permuted()."""
+    return [int(hashlib.sha256(f"{seed}:{k}".encode()).hexdigest()[:7], 16) for k in range(ROUNDS)]
+
+
+def permuted(i: Column, half: int, seed: int) -> Column:
+    """A permutation of the numbers below 4 ** half, keyed by seed: rounds that add a scrambled half to the other."""
+    mask = F.lit((1 << half) - 1).cast("long")
+    high, low = F.shiftright(i.cast("long"), half), i.cast("long").bitwiseAND(mask)
+    for key in round_keys(seed):
+        high, low = low, high.bitwiseXOR(F.shiftright((low * low + key) * 40503 + low * 2654435761, 9).bitwiseAND(mask))
+    return F.shiftleft(high, half).bitwiseOR(low)
+
+
+def distinct_designs(spark: SparkSession, n: int, seed: int, prefix: str = "") -> DataFrame:
+    """(idx, combo_compact) of n different keys that begin with prefix, n up to their number, in the order of the draw's index.
+
+    The n first numbers are permuted, each where it is used; nothing is remembered, sorted or compared.
+    """
+    prefix = prefix.strip().upper()
+    if set(prefix) - set(combos.ALPHABET) or len(prefix) > combos.SLOTS:
+        raise ValueError("invalid prefix")
+    free = combos.SLOTS - len(prefix)
+    if n > len(combos.ALPHABET) ** free:
+        raise ValueError("more keys asked for than there are")
+    first = 0
+    for c in prefix:
+        first = first * len(combos.ALPHABET) + combos.ALPHABET.index(c)
+    idx = permuted(F.col("id"), free, seed) + F.lit(first << (2 * free)).cast("long") if free else F.lit(first).cast("long")
+    return spark.range(n).select(idx.alias("idx")).withColumn("combo_compact", combos.from_index(F.col("idx")))
+
+
 def hashed_sample(df: DataFrame, n: int, seed: int, key: str = "combo_compact") -> DataFrame:
     """n rows with the smallest hashes of key and seed, the same in every run."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)

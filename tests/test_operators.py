@@ -169,6 +169,49 @@ def test_local_alignment(spark):
     assert [r["align_score"] for r in alignment.align(df, "t", "q").collect()] == [14.0, None, None]
 
 
+def test_near_pairs(spark):
+    """All pairs below a distance, with a hot block that is cut in pieces, whatever the blocks."""
+    rng = random.Random(3)
+    ids = [rng.randrange(combos.SPACE) for _ in range(60)] + [rng.randrange(4**4) for _ in range(90)] + [5, 5, 6]
+    df = spark.createDataFrame([(i,) for i in ids], "idx long").repartition(4)
+    own = sorted(set(ids))
+    distance = {(a, b): ranking._distance(a, b) for k, b in enumerate(own) for a in own[:k]}
+    for below, blocks, most in ((1, None, 10), (2, None, 7), (3, 5, 20), (4, 4, 4096), (11, 11, 30)):
+        got = [tuple(r) for r in ranking.near_pairs(df, below, blocks, most).collect()]
+        assert len(got) == len(set(got)) and sorted(got) == sorted((a, b, n) for (a, b), n in distance.items() if n < below)
+    with pytest.raises(ValueError):
+        ranking.near_pairs(df, 0)
+
+
+def test_diversity_of_any_size(spark):
+    """In rounds of any size what the fold chooses."""
+    rng = random.Random(8)
+    rows = [(i, rng.choice([1.0, 2.0, math.nan, None, rng.random()])) for i in rng.sample(range(4**6), 400)]
+    df = spark.createDataFrame(rows, "idx long, score double").repartition(3).cache()
+    named = df.withColumn("key", F.lpad("idx", 5, "0")).withColumn("combo_compact", combos.from_index(F.col("idx")))
+    for least in (1, 3, 5):
+        # the fold breaks ties by the key, of which the alphabet's order is not that of the index
+        fold = spark.createDataFrame([(r["idx"], r["score"], "".join("0123"[r["idx"] >> 2 * k & 3] for k in reversed(range(11)))) for r in named.collect()], "idx long, score double, k string")
+        want = [r["idx"] for r in ranking.greedy_diversity(fold, 30, "score", "k", least).where("selection_reason = 'distance'").orderBy("selection_order").collect()]
+        for head in (1, 7, 400, 5000):
+            assert [r["idx"] for r in ranking.diverse(df, 30, "score", least, head).orderBy("selection_order").collect()] == want
+    assert ranking.diverse(df.limit(0), 3).count() == 0
+
+
+def test_permutation(spark):
+    for half in (1, 2, 5):
+        got = [r[0] for r in spark.range(4**half).select(sampling.permuted(F.col("id"), half, 5)).collect()]
+        assert sorted(got) == list(range(4**half)) and (half < 5 or got != sorted(got))
+    whole = {r["combo_compact"] for r in sampling.distinct_designs(spark, 4**4, 9, "almfall").collect()}
+    assert len(whole) == 4**4 and all(c.startswith("ALMFALL") for c in whole)
+    a, b = ([r["idx"] for r in sampling.distinct_designs(spark, 5000, seed).collect()] for seed in (1, 2))
+    assert len(set(a)) == 5000 and abs(sum(a) / 5000 / combos.SPACE - 0.5) < 0.03 and len(set(a) & set(b)) < 50
+    assert [r["combo_compact"] for r in sampling.distinct_designs(spark, 1, 1, "ALFMALFMALF").collect()] == ["ALFMALFMALF"]
+    for n, prefix in ((5, "ALFMALFMAL"), (1, "Q")):
+        with pytest.raises(ValueError):
+            sampling.distinct_designs(spark, n, 1, prefix)
+
+
 def test_alignments_of_many_pairs(monkeypatch):
     """Pairs of all lengths together are what each is alone, empty ones and null ones included; and for any size of a batch."""
     rng = random.Random(7)
