@@ -2,8 +2,9 @@
 
 Words are runs of ASCII letters, digits and other characters, without punctuation, A-Z folded.
 A seed is the hash of five words at the places of a fixed mask; what stands at the other places
-does not matter, so a seed survives substituted words. Seeds of the texts are joined with those
-of the benchmark. Around each hit, text and item are laid side by side on the hit's diagonal,
+does not matter, so a seed survives substituted words. Items of up to ``SHORT`` words have seeds of
+another kind: they are cut into one piece more than words may differ, so that a piece is always
+whole. Seeds of the texts are joined with those of the benchmark. Around each hit, text and item are laid side by side on the hit's diagonal,
 and the hit counts if ``window`` words in a row (the whole item if it is shorter) are equal in
 at least ``share`` of the places.
 
@@ -27,6 +28,8 @@ from lattix.llm.common import PUNCTUATION, bloom, bloom_of, bloom_of_ids, checkp
 MASKS = ((0, 1, 2, 3, 5), (0, 1, 3, 5, 6), (0, 2, 3, 6, 8))
 WINDOW = 13
 SHARE = 0.8
+#: Words of an item that is cut into pieces, and looked for whole.
+SHORT = 12
 MOST_WORDS = 200_000
 HIT = "array<struct<item_id:long,start:long,words:long,matches:long>>"
 _HIT = pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("words", pa.int64()), ("matches", pa.int64())])
@@ -59,6 +62,29 @@ def seeds(words: np.ndarray, cut: np.ndarray, mask: tuple[int, ...]) -> tuple[np
     return mix(h)[inside], at[inside]
 
 
+def pieces(n: int, share: float) -> list[tuple[int, int]]:
+    """(first word, words) of the pieces of an item of n words, of which one is whole in whatever overlaps it; none of longer items."""
+    if not 0 < n <= SHORT:
+        return []
+    parts = min(n, int((1 - share) * n + 1e-9) + 1)
+    cut = [n * k // parts for k in range(parts + 1)]
+    return [(a, b - a) for a, b in zip(cut, cut[1:], strict=False)]
+
+
+def piece_seeds(words: np.ndarray, cut: np.ndarray, share: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By their number of words the seeds of the items' pieces, and their places."""
+    starts: dict[int, list[int]] = {}
+    for a, b in zip(cut.tolist(), cut[1:].tolist(), strict=False):
+        for first, size in pieces(b - a, share):
+            starts.setdefault(size, []).append(a + first)
+    out = {}
+    for size, at in starts.items():
+        h, place = seeds(words, cut, tuple(range(size)))
+        own = np.searchsorted(place, at)
+        out[size] = h[own], place[own]
+    return out
+
+
 def aligned(text: np.ndarray, item: np.ndarray, shift: int, window: int, share: float) -> tuple[int, int, int] | None:
     """(first place in the text, words, equal words) of the item laid at place shift of the text, or None if too few are equal."""
     lo, hi = max(0, -shift), min(len(item), len(text) - shift)
@@ -81,14 +107,15 @@ def better(got: tuple[int, int, int], than: tuple[int, int, int] | None) -> bool
 class Index:
     """The benchmark's words and seeds, for lookups by seed."""
 
-    def __init__(self, ids: list[int], items: list[np.ndarray]) -> None:
+    def __init__(self, ids: list[int], items: list[np.ndarray], share: float = SHARE) -> None:
         self.ids, self.items = ids, items
         size = np.array([len(x) for x in items], dtype=np.int64)
         words = np.concatenate(items) if items else np.zeros(0, np.uint64)
         cut = np.concatenate(([0], np.cumsum(size)))
         self.seeds, self.item, self.place = [], [], []
-        for mask in MASKS:
-            h, at = seeds(words, cut, mask)
+        short = piece_seeds(words, cut, share)
+        self.masks = [*MASKS, *(tuple(range(n)) for n in short)]
+        for h, at in [*(seeds(words, cut, mask) for mask in MASKS), *short.values()]:
             order = np.argsort(h, kind="stable")
             item = np.searchsorted(cut, at[order], side="right") - 1
             self.seeds.append(h[order])
@@ -100,7 +127,7 @@ class Index:
         """The best alignment of each item with each text of a chunk that it overlaps."""
         found: dict[int, dict[int, tuple[int, int, int]]] = {}
         tried: set[tuple[int, int, int]] = set()
-        for k, mask in enumerate(MASKS):
+        for k, mask in enumerate(self.masks):
             h, at = seeds(words, cut, mask)
             maybe = np.flatnonzero(passes(self.bloom, h))
             h, at = h[maybe], at[maybe]
@@ -121,7 +148,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
 
 
-def load(benchmark: DataFrame, most: int = MOST_WORDS) -> Index | None:
+def load(benchmark: DataFrame, most: int = MOST_WORDS, share: float = SHARE) -> Index | None:
     """The benchmark as an index, or None if it has more than ``most`` words."""
     items = _items(benchmark)
     size = items.agg(F.sum(F.length("text")).alias("n"), F.count("*").alias("items")).first()
@@ -130,7 +157,7 @@ def load(benchmark: DataFrame, most: int = MOST_WORDS) -> Index | None:
     rows = items.orderBy("item_id").collect()  # bounded by ``most``
     column = pa.array([r["text"] for r in rows], pa.string())
     words = [w[c[k] : c[k + 1]] for _, _, w, c in words_of(column) for k in range(len(c) - 1)]
-    return Index([r["item_id"] for r in rows], words)
+    return Index([r["item_id"] for r in rows], words, share)
 
 
 def overlaps(text: Column, index: Index, window: int = WINDOW, share: float = SHARE) -> Column:
@@ -160,14 +187,25 @@ def _joined(docs: DataFrame, benchmark: DataFrame, window: int, share: float) ->
     items = _keys(_items(benchmark), "i1", "i2")
     texts = _keys(docs.select("text").where("text is not null"), "_k1", "_k2")
 
+    def own_seeds(words: np.ndarray, cut: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """All seeds of items."""
+        return [*(seeds(words, cut, mask) for mask in MASKS), *piece_seeds(words, cut, share).values()]
+
+    def sizes(batches):
+        for b in batches:
+            n = {n for _, _, _, cut in words_of(b.column("text")) for k in np.diff(cut).tolist() for _, n in pieces(k, share)}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(n), pa.int32())], ["n"])
+
+    lengths = [r["n"] for r in items.select("text").mapInArrow(sizes, "n int").distinct().collect()]  # SHORT at most
+    masks = [*MASKS, *(tuple(range(n)) for n in sorted(lengths))]
+
     def spread(packed: np.ndarray | None):
         def rows(batches):
             for b in batches:
                 one, two = (b.column(c).to_numpy() for c in (1, 2))
                 s, own, place = [], [], []
                 for i, _, words, cut in words_of(b.column("text")):
-                    for mask in MASKS:
-                        h, at = seeds(words, cut, mask)
+                    for h, at in own_seeds(words, cut) if packed is None else (seeds(words, cut, mask) for mask in masks):
                         if packed is not None:
                             ok = passes(packed, h)
                             h, at = h[ok], at[ok]
@@ -185,7 +223,7 @@ def _joined(docs: DataFrame, benchmark: DataFrame, window: int, share: float) ->
     def hashed(batches):
         for b in batches:
             for _, _, words, cut in words_of(b.column("text")):
-                yield np.concatenate([seeds(words, cut, mask)[0] for mask in MASKS])
+                yield np.concatenate([h for h, _ in own_seeds(words, cut)])
 
     packed = bloom_of(items.select("text"), hashed)
     test = items.select("text", "i1", "i2").mapInArrow(spread(None), kind).select("seed", F.col("a").alias("i1"), F.col("b").alias("i2"), F.col("place").alias("item_at")).distinct()
@@ -228,11 +266,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     """(doc_id, item_id, start, words, matches) of each document and benchmark item that overlap.
 
     start is the first equal word in the text, words reaches to the last, matches are equal.
-    Items with fewer words than a seed match nothing; null texts hold nothing; an item repeated
-    in the benchmark is found under each of its ids, a repeated document row once for each row.
+    An item of fewer than ``window`` words overlaps where it is laid whole. Items without words, or
+    without an id, match nothing; null texts hold nothing; an item repeated in the benchmark is found under each of its ids, a repeated document row once for each row.
     With a benchmark or documents empty the result is empty. Other columns are ignored.
     """
-    index = load(benchmark, most)
+    index = load(benchmark, most, share)
     if index is None:
         own = _keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null"), "_k1", "_k2").drop("text")
         return own.join(_joined(docs, benchmark, window, share), ["_k1", "_k2"]).select("doc_id", "item_id", "start", "words", "matches")
@@ -242,7 +280,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, most: int = MOST_WORDS) -> DataFrame:
     """The rows of docs that no benchmark item overlaps, with all their columns."""
-    index = load(benchmark, most)
+    index = load(benchmark, most, share)
     if index is None:
-        return _keys(docs, "_k1", "_k2").join(_joined(docs, benchmark, window, share).select("_k1", "_k2").distinct(), ["_k1", "_k2"], "left_anti").select(*docs.columns)
+        hit = _joined(docs, benchmark, window, share).select("_k1", "_k2").distinct()
+        own = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), "text")  # columns of any names
+        return _keys(own, "_k1", "_k2").join(hit, ["_k1", "_k2"], "left_anti").select("row.*")
     return docs.where(F.size(overlaps(F.col("text"), index, window, share)) == 0)

@@ -6,10 +6,11 @@ path's ratio is (characters + 8 * punctuation) / runs; it is smoothed over the p
 in page order, and fused with the share of the page's text that its container holds, so that
 headings and short paragraphs are judged with the article around them.
 
-What the markup says is evidence that goes into the fused score, not a verdict: a path in an
-article or main element scores ``INSIDE`` at least; what lies outside of one, on a page that has
-one, and what a class, id or role calls an advert, a sidebar, comments, a notice, ... is scaled
-down. Paths under a fixed share of the best are dropped. Only runs under elements that cannot
+What the markup says goes into the fused score: a path in an article or main element scores
+``INSIDE`` at least; what lies outside of one, on a page that has one, and what a class, id or role
+calls an advert, a sidebar, comments, a notice, ... is scaled down. A class counts if all of it says
+so: ``sidebar``, ``ad-box-2``, but neither ``has-sidebar`` nor ``social-sciences``; and an element that
+holds most of the page's text, and its article if it has one, is not scaled. Paths under a fixed share of the best are dropped. Only runs under elements that cannot
 hold main text (scripts, menus, page headers and footers, asides, forms), and hidden ones, take no part.
 
 Each page is its own unit of work: no shuffle, and a task holds one batch of pages.
@@ -37,12 +38,16 @@ SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 SCOPE = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "aside", "nav", "footer", "header", "form", "body", "td", "th", "blockquote", "figure", "details", "fieldset"}
 STRONG = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adbox", "banner", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "login", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "sidebar", "aside", "related", "recommended", "share", "sharing", "social", "footer", "masthead", "topbar", "toolbar", "pagination", "pager", "comment", "comments", "disqus", "replies", "respond", "complementary", "contentinfo"}
 WEAK = {"notice", "notices", "alert", "side", "widget", "reply", "disclaimer", "copyright", "legal", "tags", "search", "skip"}
+#: Words beside which the words above keep their meaning: ad-box, comment-list.
+AROUND = {"area", "bar", "block", "box", "column", "container", "content", "group", "inner", "item", "items", "left", "link", "links", "list", "main", "module", "outer", "panel", "right", "section", "slot", "site", "the", "top", "bottom", "unit", "wrap", "wrapper", "page", "post", "article"}
+#: The share of a page's text that an element holds if its class is not believed.
+MOST = 0.5
 PUNCTUATION = frozenset(".,;:!?…。，、")
 SHARE = 0.2
 #: The least score of a path in an article or main element; what scales scores down: a weak and a strong word, and lying outside.
 INSIDE, WEAK_FACTOR, STRONG_FACTOR, OUTSIDE = 0.5, 0.35, 0.1, 0.15
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<(?![a-zA-Z/!?])", re.S)
 _ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
@@ -58,15 +63,47 @@ def _judged(tag: str, attrs: str, stack: list) -> tuple[bool, float]:
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return True, 0.0
             if name in ("class", "id", "role") and tag not in MAIN:
-                words = set(re.split(r"[^a-z]+", value))
-                factor = min(factor, STRONG_FACTOR if STRONG & words else WEAK_FACTOR if WEAK & words else 1.0)
+                for token in value.split():
+                    words = set(re.split(r"[^a-z]+", token)) - {""}
+                    if words <= STRONG | WEAK | AROUND:
+                        factor = min(factor, STRONG_FACTOR if STRONG & words else WEAK_FACTOR if WEAK & words else 1.0)
     return False, factor
 
 
 def runs(page: str) -> list[tuple[str, str, int, str, bool, float]]:
     """(path, container path, block number, text, under main?, factor) of the text runs that may be main text."""
-    out, stack = [], []  # stack: (tag, unwanted so far, factor so far)
-    block, at, n = 0, 0, len(page)
+    found = _read(page)
+    total, held = 0, {}  # characters of the page, and of each element that its class would scale
+    for stack, _, text in found:
+        if stack:
+            total += len(text.strip())
+            for tag in stack:
+                if tag[2] < 1:
+                    held[tag[3]] = held.get(tag[3], 0) + len(text.strip())
+    # on a page with an article or main element, only what holds it
+    around = [{tag[3] for tag in stack} for stack, _, _ in found if any(tag[0] in MAIN for tag in stack)]
+    void = {e for e, n in held.items() if n > MOST * total and (not around or any(e in own for own in around))}
+    out = []
+    for stack, block, text in found:
+        if not stack:  # white space between runs, or text outside of all elements
+            out.append(("", "", block, text, False, 1.0))
+            continue
+        factors, least = [], 1.0
+        for tag in stack:
+            least = min(least, 1.0 if tag[3] in void else tag[2])
+            factors.append(least)
+        tags = [f"{s[0]}{f:g}" if f < 1 else s[0] for s, f in zip(stack, factors, strict=True)]  # what is judged apart has a path of its own
+        k = len(tags)
+        while k and stack[k - 1][0] in LEAVES:
+            k -= 1
+        out.append(("/".join(tags), "/".join(tags[:k]), block, text, any(s[0] in MAIN for s in stack), least))
+    return out
+
+
+def _read(page: str) -> list[tuple[list[tuple[str, bool, float, int]], int, str]]:
+    """(elements around it, block number, text) of the text runs that may be main text; an element is (tag, unwanted so far, own factor, number)."""
+    out, stack = [], []
+    block, at, n, number = 0, 0, len(page), 0
     while at < n:
         m = _TOKEN.match(page, at)
         if m is None:  # a quote that never closes: the tag ends at the next >
@@ -99,7 +136,8 @@ def runs(page: str) -> list[tuple[str, str, int, str, bool, float]]:
                     if stack[k][0] in SCOPE - SAME[tag]:
                         break
             unwanted, factor = _judged(tag, m[3], stack)
-            stack.append((tag, unwanted or bool(stack and stack[-1][1]), min(factor, stack[-1][2] if stack else 1.0)))
+            number += 1
+            stack.append((tag, unwanted or bool(stack and stack[-1][1]), factor, number))
         elif m[1]:
             tag = m[1].lower()
             if tag not in INLINE:
@@ -112,14 +150,9 @@ def runs(page: str) -> list[tuple[str, str, int, str, bool, float]]:
                     break
         elif token[0] != "<" or token == "<" or token.startswith("<![CDATA["):
             if not (stack and stack[-1][1]) and token.strip():
-                tags = [f"{s[0]}{s[2]:g}" if s[2] < 1 else s[0] for s in stack]  # what is judged apart has a path of its own
-                k = len(tags)
-                while k and stack[k - 1][0] in LEAVES:
-                    k -= 1
-                text = token[9:-3] if token.startswith("<![CDATA[") else html.unescape(token)
-                out.append(("/".join(tags), "/".join(tags[:k]), block, text, any(s[0] in MAIN for s in stack), stack[-1][2] if stack else 1.0))
+                out.append((list(stack), block, token[9:-3] if token.startswith("<![CDATA[") else html.unescape(token)))
             elif not (stack and stack[-1][1]):
-                out.append(("", "", block, token, False, 1.0))  # white space between runs
+                out.append(([], block, token))  # white space between runs
     return out
 
 

@@ -219,5 +219,6 @@ def drop_near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 85) -
     that has several texts keeps them all or none.
     """
     kept = near_duplicates(docs.select("doc_id", "text"), width, threshold).where("kept and doc_id is not null").select("doc_id").distinct()
-    rows = docs.where("doc_id is not null").withColumn("_k1", F.xxhash64("text")).withColumn("_k2", F.xxhash64(F.lit(1), "text"))
-    return rows.join(kept, "doc_id").dropDuplicates(["doc_id", "_k1", "_k2"]).select(*docs.columns).union(docs.where("doc_id is null"))
+    row = F.struct(*(f"`{c}`" for c in docs.columns)).alias("row")  # columns of any names
+    rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), row)
+    return rows.join(kept, "doc_id").dropDuplicates(["doc_id", "k1", "k2"]).select("row.*").union(docs.where("doc_id is null"))

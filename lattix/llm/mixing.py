@@ -33,6 +33,10 @@ MOST_SOURCES = 10_000
 SALTS = 64
 
 
+#: What a mix says of each document.
+MIXED = ("size", "source_size", "target", "copies", "taken")
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORDS)).cast("long")
 
@@ -83,7 +87,13 @@ def pareto_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: flo
     order; rows that repeat an id draw the same u, and those at the cut are told apart by size.
     An empty table gives an empty result. Other columns are ignored.
     """
-    slim = checkpoint(docs.select("doc_id", F.struct("source").alias("src"), word_count(F.col("text")).alias("size"), uniform(F.col("doc_id"), seed).alias("u")))
+    slim = checkpoint(docs.select("doc_id", F.struct("source").alias("src"), word_count(F.col("text")).alias("size")))
+    return pareto_mix_of(slim, weights, total, most, seed).select("doc_id", *MIXED)
+
+
+def pareto_mix_of(slim: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
+    """pareto_mix() of a written table (doc_id, src, size), src being the source in a struct; the result has src too."""
+    slim = slim.withColumn("u", uniform(F.col("doc_id"), seed))
     targets = checkpoint(
         source_targets(slim.groupBy("src").agg(F.sum("size").alias("source_size")).select("src.source", "source_size"), weights, total, most).select(F.struct("source").alias("src"), "source_size", "target")
     )
@@ -142,7 +152,20 @@ def pareto_mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: flo
         F.col("cut_b2").isNull() | (F.col("b2") < F.col("cut_b2")), True).when(F.col("b2") > F.col("cut_b2"), False).otherwise(
         F.coalesce(F.struct("z", "size", "doc_id") <= F.col("last"), F.lit(False)))
     copies = F.col("sure") + more.cast("long")
-    return with_source(ranked, ends.join(wanted, "src")).select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return with_source(ranked, ends.join(wanted, "src")).select("doc_id", "src", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def with_mix(docs: DataFrame, **how) -> DataFrame:
+    """docs, all rows and columns, with size, source_size, target, copies and taken of pareto_mix(); columns of those names are replaced.
+
+    Rows of one id, source and size have the same number of copies, so texts are joined on these.
+    """
+    docs = docs.select(*(f"`{c}`" for c in docs.columns if c not in MIXED))
+    known = lambda c: F.struct(F.col(c).alias("v"))  # noqa: E731  nulls are equal to each other
+    slim = checkpoint(docs.select("doc_id", F.struct("source").alias("src"), word_count(F.col("text")).alias("size")))
+    mix = pareto_mix_of(slim, **how).groupBy(known("doc_id").alias("d"), known("src").alias("s"), F.col("size").alias("n")).agg(*(F.first(c).alias(c) for c in MIXED))
+    own = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), known("doc_id").alias("d"), F.struct(F.struct("source").alias("v")).alias("s"), word_count(F.col("text")).alias("n"))
+    return own.join(mix, ["d", "s", "n"]).select("row.*", *MIXED)
 
 
 ORACLE_SQL = r"""
