@@ -1,7 +1,7 @@
 """The corpus pipeline: quality, near-duplicates, decontamination, secrets, mixing.
 
 Every stage takes (spark, docs, sf_dir), docs with the columns of ``documents``, and returns
-such rows; the last returns those of the mix. Each is judged on all that its predecessor kept.
+such rows; the last adds the columns of the mix. Each is judged on all that its predecessor kept.
 Null texts pass the stages as empty ones; an empty table gives an empty one; other columns stay.
 """
 
@@ -41,8 +41,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: size, target, copies and words taken of each document."""
-    return mixing.pareto_mix(docs)
+    """The corpus: all columns of each document, and its size, its source's target, the copies the mix holds and the words they take."""
+    return mixing.with_mix(docs)
 
 
 STAGES = [
@@ -58,13 +58,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each result written as Parquet to the shared folder and read again; the folder goes at the end."""
+    """Applies the stages to documents, each result written as Parquet to the shared folder and read again; the folder goes at the end, or when a stage fails."""
     docs = _table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
-        docs = spark.read.parquet(f"{base}/{k}")
-    out = checkpoint(STAGES[-1][1](spark, docs, sf_dir))
-    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    return out
+    try:
+        for k, (_, stage) in enumerate(STAGES[:-1]):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+            docs = spark.read.parquet(f"{base}/{k}")
+        return checkpoint(STAGES[-1][1](spark, docs, sf_dir))
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
