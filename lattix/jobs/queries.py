@@ -19,7 +19,7 @@ from lattix.jobs import fragment_library, train
 from lattix.jobs.calibrate import calibrate
 from lattix.jobs.distill import distill
 from lattix.jobs.rank import rank
-from lattix.operators import alignment, calibration, library, memo, ranking, reports, sampling, scorers, training
+from lattix.operators import alignment, bands, calibration, library, memo, ranking, reports, sampling, scorers, training
 from lattix.session import scratch, ship
 from lattix.sources import weights
 from lattix.sources.readers import fragment_name
@@ -208,6 +208,16 @@ def junction_windows(spark, d):
     return likelihoods(spark, d).select("vec_id", F.posexplode("j").alias("k", "score")).select("vec_id", (F.col("k") + 1).alias("k"), F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH {V_LL}, s AS (SELECT vec_id, unnest(ll) AS value, unnest(range(n)) AS pos FROM v_b), w AS (SELECT vec_id, unnest(bounds) AS b, unnest(range(1, 11)) AS k FROM v_b)
+SELECT w.vec_id, w.k::INT AS k, round(avg(value), 6) AS score FROM w LEFT JOIN s ON s.vec_id = w.vec_id AND pos >= b - 25 AND pos < b + 25 GROUP BY w.vec_id, w.k""")
+def junction_windows_long(spark, d):
+    """The same from tables with a row for each place and each boundary."""
+    rows = likelihoods(spark, d).select(F.col("vec_id").alias("seq"), "ll", "bounds")
+    scores = rows.select("seq", F.posexplode("ll").alias("pos", "value"))
+    bounds = rows.select("seq", F.posexplode("bounds").alias("k", "at")).select("seq", (F.col("k") + 1).alias("junction"), "at")
+    return bands.window_means(scores, bounds).select(F.col("seq").alias("vec_id"), F.col("junction").alias("k"), F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {V_LL} SELECT vec_id, " + ", ".join(f"round(j[{k}], 6) AS junction_{k:02d}" for k in range(1, 11)) + " FROM v_j")
 def junction_flatten(spark, d):
     rows = likelihoods(spark, d).select("vec_id", *junctions.flat(F.col("j")))

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattix.functions import combos
-from lattix.operators import alignment, calibration, library, memo, ranking, reports, sampling, scorers
+from lattix.functions import combos, junctions
+from lattix.operators import alignment, bands, calibration, library, memo, ranking, reports, sampling, scorers
 from lattix.sources import readers, writers
 
 
@@ -169,6 +169,21 @@ def test_local_alignment(spark):
     assert [r["align_score"] for r in alignment.align(df, "t", "q").collect()] == [14.0, None, None]
 
 
+def test_long_windows(spark):
+    """In long form what arrays give; a bucket join, no nested loop; windows at the ends, without values, over NaN."""
+    rng = random.Random(6)
+    nan = math.nan
+    rows = [(i, [None, *(rng.choice([rng.random(), rng.random(), None, nan] if i % 5 == 0 else [rng.random()]) for _ in range(rng.choice([0, 3, 40, 700])))], [rng.randrange(-5, 720) for _ in range(10)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "seq long, ll array<double>, bounds array<int>")
+    own = df.select("seq", F.posexplode(junctions.window_means(F.col("ll"), F.col("bounds"), 3, 4)).alias("junction", "score"))
+    scores, bounds = df.select("seq", F.posexplode("ll").alias("pos", "value")), df.select("seq", F.posexplode("bounds").alias("junction", "at"))
+    got = bands.window_means(scores.repartition(5), bounds, 3, 4)
+    plain = lambda d: sorted((r["seq"], r["junction"], str(round(r["score"], 9))) for r in d.collect())
+    assert plain(got) == plain(own)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_near_pairs(spark):
     """All pairs below a distance, with a hot block that is cut in pieces, whatever the blocks."""
     rng = random.Random(3)
