@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -241,8 +243,44 @@ def viterbi(unary: np.ndarray, trans: np.ndarray) -> list[int]:
     return tags[::-1]
 
 
-def _char_at(raw: bytes, at: int) -> int:
-    return len(raw[:at].decode("utf-8", "replace"))
+def _byte_places(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of characters as spans of bytes, in one pass over the text."""
+    at, size, places = 0, 0, {}
+    for p in sorted({p for span in spans for p in span}):
+        size += len(text[at:p].encode())
+        at = p
+        places[p] = size
+    return [(places[s], places[e]) for s, e in spans]
+
+
+def _char_places(raw: bytes) -> np.ndarray:
+    """The characters before each byte, and before the end."""
+    return np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
+
+
+def _nearest(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]], tokens: int) -> np.ndarray:
+    """The tokens that are nearest to a span, the first of equals, in order."""
+    if not spans:
+        return np.arange(min(tokens, len(starts)))
+    own = np.array(sorted(spans))
+    reach = np.maximum.accumulate(own[:, 1])
+    k = np.searchsorted(own[:, 0], ends, side="right")
+    far = np.iinfo(np.int64).max
+    left = np.where(k > 0, np.maximum(0, starts - reach[np.maximum(k - 1, 0)]), far)
+    right = np.where(k < len(own), own[np.minimum(k, len(own) - 1), 0] - ends, far)
+    return np.sort(np.argsort(np.minimum(left, right), kind="stable")[:tokens])
+
+
+def _untouched(added: list[tuple[int, int, int]], found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The added spans that share nothing with those found, which are in order."""
+    starts = [s for s, _, _ in found]
+    reach = list(accumulate((e for _, _, e in found), max))
+    out = []
+    for a in added:
+        k = bisect_left(starts, a[2])
+        if not k or reach[k - 1] <= a[0]:
+            out.append(a)
+    return out
 
 
 def _rows(column: pa.Array):
@@ -277,12 +315,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, tokens: int = TOKENS) -> tuple[np
                 spans, unsure = [], []
                 if flagged:
                     text = raw.decode("utf-8", "replace")
-                    place = lambda at: len(text[:at].encode())  # noqa: B023, E731
-                    spans = [(place(s), place(e)) for s, e in label_spans(text)]
-                    unsure = [(place(s), place(e)) for s, e in unsure_spans(text)]
+                    spans, unsure = (_byte_places(text, x) for x in (label_spans(text), unsure_spans(text)))
                 if len(starts) > tokens:
-                    keep = sorted(range(len(starts)), key=lambda k: min((max(0, s - (ends[k] - lo), starts[k] - lo - e) for s, e in spans), default=0))[:tokens]
-                    starts, ends = starts[sorted(keep)], ends[sorted(keep)]
+                    keep = _nearest(starts - lo, ends - lo, spans, tokens)
+                    starts, ends = starts[keep], ends[keep]
                 for places, fs in chains(data, lo, hi, starts, ends, digits):
                     if any(a < e and b > s for s, e in places for a, b in unsure):
                         continue
@@ -336,10 +372,12 @@ def scan(text: Column, field: tuple[np.ndarray, np.ndarray] | None) -> Column:
                             m = k
                             while m + 1 < len(tags) and tags[m + 1] == I:
                                 m += 1
-                            added.append((_char_at(raw, places[k][0]), 3, _char_at(raw, places[m][1])))
+                            added.append((places[k][0], 3, places[m][1]))
                             k = m
                         k += 1
-                found = sorted(found + [a for a in added if not any(s < a[2] and e > a[0] for s, _, e in found)])
+                if added:
+                    chars = _char_places(raw)
+                    found = sorted(found + _untouched([(int(chars[s]), k, int(chars[e])) for s, k, e in added], found))
             out[row] = [{"start": s, "end": e, "kind": KINDS[k]} for s, k, e in found]
         return pa.array(out, pa.list_(kind))
 

@@ -1,12 +1,15 @@
 """Cases that earlier versions lost: articles in odd classes, short benchmark items, texts of the pipeline."""
 
+import hashlib
 import random
+import time
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattix.llm import decontam, html, minhash, mixing
+from lattix.llm import decontam, html, minhash, mixing, secrets
 
 LONG = "A long paragraph of the article, with commas, and more words than that; it goes on and on, and on, for some time. "
 
@@ -106,3 +109,32 @@ def test_pipeline_returns_the_corpus(spark, sf, monkeypatch):
     with pytest.raises(RuntimeError):
         corpus_pipeline.run(spark, sf)
     assert not names()
+
+
+def test_secrets_of_long_texts_take_time_in_proportion(spark):
+    """A text of many digests among others; the fit and the scan pass over it a few times, not once for each digest."""
+    digests = " é\n".join(hashlib.sha256(str(k).encode()).hexdigest() for k in range(15_000))  # 1 MB
+    rows = [(0, digests)] + [(i, f"api_key = {hashlib.md5(str(i).encode()).hexdigest()} and some more words") for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    began = time.perf_counter()
+    got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(df).collect()}
+    assert time.perf_counter() - began < 60
+    assert [(x["start"], x["end"]) for x in got[0] if x["kind"] == "hex"] == [(67 * k, 67 * k + 64) for k in range(15_000)]
+
+
+def test_places_and_neighbours_of_secrets():
+    rng = random.Random(2)
+    for _ in range(200):
+        text = "".join(rng.choice("aé☃𝄞 ") for _ in range(rng.randrange(1, 60)))
+        spans = [tuple(sorted(rng.sample(range(len(text) + 1), 2))) if len(text) > 1 else (0, 1) for _ in range(rng.randrange(4))]
+        assert secrets._byte_places(text, spans) == [(len(text[:s].encode()), len(text[:e].encode())) for s, e in spans]
+        raw = text.encode()
+        chars = secrets._char_places(raw)
+        assert all(chars[len(text[:k].encode())] == k for k in range(len(text) + 1))
+        starts = np.array(sorted(rng.sample(range(300), 40)))
+        ends = starts + 3
+        near = sorted(range(40), key=lambda k: min((max(0, s - ends[k], starts[k] - e) for s, e in spans), default=0))[:9]  # noqa: B023
+        assert secrets._nearest(starts, ends, spans, 9).tolist() == sorted(near)
+        found = sorted((s, 0, e) for s, e in spans)
+        added = [(a, 3, a + 4) for a in range(0, 60, 5)]
+        assert secrets._untouched(added, found) == [a for a in added if not any(s < a[2] and e > a[0] for s, _, e in found)]
