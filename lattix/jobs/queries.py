@@ -345,13 +345,11 @@ def hamming_pairs(spark, d):
     return rows.select("o_orderkey", "other", combos.hamming(F.col("idx"), F.col("b")).alias("distance"))
 
 
-@query(f"""WITH {V_COMBO}, d AS (SELECT DISTINCT idx, combo FROM v_combo), n AS (SELECT idx, combo, p.p, unnest(list_filter(range(4), lambda v: v <> ((idx >> (2 * p.p)) & 3))) AS v FROM d, range(11) p(p)),
-e AS (SELECT idx, combo, xor(idx, (xor(v, (idx >> (2 * p)) & 3)) << (2 * p)) AS other, p FROM n), two AS (SELECT e.idx, e.combo, xor(e.other, xor(f.v, (e.other >> (2 * f.p)) & 3) << (2 * f.p)) AS other FROM e JOIN n f ON f.idx = e.idx AND f.p > e.p),
-reach AS (SELECT idx, combo, other FROM e UNION ALL SELECT idx, combo, other FROM two)
-SELECT r.idx AS a, d.idx AS b, hamming(r.combo, d.combo)::INT AS distance FROM reach r JOIN d ON d.idx = r.other WHERE r.idx < d.idx""")
+@query("""WITH d AS (SELECT DISTINCT o_orderkey % 4194304 AS idx FROM orders), n AS (SELECT idx, xor(idx, v << (2 * p.p)) AS other FROM d, range(11) p(p), range(1, 4) v(v))
+SELECT n.idx AS a, d.idx AS b, 1 AS distance FROM n JOIN d ON d.idx = n.other WHERE n.idx < d.idx""")
 def hamming_near(spark, d):
-    """All pairs of orders' designs that differ in one or two slots."""
-    return ranking.near_pairs(designs(spark, d), 3, blocks=5)
+    """All pairs of designs, numbered by orders, that differ in one slot."""
+    return ranking.near_pairs(table(spark, d, "orders").select((F.col("o_orderkey") % combos.SPACE).alias("idx")), 2, blocks=4)
 
 
 def _shuffled(i: str, half: int, seed: int) -> str:
