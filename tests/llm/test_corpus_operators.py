@@ -483,6 +483,66 @@ def test_equal_stretches_share_a_group():
         assert keys[0] & keys[1]
 
 
+def family(prose, n, size, edits):
+    """Texts with one passage of ``size`` words, ``edits`` words of it replaced in each, between words of their own; and the passages."""
+    rng = random.Random(n + size)
+    base, texts, held = prose(rng, size).split(), [], []
+    for _ in range(n):
+        w = list(base)
+        for k in rng.sample(range(size), edits):
+            w[k] = f"new{rng.randrange(10**6)}"
+        texts.append(f"{prose(rng, rng.randrange(20, 51))} {' '.join(w)} {prose(rng, rng.randrange(20, 51))}")
+        held.append(w)
+    return texts, held
+
+
+def with_partner(held):
+    """Which of the passages have 50 words or more that are alike with those of another at the same place, by trying all."""
+    tokens = np.array([[hash(tuple(w[i : i + 5])) for i in range(len(w) - 4)] for w in held])
+    out = set()
+    for i, own in enumerate(tokens):
+        same = np.concatenate((np.zeros((len(tokens), 1), int), np.cumsum(tokens == own, 1)), 1)
+        alike = np.zeros(len(tokens), bool)
+        for size in range(46, len(own) + 1):
+            both = same[:, size:] - same[:, :-size]
+            alike |= (both >= 0.8 * (2 * size - both)).any(1)
+        alike[i] = False
+        if alike.any():
+            out.add(i)
+    return out
+
+
+@pytest.mark.parametrize(("n", "size", "least"), [(40, 60, 1.0), (65, 56, 0.9), (200, 60, 1.0), (1000, 60, 0.95)])
+def test_passages_of_families(spark, prose, n, size, least):
+    """Near copies of one passage, each with two edits: most lists hold all of them, and few are alike with any given one."""
+    texts, held = family(prose, n, size, 2)
+    want = with_partner(held)
+    out = windows.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got_ = {r["doc_id"] for r in out}
+    assert all(r["similarity"] >= 0.8 for r in out) and {r["other_id"] for r in out} == got_
+    assert len(want & got_) >= least * len(want) and len(got_ - want) <= 0.02 * n
+
+
+def test_passages_without_an_edit():
+    """The digests of all_but_one() against the words they stand for."""
+    rng = random.Random(6)
+    text = np.array([rng.randrange(6) for _ in range(40)], np.uint32)
+    n, size = len(text) - 4, 20
+    place, open_ = np.array([12, 25]), np.array([0, 1])
+    lone = {17}
+    want = set()
+    for gap, long in ((0, size - 5), (0, size - 1), (1, size - 1), (2, size - 1)):
+        for w in range(n - (long + gap - 4) + 1):
+            for e in range(5, long - 4) if gap else (0,):
+                killed = range(w + e - 4, w + e + gap) if gap else ()
+                inside = range(w, w + long + gap - 4)
+                if all(x in killed for x in inside if x in lone) and any(p in inside for p in place):
+                    words = text[w : w + e].tolist() + text[w + e + gap : w + long + gap].tolist()
+                    want.add((tuple(words), w + len(inside) // 2, int(25 in inside), gap // 2))
+    key, at, is_open, kind = windows.all_but_one(text, place, open_, np.array([x for x in range(n) if x not in lone]), size)
+    assert {x[1:] for x in want} == set(zip(at.tolist(), is_open.tolist(), kind.tolist(), strict=True)) and len(set(key.tolist())) == len({x[0] for x in want})
+
+
 def test_passages_of_long_lists(spark, prose, monkeypatch):
     """A line that many texts have, in too many places for all to be held against all, and passages that hold it."""
     monkeypatch.setattr(windows, "FEW", 4)
