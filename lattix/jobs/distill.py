@@ -13,8 +13,8 @@ from lattix.operators.scorers import Scorer
 COLUMNS = ("source_run_id", "seed", "combo_compact", "sequence_aa", "sequence_hash", "global_score", "junction_mean", "junction_min", "teacher_cache_hit")
 
 
-def distill(sample: DataFrame, active: DataFrame | None, fragments: DataFrame, scorer: Scorer, known: DataFrame | None = None, model: str = "", run_id: str = "", seed: int = 0) -> DataFrame:
-    """A row for each different design of the sample and the active ones (combo_compact), scored through the memo ``known``.
+def distill(sample: DataFrame, active: DataFrame | None, fragments: DataFrame, scorer: Scorer, known: DataFrame | str | None = None, model: str = "", run_id: str = "", seed: int = 0) -> DataFrame:
+    """A row for each different design of the sample and the active ones (combo_compact), scored through the memo ``known``, its rows or its path.
 
     Has COLUMNS and the scores of the junctions, and a key for the memo if there is one.
     """

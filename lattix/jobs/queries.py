@@ -611,6 +611,22 @@ def memo_hit_miss(spark, d):
     return memo.scored(rows, memo_rows(spark, d), fresh).select("o_orderkey", "teacher_cache_hit", "global_score")
 
 
+@query(SQL["memo_hit_miss"])
+def memo_bucketed(spark, d):
+    """The lookups of memo_hit_miss in a memo on disk that two appends made; the memo goes, the result stays in the shared folder."""
+    folder = f"{scratch(spark)}/memo-{uuid.uuid4().hex}"
+    made = memo_rows(spark, d).withColumn("seq_len", F.lit(0)).withColumn("meta", F.lit("{}"))
+    odd = F.substring("seq_hash", -1, 1).isin(*"13579")
+    for part in (made.where(odd), made.where(~odd)):
+        memo.append(f"{folder}/memo", part)
+    rows = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("k"), (F.col("o_orderkey") % 5000).cast("string")).alias("key"))
+    fresh = lambda df: df.withColumn("global_score", F.lit(-1.0)).withColumn("junction_scores", F.array(F.lit(-1.0)))
+    memo.scored(rows, memo.lookup(rows, f"{folder}/memo"), fresh).select("o_orderkey", "teacher_cache_hit", "global_score").write.parquet(f"{folder}/out")
+    gone = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/memo")
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    return spark.read.parquet(f"{folder}/out")
+
+
 _PAIRS = """pairs AS (SELECT CASE WHEN i = 1 THEN '^' ELSE substr(s, (i - 1)::INT, 1) END AS prev, substr(s, i::INT, 1) AS cur FROM (SELECT upper(replace(p_name, ' ', '')) AS s FROM part), range(1, 60) r(i) WHERE i <= length(s)),
 model AS (SELECT prev, cur, count(*) AS n, ln((count(*) + 1) / (sum(count(*)) OVER (PARTITION BY prev) + 28)) AS ll FROM pairs GROUP BY prev, cur)"""
 

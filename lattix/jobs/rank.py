@@ -26,14 +26,14 @@ def cheap_scores(designs: DataFrame, fragments: DataFrame) -> DataFrame:
     return seams.scores(designs.select("idx", "combo_compact"), fragments, cheap).select("idx", "combo_compact", score.alias("student_rank_score"))
 
 
-def rescored(short: DataFrame, fragments: DataFrame, scorer: scorers.Scorer, known: DataFrame | None = None, model: str = "") -> DataFrame:
-    """short with sequence_aa, global_score, junction scores and teacher_cache_hit: from the memo ``known`` if it has them, else by the scorer."""
+def rescored(short: DataFrame, fragments: DataFrame, scorer: scorers.Scorer, known: DataFrame | str | None = None, model: str = "") -> DataFrame:
+    """short with sequence_aa, global_score, junction scores and teacher_cache_hit: from the memo ``known``, its rows or its path, if it has them, else by the scorer."""
     rows = library.built(short, fragments)
     if known is None:
         got = scorers.summaries(scorer(rows)).withColumn("teacher_cache_hit", F.lit(False))
     else:
         keyed = rows.withColumn("key", sequences.cache_key(F.col("sequence_aa"), F.col("domain_lengths"), model))
-        got = memo.scored(keyed, known, lambda d: scorers.summaries(scorer(d)))
+        got = memo.scored(keyed, memo.lookup(keyed, known) if isinstance(known, str) else known, lambda d: scorers.summaries(scorer(d)))
     scores = F.col("junction_scores")
     return got.withColumn("junction_mean", junctions.junction_mean(scores)).withColumn("junction_min", junctions.junction_min(scores)).drop("token_ll")
 
@@ -46,7 +46,7 @@ def finished(again: DataFrame, artifact: dict, top: int = TOP, least: int = LEAS
 
 
 def rank(designs: DataFrame, fragments: DataFrame, artifact: dict, shortlist: int = SHORTLIST, rerank: int = RERANK, top: int = TOP, least: int = LEAST, rescore: scorers.Scorer | None = None,
-         known: DataFrame | None = None, model: str = "", run_id: str | None = None, seed: int | None = None) -> DataFrame:
+         known: DataFrame | str | None = None, model: str = "", run_id: str | None = None, seed: int | None = None) -> DataFrame:
     """The columns of a ranking for designs (combo_compact, idx) over fragments (letter, slot, aa_sequence).
 
     Keys and scores only move until the shortlist is there; sequences are made for it alone.
@@ -69,8 +69,7 @@ def run(spark: SparkSession, fragments: DataFrame, artifact: dict, folder: str,
     path = f"{folder}/shortlist-{writers.fingerprint(parameters)}"
     first = ranking.top_k_bucketed(cheap_scores(designs, fragments), shortlist, path, F.pmod("idx", F.lit(buckets)), buckets)
     short = ranking.top_k(first, rerank).select("combo_compact", "student_rank_score")
-    known = memo.read(spark, memo_path) if memo_path else None
-    again = writers.stage(spark, folder, "rerank", parameters | {"rerank": rerank, "model": model, "run_id": run_id}, lambda: rescored(short, fragments, rescore, known, model))
+    again = writers.stage(spark, folder, "rerank", parameters | {"rerank": rerank, "model": model, "run_id": run_id}, lambda: rescored(short, fragments, rescore, memo_path, model))
     if memo_path:
         new = again.where("not teacher_cache_hit")
         memo.append(memo_path, new.select("key", sequences.sha256(F.col("sequence_aa")).alias("seq_hash"), F.length("sequence_aa").alias("seq_len"), "global_score", "junction_scores", F.lit("{}").alias("meta"), F.unix_timestamp().cast("double").alias("created_at")))

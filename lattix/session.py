@@ -48,6 +48,7 @@ def local(cpus: int | str = 8, partitions: int | None = None, **conf: str) -> Sp
     base = {
         "spark.driver.memory": "8g", "spark.sql.shuffle.partitions": str(n), "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.files.maxPartitionBytes": "16m",
+        "spark.sql.parquet.pushdown.inFilterThreshold": "100",
     }
     for k, v in (base | conf).items():
         builder = builder.config(k, v)

@@ -21,7 +21,7 @@ def score_stream(designs: DataFrame, scorer: Scorer, model: str, memo_path: str,
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         keyed = batch.withColumn("key", sequences.cache_key(F.col("sequence_aa"), F.col("domain_lengths"), model))
-        done = memo.scored(keyed, memo.read(spark, memo_path), lambda d: summaries(scorer(d)))
+        done = memo.scored(keyed, memo.lookup(keyed, memo_path), lambda d: summaries(scorer(d)))
         done.write.mode("overwrite").parquet(f"{out}/batch={number}")
         got = spark.read.parquet(f"{out}/batch={number}").where("not teacher_cache_hit").dropDuplicates(["key"])
         memo.append(memo_path, got.select("key", sequences.sha256(F.col("sequence_aa")).alias("seq_hash"), F.length("sequence_aa").alias("seq_len"), "global_score", "junction_scores", F.lit("{}").alias("meta"), F.lit(float(number)).alias("created_at")))

@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -117,6 +119,60 @@ def test_memo(spark, tmp_path):
     assert memo.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_memo_is_read_by_buckets(spark, tmp_path):
+    path = str(tmp_path / "memo")
+    made = spark.range(20_000).selectExpr("concat('k', id) key", "'h' seq_hash", "3 seq_len", "id / 2.0d global_score", "array(1.0d) junction_scores", "'{}' meta", "1.0d created_at")
+    memo.append(path, made, 16)
+    memo.append(path, made.limit(0), 16)
+    memo.append(path, made.where("global_score < 10"), 16)  # nothing new
+    assert memo.rows(spark, path).count() == 20_000
+    asked = spark.range(100, 30_000, 7).selectExpr("concat('k', id) key", "id")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        many = memo.marked(asked, memo.lookup(asked, path, few=10))
+        plan = many._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan  # of the rows that ask
+        few = memo.lookup(asked.where("id < 115"), path)
+        plan = memo.latest(few)._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"SelectedBucketsCount: [123] out of 16", plan) and "In(key, [" in plan and "Exchange" not in plan
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert {r["id"] for r in many.where("teacher_cache_hit and global_score = id / 2").collect()} == set(range(100, 20_000, 7))
+    assert sorted(r["key"] for r in few.collect()) == ["k100", "k107", "k114"]
+    assert [r["global_score"] for r in memo.get(spark, path, "k5", "none", "k9").orderBy("key").collect()] == [2.5, 4.5]
+    memo.compact(spark, path, str(tmp_path / "other"), 4)
+    assert memo.read(spark, str(tmp_path / "other")).exceptAll(memo.read(spark, path)).count() == 0
+    assert memo.read(spark, str(tmp_path / "other")).count() == 20_000
+    with pytest.raises(FileExistsError):
+        memo.compact(spark, path, str(tmp_path / "other"))
+
+
+def test_memo_of_two_writers_and_of_plain_files(spark, tmp_path):
+    path = str(tmp_path / "memo")
+    made = [spark.range(k * 400, k * 400 + 600).selectExpr("concat('k', id) key", "'h' seq_hash", "3 seq_len", f"{k}.0d global_score", "array(1.0d) junction_scores", "'{}' meta", f"{k}.0d created_at") for k in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: memo.append(path, made[k], 8), range(4)))
+    got = {r["key"]: r["global_score"] for r in memo.read(spark, path).collect()}
+    assert got == {f"k{i}": float(min(i // 400, 3)) for i in range(1800)}  # of keys of two, the later row
+    assert sorted(p.name for p in (tmp_path / "memo").iterdir()) == ["buckets=8"]
+
+    def broken(i):
+        raise ValueError("no score")
+
+    bad = made[0].withColumn("global_score", F.udf(broken, "double")("key")).withColumn("created_at", F.lit(9.0))
+    with pytest.raises(Exception, match="no score"):
+        memo.append(path, bad, 8)
+    assert sorted(p.name for p in (tmp_path / "memo").iterdir()) == ["buckets=8"] and memo.rows(spark, path).count() == 2400
+    made[1].write.parquet(str(tmp_path / "plain"))
+    assert memo.read(spark, str(tmp_path / "plain")).count() == 600
+    memo.append(str(tmp_path / "plain"), made[2], 8)
+    memo.append(str(tmp_path / "plain"), made[3], 4)
+    assert {r["key"]: r["global_score"] for r in memo.read(spark, str(tmp_path / "plain")).collect()} == {k: v for k, v in got.items() if int(k[1:]) >= 400}
+
+
 def test_chain(spark):
     """The fold against all choices, on small random libraries."""
     rng = random.Random(5)
