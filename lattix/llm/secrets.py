@@ -1,12 +1,13 @@
 """Secret scan: fixed patterns, and a linear-chain conditional random field that adds spans.
 
-The text is cut into tokens, runs of the characters that keys and passwords are made of. Tokens
-that name a secret, have a digit, follow a quote, ``:`` or ``=`` (blanks and quotes between them
-do not matter), or are very long, and the ``AROUND`` tokens on either side, whatever they are,
-are tagged begin, inside or outside; other words are held to be outside. Runs of such tokens
-with nothing but separators between them are the chains, each decoded by Viterbi. Features are the token's shape (length, character classes,
-entropy, first characters), the words around it and what is between, and the file's own
-statistics. The field is trained by gradient ascent on its likelihood, on chains of the
+Every text is cut into tokens, runs of the characters that keys and passwords are made of, and all
+tokens are tagged begin, inside or outside. Tokens with nothing but separators between them are
+a chain, each decoded by Viterbi. Features are the token's shape (length, character classes,
+entropy, first characters), the tokens around it and what is between, and the file's own
+statistics; all are numbers of arrays over a chunk of texts. A chain in which no token gains
+enough by being in a span to pay for the transitions is outside as a whole (``threshold``), so
+Viterbi runs on the others alone, many side by side, with the same tags. The field is trained by
+gradient ascent on its likelihood, on tokens of the
 ``sample`` documents that come first by a digest of the id; spans of the fixed patterns there
 (of an assignment, what is assigned) are the labels, and chains with a match that is too short for its pattern are left out. Where
 the field tags a span that touches none of the fixed ones, that span is added.
@@ -19,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
-from functools import lru_cache
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattix.llm.common import chunks
+from lattix.llm.common import chunks, mix, span_hashes
 
 KINDS = ("assign", "access", "hex", "crf")
 SAMPLE = 20_000
@@ -39,9 +40,6 @@ STEPS = 120
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: Tokens on either side of those that may be of a secret, which are tagged as well.
-AROUND = 4
-NAMES = re.compile(rb"password|passwd|secret|token|api_?key|akia")
 WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 _TOKEN_BYTES = np.zeros(256, dtype=bool)
@@ -50,9 +48,14 @@ _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[list(b"0123456789")] = True
 _HEX = np.zeros(256, dtype=bool)
 _HEX[list(b"0123456789abcdef")] = True
-_GAP = re.compile(r"[^A-Za-z0-9_]*$")
-_KEY = re.compile(r"([A-Za-z_]+)[\"'\s:=]*$")
-_SEPARATORS = frozenset(b" \t\r\n\"'`,;:=|()[]{}<>")
+_SIGNS = np.zeros(256, dtype=bool)
+_SIGNS[list(b" \t\r\n\"':=")] = True
+_SEPARATORS = np.zeros(256, dtype=bool)
+_SEPARATORS[list(b" \t\r\n\"'`,;:=|()[]{}<>")] = True
+#: Bytes between two tokens of a chain, at most.
+GAP = 8
+#: Tokens shorter than this have no entropy among their features.
+ENTROPY = 6
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -73,117 +76,115 @@ def unsure_spans(text: str) -> list[tuple[int, int]]:
     return [m.span(2) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) < 12] + [m.span() for m in ACCESS.finditer(text) if m.end() - m.start() < 18]
 
 
-def _suspect(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a chunk: starts, ends and document numbers of tokens to tag; documents to match patterns in; digits of each."""
-    n_docs, n = len(offsets) - 1, len(data)
-    digits = np.concatenate(([0], np.cumsum(_DIGIT[data])))
-    ok = np.zeros(n + 2, dtype=bool)
+def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk: starts, ends and document numbers of its tokens."""
+    ok = np.zeros(len(data) + 2, dtype=bool)
     ok[1:-1] = _TOKEN_BYTES[data]
-    cut = np.zeros(n + 1, dtype=bool)
+    cut = np.zeros(len(data) + 1, dtype=bool)
     cut[offsets] = True
     starts = np.flatnonzero(ok[1:-1] & (~ok[:-2] | cut[:-1]))
     ends = np.flatnonzero(ok[1:-1] & (~ok[2:] | cut[1:])) + 1
-    docs = np.searchsorted(offsets, starts, side="right") - 1
-    raw = data.tobytes()
-    low = raw.lower()
-    if len(starts):
-        plain = np.flatnonzero(~np.isin(data, np.frombuffer(b" \t\"'", np.uint8)))
-        at = np.searchsorted(plain, starts) - 1  # what stands before the blanks and quotes
-        before = plain[np.maximum(at, 0)]
-        sign = (at >= 0) & (before >= offsets[docs]) & np.isin(data[before], np.frombuffer(b":=", np.uint8))
-        sign |= (starts > offsets[docs]) & np.isin(data[np.maximum(starts - 1, 0)], np.frombuffer(b"\"'", np.uint8))
-        odd = (digits[ends] > digits[starts]) | sign | (ends - starts >= 24)
-        named = np.array([m.start() for m in NAMES.finditer(low)], np.int64)
-        odd[np.maximum(np.searchsorted(starts, named, side="right") - 1, 0)] = True
-        pick = odd.copy()
-        for k in range(1, AROUND + 1):
-            same = docs[k:] == docs[:-k]
-            pick[k:] |= odd[:-k] & same
-            pick[:-k] |= odd[k:] & same
-        starts, ends, docs = starts[pick], ends[pick], docs[pick]
-    flag = np.zeros(n_docs, dtype=bool)
+    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def _flagged(data: np.ndarray, offsets: np.ndarray) -> set[int]:
+    """The documents of a chunk that the fixed patterns can match in."""
+    flag = np.zeros(len(offsets) - 1, dtype=bool)
     not_hex = np.flatnonzero(~_HEX[data])
-    run = np.diff(np.concatenate(([-1], not_hex, [n])))
+    run = np.diff(np.concatenate(([-1], not_hex, [len(data)])))
     at = np.concatenate(([-1], not_hex))[run > 16] + 1
     for a, size in zip(at.tolist(), run[run > 16].tolist(), strict=True):
         first = int(np.searchsorted(offsets, a, side="right")) - 1
         last = int(np.searchsorted(offsets, a + size - 2, side="right")) - 1
         flag[first : last + 1] = True
+    raw = data.tobytes()
+    low = raw.lower()
     for where, what in ((raw, b"AKIA"), *((low, w) for w in WORDS)):
         k = where.find(what)
         while k >= 0:
             d = int(np.searchsorted(offsets, k, side="right")) - 1
             flag[d] = True
             k = where.find(what, int(offsets[d + 1]) - len(what) + 1 if offsets[d + 1] - len(what) + 1 > k else k + 1)
-    return starts, ends, docs, np.flatnonzero(flag), np.diff(digits[offsets])
-
-
-def _h(kind: str, value: str) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{kind}={value}".encode("utf-8", "replace"), digest_size=4).digest(), "little") % DIM
-
-
-_SEEN: dict[tuple[str, str], int] = {}
-
-
-def _feature(kind: str, value: str) -> int:
-    key = (kind, value)
-    got = _SEEN.get(key)
-    if got is None:
-        got = _h(kind, value)
-        if len(_SEEN) < 200_000:
-            _SEEN[key] = got
-    return got
-
-
-@lru_cache(maxsize=100_000)
-def _shape(token: str) -> tuple[str, list[int]]:
-    """The shape of a token, and the feature numbers that follow from the token alone."""
-    n = len(token)
-    lower, upper, digit = (sum(map(f, token)) for f in (str.islower, str.isupper, str.isdigit))
-    letters = {}
-    for c in token:
-        letters[c] = letters.get(c, 0) + 1
-    entropy = -sum(v / n * np.log2(v / n) for v in letters.values())
-    shape = f"{bool(lower)}{bool(upper)}{bool(digit)}{n - lower - upper - digit > 0}"
-    f = [
-        ("one", ""), ("len", str(min(n, 64) // 4)), ("shape", shape), ("ent", str(int(entropy * 2))), ("digits", str(int(8 * digit / n))),
-        ("hex", str(all(c in "0123456789abcdef" for c in token))), ("num", str(digit == n)), ("at", str("@" in token)), ("dots", str(min(token.count("."), 4))),
-        ("head", token[:4]), ("shape+len", f"{shape}{min(n, 64) // 8}"),
-    ]
-    return shape, [_feature(k, v) for k, v in f]
-
-
-def token_features(token: str, before: str, after: str, digits: int, size: int, first: bool) -> list[int]:
-    """Feature numbers of a token from its shape, up to 40 characters on either side, and the file."""
-    shape, own = _shape(token)
-    left, right = before.split(), after.split()
-    gap = _GAP.search(before)[0].strip()[-3:]
-    key = _KEY.search(before)
-    return [
-        *own, _feature("gap", gap), _feature("key", key[1].lower()[-12:] if key else ""), _feature("prev", left[-1].lower()[-16:] if left else "^"),
-        _feature("next", right[0].lower()[:16] if right else "$"), _feature("first", str(first)), _feature("gap+shape", gap + shape),
-        _feature("file", str(int(np.log2(1 + digits)))), _feature("size", str(int(np.log2(1 + size)))),
-    ]
-
-
-def chains(data: np.ndarray, lo: int, hi: int, starts: np.ndarray, ends: np.ndarray, digits: int) -> list[tuple[list[tuple[int, int]], list[list[int]]]]:
-    """The chains of one document (bytes lo to hi): byte spans of their tokens and the features of each."""
-    out: list = []
-    raw = data[lo:hi].tobytes()
-    last = -1
-    for s, e in zip((starts - lo).tolist(), (ends - lo).tolist(), strict=True):
-        joined = last >= 0 and s - last <= 8 and all(c in _SEPARATORS for c in raw[last:s])
-        if not joined:
-            out.append(([], []))
-        token = raw[s:e].decode("utf-8", "replace")
-        before = raw[max(0, s - 40) : s].decode("utf-8", "replace")
-        after = raw[e : e + 40].decode("utf-8", "replace")
-        out[-1][0].append((s, e))
-        out[-1][1].append(token_features(token, before, after, digits, hi - lo, not joined))
-        last = e
+    return set(np.flatnonzero(flag).tolist())
+
+
+def _begins(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Whether a chain begins with each token: the document does, or what is before is long or no separator."""
+    other = np.concatenate(([0], np.cumsum(~_SEPARATORS[data])))
+    out = np.ones(len(starts), dtype=bool)
+    out[1:] = (docs[1:] != docs[:-1]) | (starts[1:] - ends[:-1] > GAP) | (other[starts[1:]] > other[ends[:-1]])
     return out
 
 
+def _shifted(values: np.ndarray, by: int, docs: np.ndarray) -> np.ndarray:
+    """The value of the token ``by`` places before (after, if negative) in the same document, else 0."""
+    out = np.zeros_like(values)
+    if len(values) > abs(by):
+        here, there = (slice(by, None), slice(None, -by)) if by > 0 else (slice(None, by), slice(-by, None))
+        out[here] = np.where(docs[here] == docs[there], values[there], 0)
+    return out
+
+
+def _entropy(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Bits of entropy of the bytes of each token."""
+    n = ends - starts
+    first = np.cumsum(n) - n
+    at = np.repeat(starts - first, n) + np.arange(n.sum())
+    letters = np.sort(np.repeat(np.arange(len(n)), n) * 256 + data[at])
+    new = np.flatnonzero(np.concatenate(([True], letters[1:] != letters[:-1])))
+    times = np.diff(np.concatenate((new, [len(letters)])))
+    return np.log2(n) - np.bincount(letters[new] >> 8, times * np.log2(times), len(n)) / n
+
+
+def features(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, docs: np.ndarray, begins: np.ndarray) -> Iterator[np.ndarray]:
+    """Feature numbers of all tokens of a chunk, one kind after the other."""
+    if not len(starts):
+        return
+    n = ends - starts
+
+    def count(which: np.ndarray) -> np.ndarray:
+        sums = np.concatenate(([0], np.cumsum(which, dtype=np.int32)))
+        return sums[ends] - sums[starts]
+
+    def before(k: int) -> np.ndarray:
+        """The k-th byte before each token, 0 where that is not between it and the one before."""
+        at = starts - k
+        return np.where(at >= floor, data[np.maximum(at, 0)], 0).astype(np.uint64)
+
+    lower, upper, digit = count((data >= 97) & (data <= 122)), count((data >= 65) & (data <= 90)), count(_DIGIT[data])
+    shape = (lower > 0) * 8 + (upper > 0) * 4 + (digit > 0) * 2 + (lower + upper + digit < n)
+    entropy = np.full(len(n), -1)
+    long = n >= ENTROPY
+    if long.any():
+        entropy[long] = 2 * _entropy(data, starts[long], ends[long])
+    head = np.zeros(len(n), dtype=np.uint64)
+    for k in range(4):
+        head = head << np.uint64(8) | np.where(n > k, data[np.minimum(starts + k, len(data) - 1)], 0).astype(np.uint64)
+    ahead = np.concatenate(([0], ends[:-1]))
+    floor = np.where(np.concatenate(([True], docs[1:] != docs[:-1])), offsets[docs], ahead)
+    gap, seen = np.zeros(len(n), dtype=np.uint64), np.zeros(len(n), dtype=np.int8)
+    for k in range(1, 7):  # up to three bytes that are no blanks
+        byte = before(k)
+        take = (byte > 32) & (seen < 3)
+        gap = np.where(take, gap << np.uint64(8) | byte, gap)
+        seen += take
+    odd = np.concatenate(([0], np.cumsum(~_SIGNS[data])))
+    signed = (odd[starts] == odd[floor]) & (starts > floor)
+    tail = span_hashes(data, np.maximum(starts, ends - 16), ends)
+    named = span_hashes(data, np.maximum(starts, ends - 12), ends)
+    digits = np.concatenate(([0], np.cumsum(_DIGIT[data])))[offsets]
+    kinds = (
+        0, np.minimum(n, 64) // 4, shape, entropy, 8 * digit // n, count(_HEX[data]) == n, digit == n, count(data == 64) > 0, np.minimum(count(data == 46), 4),
+        head, shape * 16 + np.minimum(n, 64) // 8, gap, np.where(signed, _shifted(named, 1, docs), 0), _shifted(tail, 1, docs), _shifted(tail, 2, docs),
+        _shifted(span_hashes(data, starts, np.minimum(ends, starts + 16)), -1, docs), begins, gap * np.uint64(16) + shape.astype(np.uint64),
+        np.log2(1 + np.diff(digits)).astype(np.int64)[docs], np.log2(1 + np.diff(offsets)).astype(np.int64)[docs],
+    )
+    for kind, value in enumerate(kinds):
+        value = np.broadcast_to(np.asarray(value), n.shape)
+        value = value if value.dtype == np.uint64 else value.astype(np.int64).view(np.uint64)
+        yield (mix(value + np.uint64(kind + 1) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % DIM
+
+
 def forward_backward(unary: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log partition, tag marginals and pair marginals of chains of one length; unary is (chains, length, 3)."""
     n, length, _ = unary.shape
@@ -228,19 +229,64 @@ def train(groups: dict[int, tuple[np.ndarray, np.ndarray]], steps: int = STEPS,
     return w, trans
 
 
-def viterbi(unary: np.ndarray, trans: np.ndarray) -> list[int]:
-    """The best tags of one chain; unary is (length, 3)."""
-    unary = unary.copy()
-    unary[0, I] += FORBIDDEN
-    best, back = unary[0], []
-    for row in unary[1:]:
-        ways = best[:, None] + trans
-        back.append(ways.argmax(axis=0))
-        best = ways.max(axis=0) + row
-    tags = [int(best.argmax())]
-    for b in reversed(back):
-        tags.append(int(b[tags[-1]]))
-    return tags[::-1]
+def viterbi(unary: np.ndarray, trans: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+    """The best tags of chains that lie one after the other; unary is (tokens, 3), sizes their lengths (one chain, if none)."""
+    sizes = np.array([len(unary)]) if sizes is None else sizes
+    order = np.argsort(-sizes, kind="stable")
+    first = (np.cumsum(sizes) - sizes)[order]
+    sizes = sizes[order]
+    left = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")  # chains that have a token at each place
+    best = unary[first] + np.array([0, 0, FORBIDDEN])
+    final, back = best.copy(), np.zeros((len(unary), 3), dtype=np.int8)
+    for t in range(1, int(sizes[0])):
+        a = left[t]
+        ways = best[:a, :, None] + trans
+        at = first[:a] + t
+        back[at] = ways.argmax(axis=1)
+        best = ways.max(axis=1) + unary[at]
+        final[:a] = best
+    tags = np.zeros(len(unary), dtype=np.int8)
+    now = final.argmax(axis=1)
+    tags[first + sizes - 1] = now
+    for t in range(int(sizes[0]) - 1, 0, -1):
+        a = left[t]
+        now[:a] = back[first[:a] + t, now[:a]]
+        tags[first[:a] + t - 1] = now[:a]
+    return tags
+
+
+def threshold(trans: np.ndarray) -> float:
+    """What a token must gain by being in a span, over being outside, for a span that holds it to pay.
+
+    A span of the best tags gains at least nothing over the same tokens outside. Transitions give
+    it at most what follows for its first token and for each other one; so if all its tokens gain less than
+    the greater of the two costs, it is not among the best tags.
+    """
+    enter = max(0.0, *(trans[:, B] - trans[:, O]))
+    leave = max(0.0, *(trans[y, q] - trans[O, q] for y in (B, I) for q in (O, B)))
+    return -max(enter + leave, max(trans[B, I], trans[I, I]) - trans[O, O])
+
+
+def _spans(data: np.ndarray, offsets: np.ndarray, w: np.ndarray, trans: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(document, start, end) of what the field tags in a chunk, bytes of the chunk, in order."""
+    starts, ends, docs = _tokens(data, offsets)
+    begins = _begins(data, starts, ends, docs)
+    unary = np.zeros((len(starts), 3))
+    for x in features(data, offsets, starts, ends, docs, begins):
+        unary += w[x]
+    hot = np.maximum(unary[:, B], unary[:, I]) - unary[:, O] >= threshold(trans)
+    chain = np.cumsum(begins) - 1
+    if not hot.any():
+        return
+    some = np.zeros(chain[-1] + 1, dtype=bool)
+    some[chain[hot]] = True
+    at = np.flatnonzero(some[chain])
+    tags = viterbi(unary[at], trans, np.bincount(chain)[some])
+    for k in np.flatnonzero(tags == B).tolist():
+        m = k
+        while m + 1 < len(tags) and tags[m + 1] == I:  # inside never comes first in a chain
+            m += 1
+        yield int(docs[at[k]]), int(starts[at[k]]), int(ends[at[m]])
 
 
 def _byte_places(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -283,15 +329,28 @@ def _untouched(added: list[tuple[int, int, int]], found: list[tuple[int, int, in
     return out
 
 
-def _rows(column: pa.Array):
-    """(row, bytes, lo, hi, starts, ends, match patterns?, digits) of documents in which something may be."""
-    for i, j, data, offsets in chunks(column):
-        starts, ends, docs, flagged, digits = _suspect(data, offsets)
-        flagged = set(flagged.tolist())
-        edge = np.searchsorted(docs, np.arange(j - i + 1))
-        for d in range(j - i):
-            if d in flagged or edge[d] < edge[d + 1]:
-                yield i + d, data, int(offsets[d]), int(offsets[d + 1]), starts[edge[d] : edge[d + 1]], ends[edge[d] : edge[d + 1]], d in flagged, int(digits[d])
+def _labelled(own: np.ndarray, starts: np.ndarray, ends: np.ndarray, begins: np.ndarray, spans: list[tuple[int, int]], unsure: list[tuple[int, int]]) -> tuple[list[int], list[int], list[int]]:
+    """Tokens of a document's sample, their tags, and the lengths of their chains; without chains that touch an unsure span."""
+    keep, tags, sizes = [], [], []
+    new = begins[own].copy()
+    if len(own):
+        new[0] = True
+        new[1:] |= np.diff(own) > 1
+    spans = sorted(spans)
+    for part in np.split(own, np.flatnonzero(new)[1:]) if len(own) else []:
+        places = list(zip(starts[part].tolist(), ends[part].tolist(), strict=True))
+        if any(a < e and b > s for s, e in places for a, b in unsure):
+            continue
+        y, inside = [], -1
+        for s, e in places:
+            k = bisect_left(spans, (e,)) - 1  # the last that begins before the token ends
+            hit = next((m for m in range(max(0, k - 2), k + 1) if spans[m][1] > s), -1)
+            y.append(O if hit < 0 else I if hit == inside else B)
+            inside = hit
+        keep += part.tolist()
+        tags += y
+        sizes.append(len(part))
+    return keep, tags, sizes
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, tokens: int = TOKENS) -> tuple[np.ndarray, np.ndarray] | None:
@@ -306,42 +365,50 @@ def fit(docs: DataFrame, sample: int = SAMPLE, tokens: int = TOKENS) -> tuple[np
 
     def tagged(batches):
         for batch in batches:
-            ids, marks, tags, feats = batch.column("doc_id").to_pylist(), [], [], []
-            for row, data, lo, hi, starts, ends, flagged, digits in _rows(batch.column("text")):
-                raw = data[lo:hi].tobytes()
-                marks.append((ids[row], hashlib.blake2b(raw, digest_size=8).digest()))
-                tags.append([])
-                feats.append([])
-                spans, unsure = [], []
-                if flagged:
-                    text = raw.decode("utf-8", "replace")
-                    spans, unsure = (_byte_places(text, x) for x in (label_spans(text), unsure_spans(text)))
-                if len(starts) > tokens:
-                    keep = _nearest(starts - lo, ends - lo, spans, tokens)
-                    starts, ends = starts[keep], ends[keep]
-                for places, fs in chains(data, lo, hi, starts, ends, digits):
-                    if any(a < e and b > s for s, e in places for a, b in unsure):
-                        continue
-                    y, inside = [], -1
-                    for s, e in places:
-                        hit = next((k for k, (a, b) in enumerate(spans) if a < e and b > s), -1)
-                        y.append(O if hit < 0 else I if hit == inside else B)
-                        inside = hit
-                    tags[-1].append(y)
-                    feats[-1].append([f for own in fs for f in own])
-            kinds = (pa.int64(), pa.binary(), *[pa.list_(pa.list_(pa.int32()))] * 2)
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(([m[0] for m in marks], [m[1] for m in marks], tags, feats), kinds, strict=True)], ["doc_id", "mark", "y", "x"])
+            ids, marks, found = batch.column("doc_id").to_pylist(), [], []
+            for i, j, data, offsets in chunks(batch.column("text")):
+                starts, ends, docs = _tokens(data, offsets)
+                begins = _begins(data, starts, ends, docs)
+                edge, flagged, keep, tags, sizes = np.searchsorted(docs, np.arange(j - i + 1)), _flagged(data, offsets), [], [], []
+                for d in range(j - i):
+                    lo, hi = int(offsets[d]), int(offsets[d + 1])
+                    raw = data[lo:hi].tobytes()
+                    marks.append((ids[i + d], hashlib.blake2b(raw, digest_size=8).digest()))
+                    spans, unsure = [], []
+                    if d in flagged:
+                        text = raw.decode("utf-8", "replace")
+                        spans, unsure = (_byte_places(text, x) for x in (label_spans(text), unsure_spans(text)))
+                    own = np.arange(edge[d], edge[d + 1])
+                    if len(own) > tokens:
+                        own = own[_nearest(starts[own] - lo, ends[own] - lo, spans, tokens)]
+                    mine, y, size = _labelled(own, starts - lo, ends - lo, begins, spans, unsure)
+                    keep += mine
+                    tags.append(y)
+                    sizes.append(size)
+                x = np.zeros((len(keep), 0), dtype=np.uint16)
+                if keep:
+                    x = np.stack([f[keep] for f in features(data, offsets, starts, ends, docs, begins)], axis=1).astype(np.uint16)
+                at = 0
+                for y, size in zip(tags, sizes, strict=True):
+                    found.append((np.array(size, dtype=np.int32).tobytes(), np.array(y, dtype=np.uint8).tobytes(), x[at : at + len(y)].tobytes()))
+                    at += len(y)
+            columns = ([m[0] for m in marks], [m[1] for m in marks], *([f[k] for f in found] for k in range(3)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int64()) for k, c in enumerate(columns)], ["doc_id", "mark", "size", "y", "x"])
 
     groups: dict[int, list] = {}
     positive = 0
-    chains_of = rows.mapInArrow(tagged, "doc_id long, mark binary, y array<array<int>>, x array<array<int>>")
-    for r in chains_of.groupBy("doc_id").agg(F.min_by(F.struct("y", "x"), "mark").alias("c")).select("c.*").collect():  # a row for each id
-        for y, x in zip(r["y"], r["x"], strict=True):
-            groups.setdefault(len(y), []).append((x, y))
-            positive += sum(t != O for t in y)
+    chains_of = rows.mapInArrow(tagged, "doc_id long, mark binary, size binary, y binary, x binary")
+    for r in chains_of.groupBy("doc_id").agg(F.min_by(F.struct("size", "y", "x"), "mark").alias("c")).select("c.*").toLocalIterator():  # a row for each id
+        y = np.frombuffer(r["y"], np.uint8).astype(np.int64)
+        x = np.frombuffer(r["x"], np.uint16).reshape(len(y), -1) if len(y) else None
+        positive += int((y != O).sum())
+        at = 0
+        for n in np.frombuffer(r["size"], np.int32).tolist():
+            groups.setdefault(n, []).append((x[at : at + n], y[at : at + n]))
+            at += n
     if not positive:
         return None
-    return train({n: (np.array([x for x, _ in g]).reshape(len(g), n, -1), np.array([y for _, y in g])) for n, g in groups.items()})
+    return train({n: (np.array([x for x, _ in g]), np.array([y for _, y in g])) for n, g in groups.items()})
 
 
 def scan(text: Column, field: tuple[np.ndarray, np.ndarray] | None) -> Column:
@@ -359,26 +426,19 @@ def scan(text: Column, field: tuple[np.ndarray, np.ndarray] | None) -> Column:
             w = np.zeros((DIM, 3))
             w[packed[0]] = packed[1]
         out: list[list] = [[] for _ in range(len(column))]
-        for row, data, lo, hi, starts, ends, flagged, digits in _rows(column):
-            raw = data[lo:hi].tobytes()
-            found = base_spans(raw.decode("utf-8")) if flagged else []
-            if w is not None and len(starts):
-                added = []
-                for places, fs in chains(data, lo, hi, starts, ends, digits):
-                    tags = viterbi(w[np.array(fs)].sum(axis=1), packed[2])
-                    k = 0
-                    while k < len(tags):
-                        if tags[k] == B:
-                            m = k
-                            while m + 1 < len(tags) and tags[m + 1] == I:
-                                m += 1
-                            added.append((places[k][0], 3, places[m][1]))
-                            k = m
-                        k += 1
-                if added:
+        for i, j, data, offsets in chunks(column):
+            added: dict[int, list[tuple[int, int]]] = {}
+            for d, s, e in _spans(data, offsets, w, packed[2]) if w is not None else ():
+                added.setdefault(d, []).append((s, e))
+            flagged = _flagged(data, offsets)
+            for d in sorted(flagged | added.keys()):
+                lo = int(offsets[d])
+                raw = data[lo : offsets[d + 1]].tobytes()
+                found = base_spans(raw.decode("utf-8")) if d in flagged else []
+                if d in added:
                     chars = _char_places(raw)
-                    found = sorted(found + _untouched([(int(chars[s]), k, int(chars[e])) for s, k, e in added], found))
-            out[row] = [{"start": s, "end": e, "kind": KINDS[k]} for s, k, e in found]
+                    found = sorted(found + _untouched([(int(chars[s - lo]), 3, int(chars[e - lo])) for s, e in added[d]], found))
+                out[i + d] = [{"start": s, "end": e, "kind": KINDS[k]} for s, k, e in found]
         return pa.array(out, pa.list_(kind))
 
     return spans_of(text)
