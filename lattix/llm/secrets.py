@@ -182,7 +182,7 @@ def features(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np
     for kind, value in enumerate(kinds):
         value = np.broadcast_to(np.asarray(value), n.shape)
         value = value if value.dtype == np.uint64 else value.astype(np.int64).view(np.uint64)
-        yield (mix(value + np.uint64(kind + 1) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % DIM
+        yield (mix(value + np.uint64((kind + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(40)).astype(np.int64) % DIM
 
 
 def forward_backward(unary: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -357,8 +357,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE, tokens: int = TOKENS) -> tuple[np
     """The field, trained on at most ``sample`` documents; None if none of them has a secret.
 
     What reaches the driver is tags and feature numbers of the chains in the sample: of each
-    document the ``tokens`` tokens that are nearest to its secrets, at most. Of the texts of an id
-    that repeats, that with the smallest digest is taken.
+    document the ``tokens`` tokens that are nearest to its secrets, at most, and of one without secrets a quarter
+    as many, in a row from a place that its digest names. Of the texts of an id that repeats, that
+    with the smallest digest is taken.
     """
     picked = docs.select("doc_id").where("doc_id is not null").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked.distinct()), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text")  # at most ``sample`` ids
@@ -373,14 +374,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE, tokens: int = TOKENS) -> tuple[np
                 for d in range(j - i):
                     lo, hi = int(offsets[d]), int(offsets[d + 1])
                     raw = data[lo:hi].tobytes()
-                    marks.append((ids[i + d], hashlib.blake2b(raw, digest_size=8).digest()))
+                    mark = hashlib.blake2b(raw, digest_size=8).digest()
+                    marks.append((ids[i + d], mark))
                     spans, unsure = [], []
                     if d in flagged:
                         text = raw.decode("utf-8", "replace")
                         spans, unsure = (_byte_places(text, x) for x in (label_spans(text), unsure_spans(text)))
                     own = np.arange(edge[d], edge[d + 1])
-                    if len(own) > tokens:
-                        own = own[_nearest(starts[own] - lo, ends[own] - lo, spans, tokens)]
+                    few = tokens if spans else max(1, tokens // 4)
+                    if len(own) > few:
+                        first = int.from_bytes(mark, "little") % (len(own) - few + 1)
+                        own = own[_nearest(starts[own] - lo, ends[own] - lo, spans, few)] if spans else own[first : first + few]
                     mine, y, size = _labelled(own, starts - lo, ends - lo, begins, spans, unsure)
                     keep += mine
                     tags.append(y)
