@@ -364,8 +364,8 @@ def _shuffled(i: str, half: int, seed: int) -> str:
 
 @query(f"WITH v_n AS (SELECT unnest(range(count(*))) AS n FROM orders), {_shuffled('n', combos.SLOTS, 13)} SELECT idx, {COMBO.format('idx')} AS combo_compact FROM p")
 def distinct_designs(spark, d):
-    """As many different designs as there are orders, drawn without a memory."""
-    return sampling.distinct_designs(spark, table(spark, d, "orders").count(), 13)
+    """As many designs as there are orders, drawn without a memory; all of them come before one comes again."""
+    return sampling.design_rounds(spark, table(spark, d, "orders").count(), 13)
 
 
 _SCORE = "global_score + 0.5::DOUBLE * junction_mean + 0.5::DOUBLE * junction_min"

@@ -68,6 +68,15 @@ def distinct_designs(spark: SparkSession, n: int, seed: int, prefix: str = "") -
     return spark.range(n).select(idx.alias("idx")).withColumn("combo_compact", combos.from_index(F.col("idx")))
 
 
+def design_rounds(spark: SparkSession, n: int, seed: int) -> DataFrame:
+    """(idx, combo_compact) of n draws of designs, of any number: none comes twice before all have come.
+
+    Draws beyond combos.SPACE begin another round. Their number's high half is longer, and what it has
+    more stays on top through permuted(), so idx is round * SPACE plus a permutation of the round's own.
+    """
+    return spark.range(n).select(permuted(F.col("id"), combos.SLOTS, seed).alias("idx")).withColumn("combo_compact", combos.from_index(F.col("idx") % combos.SPACE))
+
+
 def hashed_sample(df: DataFrame, n: int, seed: int, key: str = "combo_compact") -> DataFrame:
     """n rows with the smallest hashes of key and seed, the same in every run."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)

@@ -283,6 +283,15 @@ def test_permutation(spark):
             sampling.distinct_designs(spark, n, 1, prefix)
 
 
+def test_draws_in_rounds(spark):
+    """More draws than there are designs: each comes once in each round, under a number of its own."""
+    n = 2 * combos.SPACE + 1000
+    got = sampling.design_rounds(spark, n, 13)
+    assert got.limit(5000).collect() == sampling.distinct_designs(spark, 5000, 13).collect()
+    r = got.groupBy((F.col("idx") / combos.SPACE).cast("int").alias("r")).agg(F.count("*").alias("n"), F.count_distinct("idx").alias("i"), F.count_distinct("combo_compact").alias("c")).orderBy("r").collect()
+    assert [tuple(x) for x in r] == [(k, m, m, m) for k, m in ((0, combos.SPACE), (1, combos.SPACE), (2, 1000))]
+
+
 def test_alignments_of_many_pairs(monkeypatch):
     """Pairs of all lengths together are what each is alone, empty ones and null ones included; and for any size of a batch."""
     rng = random.Random(7)
