@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,13 +53,57 @@ def translated(dna: Column, frame: int | Column) -> Column:
     return F.array_join(F.transform(each, lambda c: F.coalesce(table[c], F.lit("X"))), "")
 
 
+#: Bases that are translated together, at least those of one read.
+TOGETHER = 1 << 20
+_BASE = np.full(256, 5, np.uint8)
+_BASE[list(b"TCAGN")] = range(5)
+_PAIRED = np.array([BASES.index("A"), BASES.index("G"), BASES.index("T"), BASES.index("C"), 4, 5], np.uint8)
+_AMINO = np.full(6**3, ord("X"), np.uint8)
+for _c, _a in codons().items():
+    _AMINO[[int(_BASE[ord(x)]) for x in _c] @ np.array([36, 6, 1])] = ord(_a)
+
+
+def _frames(reads: list[bytes], reverse: bool) -> list[pa.Array]:
+    """The amino acids of the frames, an array for each, of reads that lie one behind the other."""
+    base = _BASE[np.frombuffer(b"".join(reads), np.uint8)]
+    size = np.array([len(x) for x in reads], np.int64)
+    first = np.cumsum(size) - size
+    out = []
+    for way in range(1 + reverse):
+        x = _PAIRED[base] if way else base
+        a, c = (x[2:], x[:-2]) if way else (x[:-2], x[2:])
+        amino = _AMINO[36 * a + 6 * x[1:-1] + c] if len(x) > 2 else np.zeros(0, np.uint8)  # of the codon that begins there or, read backwards, ends there
+        for f in range(3):
+            n = np.maximum(size - f, 0) // 3
+            ends = np.cumsum(n)
+            k = np.arange(ends[-1]) - np.repeat(ends - n, n)
+            at = np.repeat(first + size - 3 - f, n) - 3 * k if way else np.repeat(first + f, n) + 3 * k
+            out.append(pa.Array.from_buffers(pa.large_string(), len(n), [None, pa.py_buffer(np.append(0, ends).astype(np.int64)), pa.py_buffer(amino[at])]))
+    return out
+
+
 def six_frames(dna: Column, reverse: bool = True) -> Column:
-    """array<struct<gen_idx, orientation, frame, aa>> of the frames in the order in which ties are decided."""
-    ways = [("fwd", dna), *([("rev", reverse_complement(dna))] if reverse else [])]
-    return F.array(*[
-        F.struct(F.lit(3 * k + f).alias("gen_idx"), F.lit(name).alias("orientation"), F.lit(f).alias("frame"), translated(seq, f).alias("aa"))
-        for k, (name, seq) in enumerate(ways) for f in range(3)
-    ])
+    """array<struct<gen_idx, orientation, frame, aa>> of the frames in the order in which ties are decided; each is translated() of its way."""
+    many = 6 if reverse else 3
+
+    @F.arrow_udf("array<string>")
+    def frames(column: pa.Array) -> pa.Array:
+        sent = [None if x is None else x.encode("ascii", "replace") for x in column.to_pylist()]
+        parts, held = [[]], 0
+        for x in sent:
+            if held and held + len(x or b"") > TOGETHER:
+                parts.append([])
+                held = 0
+            parts[-1].append(x)
+            held += len(x or b"")
+        out = []
+        for part in parts:
+            if part:
+                own = [a.to_pylist() for a in _frames([x or b"" for x in part], reverse)]
+                out += [[None] * many if x is None else list(r) for x, r in zip(part, zip(*own, strict=True), strict=True)]
+        return pa.array(out, pa.list_(pa.string()))
+
+    return F.transform(frames(dna), lambda aa, k: F.struct(k.alias("gen_idx"), F.when(k < 3, "fwd").otherwise("rev").alias("orientation"), (k % 3).alias("frame"), aa.alias("aa")))
 
 
 def count_of(text: Column, letter: str) -> Column:

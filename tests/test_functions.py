@@ -86,3 +86,18 @@ def test_sequences(spark):
 def test_cache_key_depends_on_lengths(spark):
     key = lambda x: sequences.cache_key(F.lit("AAAA"), F.array(*[F.lit(v) for v in x]), "m")
     assert one(spark, key([1, 3])) != one(spark, key([2, 2]))
+
+
+def test_frames_are_translated_in_one_pass(spark, monkeypatch):
+    """Frames are what translated() gives for each way, and no codon is looked up by an expression."""
+    import random
+
+    rng = random.Random(5)
+    reads = ["", "A", "AT", "ATG", "NNN", "ATGxTA", "AéGTAA", *("".join(rng.choice("ACGTN") for _ in range(rng.randrange(40))) for _ in range(200)), None]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(reads)], "k int, s string")
+    ways = [F.col("s"), sequences.reverse_complement(F.col("s"))]
+    out = df.select(sequences.six_frames(F.col("s")).alias("f"), sequences.six_frames(F.col("s"), False).alias("g"), F.array(*[sequences.translated(w, f) for w in ways for f in range(3)]).alias("want"))
+    for r in out.collect():
+        assert [x["aa"] for x in r["f"]] == r["want"] and [x["aa"] for x in r["g"]] == r["want"][:3]
+        assert [(x["gen_idx"], x["orientation"], x["frame"]) for x in r["f"]] == [(k, "fwd" if k < 3 else "rev", k % 3) for k in range(6)]
+    assert "map(" not in df.select(sequences.six_frames(F.col("s")).alias("f"))._jdf.queryExecution().toString()
