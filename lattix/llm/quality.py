@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattix.llm.common import bloom_of_ids, checkpoint, chunks, crc_bucket, may_hold, mix, shingle_hashes, span_hashes, word_spans
+from lattix.llm.common import bloom_of_ids, checkpoint, chunks, crc_bucket, may_hold, mix, parts, shingle_hashes, span_hashes, word_spans
 
 NAMES = (
     "log_chars", "log_words", "word_length", "upper", "symbols", "digits", "stops", "pipes",
@@ -108,10 +109,10 @@ class Model:
 
     def decision(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.centre) / self.scale, -8, 8)
-        parts = []
+        each = []
         for mean, factor, const in zip(self.means, self.factors, self.consts, strict=True):
-            parts.append(const - 0.5 * (np.linalg.solve(factor, (z - mean).T) ** 2).sum(axis=0))
-        v = parts[1] - parts[0]
+            each.append(const - 0.5 * (np.linalg.solve(factor, (z - mean).T) ** 2).sum(axis=0))
+        v = each[1] - each[0]
         return v / (1 + np.abs(v) / BOUND)
 
     def score(self, stats: Column) -> Column:
@@ -160,7 +161,9 @@ def solve(counts: np.ndarray, sums: np.ndarray, outer: np.ndarray, shrink: float
 
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """Fits to the rows of stats (doc_id, stats) that labels (doc_id, label 0 or 1) name; null labels are left out."""
-    rows = stats.join(labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)"), "doc_id").select("y", "stats")
+    rows = stats.join(labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)"), "doc_id")
+    # sums of doubles depend on their order: every run adds up the same rows in the same one
+    rows = rows.repartition(parts(stats.sparkSession), "doc_id").sortWithinPartitions("doc_id", "stats", "y").select("y", "stats")
 
     def partial(batches):
         n, s, o = np.zeros(2), np.zeros((2, D)), np.zeros((2, D, D))
@@ -173,9 +176,11 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
                 s[c] += v.sum(axis=0)
                 o[c] += v.T @ v
         values = np.concatenate([n, s.ravel(), o.ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], ["i", "v"])
+        task = np.full(len(values), TaskContext.get().partitionId(), np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(task), pa.array(values)], ["i", "task", "v"])
 
-    got = rows.mapInArrow(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    each = rows.mapInArrow(partial, "i int, task int, v double").groupBy("i").agg(F.array_sort(F.collect_list(F.struct("task", "v"))).alias("v"))
+    got = each.select("i", F.aggregate("v", F.lit(0.0), lambda a, x: a + x["v"]).alias("v")).collect()
     flat = np.zeros(2 + 2 * D + 2 * D * D)
     for r in got:
         flat[r["i"]] = r["v"]
