@@ -31,6 +31,8 @@ MOST_FEATURES = 80_000_000
 KEEP = 40_000
 THRESHOLD = 0.3
 BATCH_CHARS = 1 << 19
+#: Parts of the features that are counted apart.
+SLICES = 64
 _M = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0x2545F491)]
 _ASCII_GAP = np.array([not (97 <= c < 123) for c in range(128)])
 
@@ -58,43 +60,71 @@ def features(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate([grams(x, n) for n in ORDERS]))
 
 
-def train(rows: list[np.ndarray], y: np.ndarray, keep: int = KEEP, least: float = 6.0, penalty: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, float]:
-    """(weight of each feature, its bias) from each text's feature numbers and labels 0 and 1."""
-    w, bias = np.zeros(1 << BITS, np.float32), 0.0
+def ratios(p: np.ndarray, q: np.ndarray, P: float, Q: float) -> np.ndarray:
+    """r of features that p of P texts with the label and q of Q texts without it hold."""
+    return np.log((p + 1) / (P + 2)) - np.log((q + 1) / (Q + 2))
+
+
+def train(own: list[np.ndarray], y: np.ndarray, r: np.ndarray, penalty: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, float]:
+    """(weight of each chosen feature, the bias) from the numbers of those that each text holds, labels 0 and 1, and ratios."""
     P, Q = float((y == 1).sum()), float((y == 0).sum())
     if not P or not Q:
-        return w, float(np.log((P + 1) / (Q + 1)))
-    p, q = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
-    for row, label in zip(rows, y.tolist(), strict=True):
-        (p if label else q)[row] += 1  # a row holds each feature once
-    r = np.log((p + 1) / (P + 2)) - np.log((q + 1) / (Q + 2))
-    weight = np.abs(r) * np.sqrt(p + q)
-    weight[weight < least] = 0
-    chosen = np.argsort(-weight, kind="stable")[:keep]
-    chosen = chosen[weight[chosen] > 0]
-    number = np.full(1 << BITS, -1, np.int32)
-    number[chosen] = np.arange(len(chosen), dtype=np.int32)
-    own = [(k := number[row])[k >= 0] for row in rows]
-    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(k) for k in own])
+        return np.zeros(len(r)), float(np.log((P + 1) / (Q + 1)))
+    doc = np.repeat(np.arange(len(own), dtype=np.int32), [len(k) for k in own])
     f = np.concatenate(own)
-    scale = r[chosen] / np.sqrt((r[chosen] ** 2).mean() if len(chosen) else 1.0)
+    scale = r / np.sqrt((r**2).mean() if len(r) else 1.0)
     x = scale[f]
-    theta, b = np.zeros(len(chosen)), np.log(P / Q)
-    m = v = np.zeros(len(chosen) + 1)
-    even = np.where(y == 1, 2.0, 1.0) / len(rows)  # a missed toxic text is worse than a false alarm
+    theta, b = np.zeros(len(r)), np.log(P / Q)
+    m = v = np.zeros(len(r) + 1)
+    even = np.where(y == 1, 2.0, 1.0) / len(own)  # a missed toxic text is worse than a false alarm
     for step in range(1, steps + 1):
-        margin = np.bincount(doc, x * theta[f], minlength=len(rows)) + b
+        margin = np.bincount(doc, x * theta[f], minlength=len(own)) + b
         g = (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - y) * even
-        grad = np.append(np.bincount(f, g[doc] * x, minlength=len(chosen)) + penalty * theta, g.sum())
+        grad = np.append(np.bincount(f, g[doc] * x, minlength=len(r)) + penalty * theta, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         theta, b = theta - move[:-1], b - move[-1]
-    w[chosen] = theta * scale
-    return w, float(b)
+    return theta * scale, float(b)
+
 
+def _numbers(n: int, packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(pa.decompress(packed, 4 * n, codec="zstd", asbytes=True), np.uint32), dtype=np.uint32)
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, most: int = MOST_FEATURES, keep: int = KEEP) -> tuple[np.ndarray, float]:
-    """Weights and bias from at most ``sample`` rows of labels (doc_id, label), fitted in one task.
+
+def clear(texts: DataFrame, P: float, Q: float, keep: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(number, ratio) of the ``keep`` clearest features of texts (y, n, f), the clearest first.
+
+    Texts are counted where they are, in slices of the features, and each slice is added up in its own task.
+    """
+
+    def counts(batches):
+        both = np.zeros((2, SLICES, (1 << BITS) // SLICES), np.int32)
+        flat = both.reshape(2, -1)
+        for b in batches:
+            for y, n, f in zip(*(b.column(c).to_pylist() for c in ("y", "n", "f")), strict=True):
+                flat[y][_numbers(n, f)] += 1  # a text holds each feature once
+        held = np.flatnonzero(both.any(axis=(0, 2)))
+        packed = [pa.compress(both[:, k].tobytes(), codec="zstd", asbytes=True) for k in held.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(packed, pa.binary())], ["slice", "counts"])
+
+    def chosen(table: pa.Table) -> pa.Table:
+        long = (1 << BITS) // SLICES
+        both = np.zeros((2, long), np.int64)
+        for x in table.column("counts").to_pylist():
+            both += np.frombuffer(pa.decompress(x, 8 * long, codec="zstd", asbytes=True), np.int32).reshape(2, -1)
+        q, p = both
+        r = ratios(p, q, P, Q)
+        weight = np.abs(r) * np.sqrt(p + q)
+        at = np.flatnonzero((weight >= least) & (weight > 0))
+        return pa.table({"feature": pa.array((at + table.column("slice")[0].as_py() * long).astype(np.int32)), "r": pa.array(r[at]), "weight": pa.array(weight[at])})
+
+    each = texts.select("y", "n", "f").mapInArrow(counts, "slice int, counts binary")
+    got = each.groupBy("slice").applyInArrow(chosen, "feature int, r double, weight double").orderBy(F.desc("weight"), "feature").limit(keep).toArrow()
+    return got.column("feature").to_numpy(), got.column("r").to_numpy()
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, most: int = MOST_FEATURES, keep: int = KEEP, least: float = 6.0) -> tuple[np.ndarray, float]:
+    """Weights and bias from at most ``sample`` rows of labels (doc_id, label); features are counted and chosen side by side, the chosen ones weighed in one task.
 
     The texts hold ``most`` features together at most, and ``keep`` features get a weight, so the
     task's memory is bounded. Of the texts of an id that repeats, that with the smallest digest is taken.
@@ -117,24 +147,34 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
                 packed = [pa.compress(np.diff(g, prepend=np.uint32(0)).tobytes(), codec="zstd", asbytes=True) for g in got]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(mark, pa.binary()), pa.array([len(g) for g in got], pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "y", "mark", "n", "f"])
 
-    def solve(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending")])
-        rows = [np.cumsum(np.frombuffer(pa.decompress(f, 4 * n, codec="zstd", asbytes=True), np.uint32), dtype=np.uint32) for f, n in zip(table.column("f").to_pylist(), table.column("n").to_pylist(), strict=True)]
-        w, b = train(rows, table.column("y").to_numpy(), keep)
-        at = np.flatnonzero(w).astype(np.int32)
-        return pa.table({"bias": pa.array([b], pa.float64()), "at": pa.array([at.tobytes()], pa.binary()), "w": pa.array([w[at].tobytes()], pa.binary())})
-
     found = rows.mapInArrow(gather, "doc_id long, y int, mark binary, n int, f binary")
     found = checkpoint(found.groupBy("doc_id").agg(F.min_by(F.struct("y", "n", "f"), "mark").alias("r")).select("doc_id", "r.*"))
     # the smallest digests of ids first, as far as their features go together into ``most``
     size = W.orderBy(order, "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
     within = found.select("doc_id", F.sum("n").over(size).alias("upto")).where(F.col("upto") <= most).select("doc_id")
-    got = found.join(F.broadcast(within), "doc_id").withColumn("one", F.lit(1)).groupBy("one").applyInArrow(solve, "bias double, at binary, w binary").collect()
+    got = found.join(F.broadcast(within), "doc_id")
+    totals = {r["y"]: float(r["count"]) for r in got.groupBy("y").count().collect()}
     w = np.zeros(1 << BITS, np.float32)
-    if not got:
+    if not totals:
         return w, 0.0
-    w[np.frombuffer(got[0]["at"], dtype=np.int32)] = np.frombuffer(got[0]["w"], dtype=np.float32)
-    return w, got[0]["bias"]
+    at, r = clear(got, totals.get(1, 0.0), totals.get(0, 0.0), keep, least) if len(totals) == 2 else (np.zeros(0, np.int32), np.zeros(0))
+
+    def own(batches):
+        number = np.full(1 << BITS, -1, np.int32)
+        number[at] = np.arange(len(at), dtype=np.int32)
+        for b in batches:
+            held = [(k := number[_numbers(n, f)])[k >= 0].tobytes() for n, f in zip(b.column("n").to_pylist(), b.column("f").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(held, pa.binary())], ["doc_id", "y", "own"])
+
+    def solve(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending")])
+        theta, b = train([np.frombuffer(x, np.int32) for x in table.column("own").to_pylist()], table.column("y").to_numpy(), r)
+        return pa.table({"bias": pa.array([b], pa.float64()), "w": pa.array([theta.astype(np.float32).tobytes()], pa.binary())})
+
+    # of at most ``sample`` texts the chosen features alone
+    fitted = got.select("doc_id", "y", "n", "f").mapInArrow(own, "doc_id long, y int, own binary").withColumn("one", F.lit(1)).groupBy("one").applyInArrow(solve, "bias double, w binary").first()
+    w[at] = np.frombuffer(fitted["w"], np.float32)
+    return w, fitted["bias"]
 
 
 def margins(texts: list[str | None], w: np.ndarray, bias: float) -> np.ndarray:

@@ -138,3 +138,22 @@ def test_places_and_neighbours_of_secrets():
         found = sorted((s, 0, e) for s, e in spans)
         added = [(a, 3, a + 4) for a in range(0, 60, 5)]
         assert secrets._untouched(added, found) == [a for a in added if not any(s < a[2] and e > a[0] for s, _, e in found)]
+
+
+def test_toxic_features_are_counted_in_slices(spark):
+    """The features that get a weight, their order and ratios are those of counts over all texts; one task gets no more than these."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lattix.llm import toxicity
+
+    rng = np.random.default_rng(4)
+    held = [np.unique(np.append(rng.integers(0, 1 << toxicity.BITS, 50), rng.integers(0, 40, 12))).astype(np.uint32) for _ in range(300)]
+    y = [int((x < 20).sum() > (x < 40).sum() / 2) for x in held]
+    packed = [bytearray(pa.compress(np.diff(x, prepend=np.uint32(0)).tobytes(), codec="zstd", asbytes=True)) for x in held]
+    df = spark.createDataFrame([(k, len(x), f) for k, x, f in zip(y, held, packed, strict=True)], "y int, n int, f binary").repartition(3)
+    at, r = toxicity.clear(df, sum(y), 300 - sum(y), 25, 1.0)
+    p, q = (np.bincount(np.concatenate([x for x, k in zip(held, y, strict=True) if k == c]), minlength=1 << toxicity.BITS) for c in (1, 0))
+    want = toxicity.ratios(p, q, sum(y), 300 - sum(y))
+    order = np.argsort(-np.abs(want) * np.sqrt(p + q), kind="stable")[:25]
+    assert at.tolist() == order.tolist() and r.tolist() == want[order].tolist()
