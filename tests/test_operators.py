@@ -320,6 +320,7 @@ def test_long_queries_are_traced_in_windows(spark, monkeypatch):
     whole = alignment._aligned
     monkeypatch.setattr(alignment, "_aligned", lambda codes, *gaps: traced.extend(len(q) for _, q in codes) or whole(codes, *gaps))
     monkeypatch.setattr(alignment, "LONG", 40)
+    monkeypatch.setattr(alignment, "ALIKE", 3)
     got = alignment.local_alignments(pairs)
     assert sum(traced) < sum(len(q) for _, q in pairs) / 2
     monkeypatch.setattr(alignment, "LONG", 1 << 30)
