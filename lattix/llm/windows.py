@@ -16,19 +16,22 @@ signatures under every function, so such passages always meet in a list.
 2. Each text is held against the first text of each of its lists: an interval join of the
    groups of both gives the hull of what they share, the words of the hull are cut out on both
    sides and passages in them are verified on the shingles.
-3. Groups whose place no verified passage covers are open. In lists of up to ``FEW`` places
-   every open one is held against all others.
+3. Groups whose place no passage shared with the first text of their list covers are open. In
+   lists of up to ``FEW`` places every open one is held against all others.
 4. In longer lists, in which all can be copies of one passage with edits of their own, the words
    around each place are cut out, and the shingles counted that another text has there as well.
    Passages of ``words`` words around a place whose shingles are all in company, but for those
    that one edit at one place takes, are posted under the digest of their other words, for each
    place of the edit: of no, one or two words. Texts with such a digest are alike in pairs, so
    each open one is held against one of them, and which does not matter.
-
-So of passages that differ by one edit in 50 words none is missed, whatever the length of the
-lists. In longer passages two edits leave 50 words with one of them, unless they are close: such
-a pair can be missed if all its lists hold more than FEW places and the first texts of all of them
-differ. A value that a third of all texts have costs rows for each of them, never their pairs.
+5. Open places of longer lists that can lie in a passage, by the shingles around them that are in
+   company, are then held against all such places of the list, in pairs of blocks of ``BLOCK``:
+   where shingles of one are in the other is laid out, and pairs with a stretch that may be a passage
+   are verified, unless links of the block pair connect them already.
+
+So links between members of a list are given, or both are connected by links in that list,
+whatever its length: a large group of near copies costs rows for each of them, not for their
+pairs. The time of step 5 grows with the open places of a list times its places.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattix.llm.common import bloom_of_ids, checkpoint, chunks, may_hold, mix, powers, shingle_hashes, shingles_of, span_hashes, word_sequences, word_spans
+from lattix.llm.common import bloom_of_ids, checkpoint, chunks, may_hold, mix, parts as tasks, powers, shingle_hashes, shingles_of, span_hashes, word_sequences, word_spans
 
 WIDTH = 5
 WORDS = 50
@@ -49,6 +52,8 @@ SIMILARITY = 0.8
 FUNCTIONS = 2
 SPAN = 20
 FEW = 32
+#: Places of a long list that are held against as many others in one group.
+BLOCK = 500
 SLICE = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 _SEED = [np.uint64(0xA0761D6478BD642F * (2 * k + 1) & (2**64 - 1)) for k in range(FUNCTIONS)]
@@ -354,18 +359,22 @@ def listed(place: DataFrame) -> DataFrame:
     return checkpoint(place.join(checkpoint(stat.drop("o")), "key"))
 
 
-def partners(hit: DataFrame, most: int) -> DataFrame:
-    """(a, x, b, y): places of two texts to hold against each other, from listed() rows.
+def leads(hit: DataFrame) -> DataFrame:
+    """(key, y): the place of each list's first text in it, the first of several; of listed() rows."""
+    return checkpoint(hit.where("doc_id = lo").groupBy("key").agg(F.min("place").alias("y")))
 
-    Open places meet all others in lists of up to ``most`` places, the first text's in longer ones.
-    """
+
+def led(hit: DataFrame, lead: DataFrame) -> DataFrame:
+    """(a, x, b, y): each place of listed() rows and that of the first text of its list."""
+    return hit.where("doc_id <> lo").join(lead, "key").select(F.col("doc_id").alias("a"), F.col("place").alias("x"), F.col("lo").alias("b"), "y")
+
+
+def partners(hit: DataFrame, most: int) -> DataFrame:
+    """(a, x, b, y): places of two texts to hold against each other: open ones and all others, in lists of up to ``most`` places."""
     few = hit.where(F.col("c") <= most).groupBy("key").agg(F.collect_list(F.struct("doc_id", "place", "open")).alias("g"))  # ``most`` places at most
     few = few.select("g", F.explode(F.filter("g", lambda m: m["open"] == 1)).alias("m")).select("m", F.explode("g").alias("n"))
-    few = few.where("m.doc_id <> n.doc_id and (n.open = 0 or n.doc_id < m.doc_id)").select(F.col("m.doc_id").alias("a"), F.col("m.place").alias("x"), F.col("n.doc_id").alias("b"), F.col("n.place").alias("y"))
-    many = hit.where(F.col("c") > most)
-    lead = checkpoint(many.where("doc_id = lo").groupBy("key").agg(F.min("place").alias("y")))
-    led = many.where("doc_id <> lo and (open = 1 or doc_id = hi)").join(lead, "key").select(F.col("doc_id").alias("a"), F.col("place").alias("x"), F.col("lo").alias("b"), "y")
-    return few.union(led)
+    few = few.where("m.doc_id <> n.doc_id and (n.open = 0 or n.doc_id < m.doc_id)")
+    return few.select(F.col("m.doc_id").alias("a"), F.col("m.place").alias("x"), F.col("n.doc_id").alias("b"), F.col("n.place").alias("y"))
 
 
 def _shingled(parts: list[bytes]) -> list[np.ndarray]:
@@ -407,17 +416,18 @@ def verified(pairs: DataFrame, items: DataFrame, t: int, similarity: float) -> D
     return checkpoint(both.mapInArrow(rows, PASSAGE))
 
 
-def marked(place: DataFrame, found: DataFrame) -> DataFrame:
-    """place (key, doc_id, place) with open: 1 where no found passage covers the place, else 0.
+def marked(hit: DataFrame, lead: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, doc_id, place, open) of listed() rows: open is 0 for the first text of the list and where a found passage holds the place and that text's, else 1.
 
-    Passages of a text are counted in 64-bit maps of 64 places each, which combine before they move.
+    Passages are laid out in cells of 64 places, so a place meets those near by alone.
     """
-    end = F.col("start") + F.col("words") - WIDTH
-    cells = found.select("doc_id", "start", end.alias("last"), F.explode(F.sequence(F.shiftright("start", 6), F.shiftright(end, 6))).alias("cell"))
-    bits = F.expr("shiftleft(-1L, cast(greatest(start - 64 * cell, 0) as int)) & shiftrightunsigned(-1L, cast(63 - least(last - 64 * cell, 63) as int))")
-    covered = cells.groupBy("doc_id", "cell").agg(F.bit_or(bits).alias("bits"))
-    own = place.withColumn("cell", F.shiftright(F.col("place").cast("long"), 6)).join(covered, ["doc_id", "cell"], "left")
-    return own.select("key", "doc_id", "place", F.expr("case when bits is null then 1 when shiftrightunsigned(bits, place & 63) & 1 = 0 then 1 else 0 end").alias("open"))
+    end, other_end = F.col("start") + F.col("words") - WIDTH, F.col("other_start") + F.col("other_words") - WIDTH
+    own = F.struct("start", end.alias("last"), F.col("other_start").alias("low"), other_end.alias("high")).alias("p")
+    cells = found.where("other_id < doc_id").select("doc_id", F.col("other_id").alias("lo"), F.explode(F.sequence(F.shiftright("start", 6), F.shiftright(end, 6))).alias("cell"), own)
+    covered = cells.groupBy("doc_id", "lo", "cell").agg(F.collect_set("p").alias("ps"))  # a passage covers what others do not
+    both = hit.join(lead, "key").withColumn("cell", F.shiftright(F.col("place").cast("long"), 6)).join(covered, ["doc_id", "lo", "cell"], "left")
+    held = F.exists("ps", lambda p: F.col("place").between(p["start"], p["last"]) & F.col("y").between(p["low"], p["high"]))
+    return both.select("key", "doc_id", "place", F.when(F.col("doc_id") == F.col("lo"), 0).when(held, 0).otherwise(1).alias("open"))
 
 
 def cut_out(hit: DataFrame, items: DataFrame, reach: int) -> DataFrame:
@@ -531,6 +541,104 @@ def alike(parts: DataFrame, size: int) -> DataFrame:
     return met.groupBy("doc_id", "place").agg(*map(F.expr, one)).select(F.col("doc_id").alias("a"), F.col("place").alias("x"), "b", "y")
 
 
+def may_pass(tokens: np.ndarray, place: int, shared: np.ndarray, t: int, similarity: float) -> bool:
+    """Whether a stretch of t or more that holds the place has enough shingles in company (``shared``) for a passage; one that repeats counts as lacking once."""
+    lone = np.zeros(len(tokens), bool)
+    lone[np.unique(tokens, return_index=True)[1]] = True
+    return bool(alike_around(~(lone & ~shared)[None], place, t, similarity)[0])
+
+
+def alike_around(same: np.ndarray, place: int, t: int, similarity: float) -> np.ndarray:
+    """Of each row, whether a stretch of t or more that holds the place is true to the share of the similarity; a passage's shingles are, in the other text."""
+    s = np.zeros((len(same), same.shape[1] + 1))
+    np.cumsum(same - similarity, axis=1, out=s[:, 1:])
+    hi = np.arange(max(place + 1, t), s.shape[1])
+    if not len(hi):
+        return np.zeros(len(same), bool)
+    return (s[:, hi] - np.minimum.accumulate(s, axis=1)[:, np.minimum(hi - t, place)] >= -1e-9).any(axis=1)
+
+
+def around(parts: DataFrame, reach: int, t: int, similarity: float) -> DataFrame:
+    """(doc_id, place, at, words): the words within ``reach`` shingles of each place of parts that may lie in a passage; the place is ``at`` there."""
+
+    def rows(batches):
+        for b in batches:
+            out: list[tuple] = []
+            columns = (b.column(c).to_pylist() for c in ("doc_id", "base", "words", "place", "at"))
+            tokens = _shingled(b.column("words").to_pylist()) if b.num_rows else []
+            for (doc, base, text, place, at), h in zip(zip(*columns, strict=True), tokens, strict=True):
+                shared = np.zeros(len(h), bool)
+                shared[at] = True
+                for p in place:
+                    lo, hi = max(0, p - reach), p + reach + 1
+                    if may_pass(h[lo:hi], p - lo, shared[lo:hi], t, similarity):
+                        out.append((doc, base + p, p - lo, text[4 * lo : 4 * (hi + WIDTH - 1)]))
+            kinds = {"doc_id": pa.int64(), "place": pa.int32(), "at": pa.int32(), "words": pa.binary()}
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds.values())], list(kinds))
+
+    return parts.select("doc_id", "base", "words", "place", "at").mapInArrow(rows, "doc_id long, place int, at int, words binary")
+
+
+def block_links(docs: np.ndarray, at: np.ndarray, open_: np.ndarray, side: np.ndarray, tokens: list[np.ndarray], same: bool, t: int, similarity: float) -> list[tuple[int, int]]:
+    """(i, j): links that connect places of a block pair, i open; with same, both blocks are one.
+
+    Places that are not open are connected by the first text of the list. A link is a passage that
+    holds both places.
+    """
+    sets, sides = [np.unique(x) for x in tokens], {}
+    items, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(items, kind="stable")
+    items, owner = items[order], owner[order]
+    label = np.where(open_ == 1, np.arange(len(docs)), len(docs))
+    out = []
+    for i in np.flatnonzero(open_ == 1).tolist():
+        a = tokens[i]
+        ok = (label != label[i]) & (docs != docs[i])
+        if not same:
+            ok &= side != side[i]
+        if not ok.any():
+            continue
+        low, high = np.searchsorted(items, a), np.searchsorted(items, a, side="right")
+        many = high - low
+        meets = np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+        both = np.zeros((len(docs), len(a)), bool)
+        both[owner[meets], np.repeat(np.arange(len(a)), many)] = True
+        near = np.flatnonzero(ok & (both.sum(axis=1) >= t * similarity))
+        for j in near[alike_around(both[near], int(at[i]), t, similarity)].tolist():
+            if label[j] == label[i]:
+                continue
+            back = sets[i][np.minimum(np.searchsorted(sets[i], tokens[j]), len(sets[i]) - 1)] == tokens[j]
+            if not alike_around(back[None], int(at[j]), int(t * similarity), similarity)[0]:
+                continue
+            if j not in sides:
+                sides[j] = Side(tokens[j])
+            if any(s <= at[i] < e and u <= at[j] < v for s, e, u, v, _ in passages(a, sides[j], t, similarity)):
+                label[label == label[i]] = label[j]
+                out.append((i, j))
+    return out
+
+
+def unconnected(place: DataFrame, parts: DataFrame, t: int, similarity: float) -> DataFrame:
+    """(a, x, b, y): links that connect the open places of long lists (listed() rows and their parts) with others of their list, by pairs of blocks."""
+    near = checkpoint(around(parts, t + 1, t, similarity))
+    member = place.select("key", "doc_id", "place", "open").join(near.select("doc_id", "place").distinct(), ["doc_id", "place"])
+    size = member.groupBy("key").agg(F.count("*").alias("c"), F.sum("open").alias("o"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("o > 0 and lo <> hi")
+    own = member.join(size.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "key")
+    own = own.withColumn("own", F.pmod(F.xxhash64("doc_id", "place"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc_id", "place", "open")
+    # little data and much work: in a fixed number of tasks, which are not merged by their size
+    full = dealt.join(near, ["doc_id", "place"]).repartition(tasks(place.sparkSession, 4), "key", "i", "j")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("place", "ascending"), ("words", "ascending")])
+        docs, at, place, open_, side = (table.column(c).to_numpy() for c in ("doc_id", "at", "place", "open", "side"))
+        got = block_links(docs, at, open_, side, _shingled(table.column("words").to_pylist()), key[1].as_py() == key[2].as_py(), t, similarity)
+        i, j = np.array(got, np.int64).reshape(-1, 2).T
+        return pa.table({"a": docs[i], "x": place[i].astype(np.int32), "b": docs[j], "y": place[j].astype(np.int32)})
+
+    return full.groupBy("key", "i", "j").applyInArrow(compare, "a long, x int, b long, y int")
+
+
 def first_texts(texts: DataFrame, classes: DataFrame, same: DataFrame) -> DataFrame:
     """The rows of texts with the smallest id of their class; what a filter of the other ids does not hold is not moved."""
     packed = bloom_of_ids(same, "doc_id")
@@ -566,9 +674,12 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, similarity: float = S
     post = first_texts(texts, classes, same).select("doc_id", F.explode(F.arrays_zip("keys", "places")).alias("k")).select(F.col("k.keys").alias("key"), "doc_id", F.col("k.places").alias("place"), F.lit(1).alias("open"))
     member = listed(post)
     items = word_sequences(docs, member.select("doc_id"), WIDTH)
-    first = verified(partners(member, 1), items, t, similarity)
-
-    place = listed(marked(member.select("key", "doc_id", "place"), first))
-    parts = checkpoint(in_company(checkpoint(cut_out(place.where(F.col("c") > FEW), items, t + 1))))
-    second = verified(partners(place.where(F.col("c") <= FEW), FEW).union(alike(parts, words)), items, t, similarity)
+    lead = leads(member)
+    first = verified(led(member, lead), items, t, similarity)
+
+    place = listed(marked(member, lead, first))
+    many = place.where(F.col("c") > FEW)
+    parts = checkpoint(in_company(checkpoint(cut_out(many, items, t + 1))))
+    others = partners(place, FEW).union(alike(parts, words)).union(unconnected(many, parts, t, similarity))
+    second = verified(others, items, t, similarity)
     return first.union(second).union(whole).distinct()

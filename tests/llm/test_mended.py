@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattix.llm import decontam, html, minhash, mixing, secrets
+from lattix.llm import decontam, html, minhash, mixing, secrets, windows
 
 LONG = "A long paragraph of the article, with commas, and more words than that; it goes on and on, and on, for some time. "
 
@@ -157,3 +157,45 @@ def test_toxic_features_are_counted_in_slices(spark):
     want = toxicity.ratios(p, q, sum(y), 300 - sum(y))
     order = np.argsort(-np.abs(want) * np.sqrt(p + q), kind="stable")[:25]
     assert at.tolist() == order.tolist() and r.tolist() == want[order].tolist()
+
+
+def passage_links(held):
+    """Pairs of passages that have 50 words or more alike at the same place, by trying all."""
+    tokens = np.array([[hash(tuple(w[i : i + 5])) for i in range(len(w) - 4)] for w in held])
+    out = []
+    for i, own in enumerate(tokens):
+        same = np.concatenate((np.zeros((len(tokens), 1), int), np.cumsum(tokens == own, 1)), 1)
+        alike = np.zeros(len(tokens), bool)
+        for size in range(46, len(own) + 1):
+            both = same[:, size:] - same[:, :-size]
+            alike |= (both >= 0.8 * (2 * size - both)).any(1)
+        out += [(i, j) for j in np.flatnonzero(alike).tolist() if j < i]
+    return out
+
+
+@pytest.mark.parametrize("block", [30, 1000])
+def test_passages_of_long_lists_are_connected(spark, prose, monkeypatch, block):
+    """Near copies with two or three edits, all in lists too long for their pairs: what is alike is connected by rows."""
+    monkeypatch.setattr(windows, "BLOCK", block)
+    rng = random.Random(5)
+    base, texts, held = prose(rng, 70).split(), [], []
+    for _ in range(150):
+        w = list(base)
+        for k in rng.sample(range(70), rng.choice((2, 3))):
+            w[k] = f"new{rng.randrange(10**6)}"
+        texts.append(f"{prose(rng, rng.randrange(20, 51))} {' '.join(w)} {prose(rng, rng.randrange(20, 51))}")
+        held.append(w)
+    rows = windows.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r["similarity"] >= 0.8 for r in rows)
+    top = list(range(len(texts)))
+
+    def root(k):
+        while top[k] != k:
+            k = top[k]
+        return k
+
+    for r in rows:
+        top[root(r["doc_id"])] = root(r["other_id"])
+    links = passage_links(held)
+    lost = [(i, j) for i, j in links if root(i) != root(j)]
+    assert len(links) > 500 and not lost, (len(links), len(lost))
