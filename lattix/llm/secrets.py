@@ -20,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -415,16 +415,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE, tokens: int = TOKENS) -> tuple[np
     return train({n: (np.array([x for x, _ in g]), np.array([y for _, y in g])) for n, g in groups.items()})
 
 
-def scan(text: Column, field: tuple[np.ndarray, np.ndarray] | None) -> Column:
-    """array<struct<start, end, kind>> of each text's spans by start, then kind; null counts as empty."""
+def finder(field: tuple[np.ndarray, np.ndarray] | None) -> Callable[[pa.Array], list[list[tuple[int, int, int]]]]:
+    """What finds the spans (start, kind, end) of each text of a column, in order; it travels with its weights. Null counts as empty."""
     packed = None
     if field is not None:
         at = np.flatnonzero(np.abs(field[0]).sum(axis=1) > 1e-6).astype(np.int32)
         packed = (at, field[0][at].astype(np.float32), field[1])
-    kind = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
 
-    @F.arrow_udf("array<struct<start:long,end:long,kind:string>>")
-    def spans_of(column: pa.Array) -> pa.Array:
+    def find(column: pa.Array) -> list[list[tuple[int, int, int]]]:
         w = None
         if packed is not None:
             w = np.zeros((DIM, 3))
@@ -442,8 +440,19 @@ def scan(text: Column, field: tuple[np.ndarray, np.ndarray] | None) -> Column:
                 if d in added:
                     chars = _char_places(raw)
                     found = sorted(found + _untouched([(int(chars[s - lo]), 3, int(chars[e - lo])) for s, e in added[d]], found))
-                out[i + d] = [{"start": s, "end": e, "kind": KINDS[k]} for s, k, e in found]
-        return pa.array(out, pa.list_(kind))
+                out[i + d] = found
+        return out
+
+    return find
+
+
+def scan(text: Column, field: tuple[np.ndarray, np.ndarray] | None) -> Column:
+    """array<struct<start, end, kind>> of each text's spans by start, then kind; null counts as empty."""
+    find, kind = finder(field), pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
+
+    @F.arrow_udf("array<struct<start:long,end:long,kind:string>>")
+    def spans_of(column: pa.Array) -> pa.Array:
+        return pa.array([[{"start": s, "end": e, "kind": KINDS[k]} for s, k, e in own] for own in find(column)], pa.list_(kind))
 
     return spans_of(text)
 
@@ -463,25 +472,26 @@ def redact(docs: DataFrame, mark: str = "[secret]", sample: int = SAMPLE) -> Dat
 
     All rows and columns stay; a column n_chars follows the text.
     """
-    found = scan(F.col("text"), fit(docs, sample))
+    find = finder(fit(docs, sample))
 
     @F.arrow_udf("string")
-    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    def cut(texts: pa.Array) -> pa.Array:  # scans and cuts, so that a task needs one Python worker
         out = []
-        for text, own in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
+        for text, own in zip(texts, find(texts), strict=True):
+            text = text.as_py()
             if own:
                 parts, at = [], 0
-                for s in own:
-                    if s["end"] <= at:
+                for start, _, end in own:
+                    if end <= at:
                         continue
-                    if s["start"] >= at:
-                        parts += [text[at : s["start"]], mark]
-                    at = s["end"]
+                    if start >= at:
+                        parts += [text[at:start], mark]
+                    at = end
                 text = "".join([*parts, text[at:]])
             out.append(text)
         return pa.array(out, pa.string())
 
-    out = docs.withColumn("text", cut(F.col("text"), found))
+    out = docs.withColumn("text", cut(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

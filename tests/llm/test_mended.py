@@ -199,3 +199,9 @@ def test_passages_of_long_lists_are_connected(spark, prose, monkeypatch, block):
     links = passage_links(held)
     lost = [(i, j) for i, j in links if root(i) != root(j)]
     assert len(links) > 500 and not lost, (len(links), len(lost))
+
+
+def test_redaction_takes_one_python_worker_of_a_task(spark, documents):
+    """Scanning and cutting in two functions held two workers, with the text in both."""
+    plan = secrets.redact(documents)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
