@@ -579,64 +579,129 @@ def around(parts: DataFrame, reach: int, t: int, similarity: float) -> DataFrame
     return parts.select("doc_id", "base", "words", "place", "at").mapInArrow(rows, "doc_id long, place int, at int, words binary")
 
 
-def block_links(docs: np.ndarray, at: np.ndarray, open_: np.ndarray, side: np.ndarray, tokens: list[np.ndarray], same: bool, t: int, similarity: float) -> list[tuple[int, int]]:
-    """(i, j): links that connect places of a block pair, i open; with same, both blocks are one.
-
-    Places that are not open are connected by the first text of the list. A link is a passage that
-    holds both places.
+class Around:
+    """The stretches of ``t`` shingles or more of a text that hold a place, as sets."""
+
+    def __init__(self, tokens: np.ndarray, place: int, t: int) -> None:
+        n = len(tokens)
+        self.values, first, self.where = np.unique(tokens, return_index=True, return_inverse=True)
+        self.first = np.zeros(n, bool)
+        self.first[first] = True
+        before, order = np.full(n, -1), np.argsort(tokens, kind="stable")
+        again = tokens[order[1:]] == tokens[order[:-1]]
+        before[order[1:][again]] = order[:-1][again]
+        start, at = np.arange(min(place, n - t) + 1)[:, None], np.arange(n)
+        #: For each start, where a shingle is the first of its kind; a stretch may end with ``ends``.
+        self.new = (at >= start) & (before < start)
+        self.ends = np.flatnonzero(at + 1 >= np.maximum(start + t, place + 1))
+        self.size = np.cumsum(self.new, axis=1, dtype=np.int16).ravel()[self.ends]
+        self.least = int(self.size.min(initial=n + 1))
+        self.known: dict[bytes, np.ndarray] = {}
+
+    def lacking(self, shared: np.ndarray) -> np.ndarray:
+        """For each number of shared shingles (shared: which of ``values`` are) the fewest others of a stretch that has as many or more."""
+        key = shared.tobytes()
+        if key not in self.known:
+            both = np.cumsum(self.new & shared[self.where], axis=1, dtype=np.int16).ravel()[self.ends]
+            few = np.full(len(self.where) + 2, len(self.where) + 1, np.int16)
+            np.minimum.at(few, both, self.size - both)
+            self.known[key] = np.minimum.accumulate(few[::-1])[::-1]
+        return self.known[key]
+
+
+def block_links(lo: np.ndarray, hi: np.ndarray, at: np.ndarray, open_: np.ndarray, side: np.ndarray, tokens: list[np.ndarray], same: bool, t: int, similarity: float) -> list[tuple[int, int]]:
+    """(i, j): links that connect the surroundings of places of a block pair, i open; with same, both blocks are one.
+
+    Texts lo to hi have the same surroundings of a place, which is ``at`` in them. Places that are
+    not open are connected by the first text of the list. A link is a passage that holds both
+    places. Its sets of shingles have the similarity, so the shingles that its two stretches lack
+    are few for those that are shared; a pair without such stretches is not looked at further.
     """
-    sets, sides = [np.unique(x) for x in tokens], {}
-    items, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    n, ratio = len(lo), (1 - similarity) / similarity
+    sets, sides, own, other = [np.unique(x) for x in tokens], {}, {}, {}
+    items, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(x) for x in sets])
     order = np.argsort(items, kind="stable")
     items, owner = items[order], owner[order]
-    label = np.where(open_ == 1, np.arange(len(docs)), len(docs))
+    label = np.where(open_ == 1, np.arange(n), n)
     out = []
     for i in np.flatnonzero(open_ == 1).tolist():
-        a = tokens[i]
-        ok = (label != label[i]) & (docs != docs[i])
+        ok = (label != label[i]) & ((lo != lo[i]) | (hi != lo[i]) | (hi[i] != lo[i]))
         if not same:
             ok &= side != side[i]
         if not ok.any():
             continue
-        low, high = np.searchsorted(items, a), np.searchsorted(items, a, side="right")
+        if i not in own:
+            own[i] = Around(tokens[i], int(at[i]), t)
+        mine = own[i]
+        low, high = np.searchsorted(items, mine.values), np.searchsorted(items, mine.values, side="right")
         many = high - low
         meets = np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-        both = np.zeros((len(docs), len(a)), bool)
-        both[owner[meets], np.repeat(np.arange(len(a)), many)] = True
-        near = np.flatnonzero(ok & (both.sum(axis=1) >= t * similarity))
-        for j in near[alike_around(both[near], int(at[i]), t, similarity)].tolist():
+        ok &= np.bincount(owner[meets], minlength=n) >= mine.least * similarity - 1e-9
+        row = np.cumsum(ok) - 1
+        both = np.zeros((int(ok.sum()), len(many)), bool)
+        kept = ok[owner[meets]]
+        both[row[owner[meets][kept]], np.repeat(np.arange(len(many)), many)[kept]] = True
+        near = alike_around(~(mine.first & ~both[:, mine.where]), int(at[i]), t, similarity)  # one that repeats counts as lacking once
+        few: dict[bytes, bool] = {}
+        for j, shared in zip(np.flatnonzero(ok)[near].tolist(), both[near], strict=True):
             if label[j] == label[i]:
                 continue
-            back = sets[i][np.minimum(np.searchsorted(sets[i], tokens[j]), len(sets[i]) - 1)] == tokens[j]
-            if not alike_around(back[None], int(at[j]), int(t * similarity), similarity)[0]:
+            key = shared.tobytes()
+            if key not in few:
+                lacking = mine.lacking(shared)
+                few[key] = bool((lacking <= ratio * np.arange(len(lacking)) + 1e-9).any())
+            if not few[key]:
+                continue
+            if j not in other:
+                other[j] = Around(tokens[j], int(at[j]), int(np.ceil(t * similarity)))
+            back = np.zeros(len(sets[j]), bool)
+            back[np.searchsorted(sets[j], mine.values[shared])] = True
+            a, b = mine.lacking(shared), other[j].lacking(back)
+            most = min(len(a), len(b))
+            if not (a[:most] + b[:most] <= ratio * np.arange(most) + 1e-9).any():
                 continue
             if j not in sides:
                 sides[j] = Side(tokens[j])
-            if any(s <= at[i] < e and u <= at[j] < v for s, e, u, v, _ in passages(a, sides[j], t, similarity)):
+            if any(s <= at[i] < e and u <= at[j] < v for s, e, u, v, _ in passages(tokens[i], sides[j], t, similarity)):
                 label[label == label[i]] = label[j]
                 out.append((i, j))
     return out
 
 
 def unconnected(place: DataFrame, parts: DataFrame, t: int, similarity: float) -> DataFrame:
-    """(a, x, b, y): links that connect the open places of long lists (listed() rows and their parts) with others of their list, by pairs of blocks."""
-    near = checkpoint(around(parts, t + 1, t, similarity))
-    member = place.select("key", "doc_id", "place", "open").join(near.select("doc_id", "place").distinct(), ["doc_id", "place"])
-    size = member.groupBy("key").agg(F.count("*").alias("c"), F.sum("open").alias("o"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("o > 0 and lo <> hi")
-    own = member.join(size.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "key")
-    own = own.withColumn("own", F.pmod(F.xxhash64("doc_id", "place"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc_id", "place", "open")
+    """(a, x, b, y): links that connect the open places of long lists (listed() rows and their parts) with others of their list, by pairs of blocks.
+
+    Places with the same words around them are compared once. Different texts among them are
+    alike(); what one is linked with, the others are held against too.
+    """
+    near = checkpoint(around(parts, t + 1, t, similarity).withColumn("form", F.xxhash64("at", "words")))
+    member = checkpoint(place.select("key", "doc_id", "place", "open").join(near.select("doc_id", "place", "form").distinct(), ["doc_id", "place"]))
+    spot = F.struct("doc_id", "place")
+    form = member.groupBy("key", "form").agg(F.max("open").alias("open"), F.min(spot).alias("lo"), F.max(spot).alias("hi"))
+    size = form.groupBy("key").agg(F.count("*").alias("c"), F.sum("open").alias("o"), F.min("lo.doc_id").alias("lo"), F.max("hi.doc_id").alias("hi")).where("o > 0 and c > 1 and lo <> hi")
+    own = form.join(size.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "key")
+    own = own.withColumn("own", F.pmod("form", F.col("blocks").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spots = [F.col(f"{k}.doc_id").alias(f"{k}_id") for k in ("lo", "hi")] + [F.col(f"{k}.place").alias(f"{k}_at") for k in ("lo", "hi")]
+    dealt = own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "form", "open", *spots)
     # little data and much work: in a fixed number of tasks, which are not merged by their size
-    full = dealt.join(near, ["doc_id", "place"]).repartition(tasks(place.sparkSession, 4), "key", "i", "j")
+    full = dealt.join(near.groupBy("form").agg(F.min(F.struct("at", "words")).alias("w")).select("form", "w.*"), "form").repartition(tasks(place.sparkSession, 4), "key", "i", "j")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("place", "ascending"), ("words", "ascending")])
-        docs, at, place, open_, side = (table.column(c).to_numpy() for c in ("doc_id", "at", "place", "open", "side"))
-        got = block_links(docs, at, open_, side, _shingled(table.column("words").to_pylist()), key[1].as_py() == key[2].as_py(), t, similarity)
+        table = table.sort_by([("lo_id", "ascending"), ("lo_at", "ascending"), ("form", "ascending")])
+        form, lo, hi, x, y, at, open_, side = (table.column(c).to_numpy() for c in ("form", "lo_id", "hi_id", "lo_at", "hi_at", "at", "open", "side"))
+        got = block_links(lo, hi, at, open_, side, _shingled(table.column("words").to_pylist()), key[1].as_py() == key[2].as_py(), t, similarity)
         i, j = np.array(got, np.int64).reshape(-1, 2).T
-        return pa.table({"a": docs[i], "x": place[i].astype(np.int32), "b": docs[j], "y": place[j].astype(np.int32)})
-
-    return full.groupBy("key", "i", "j").applyInArrow(compare, "a long, x int, b long, y int")
+        # the first text of both, or the last of one whose first is that of the other
+        last = lo[i] == lo[j]
+        a_last, b_last = last & (hi[j] == lo[i]), last & (hi[j] != lo[i])
+        a, b = np.where(a_last, hi[i], lo[i]), np.where(b_last, hi[j], lo[j])
+        x, y = np.where(a_last, y[i], x[i]), np.where(b_last, y[j], x[j])
+        return pa.table({"key": pa.array([key[0].as_py()] * len(i), pa.int64()), "one": form[i], "a": a, "x": x.astype(np.int32), "two": form[j], "b": b, "y": y.astype(np.int32)})
+
+    found = checkpoint(full.groupBy("key", "i", "j").applyInArrow(compare, "key long, one long, a long, x int, two long, b long, y int"))
+    sides = found.selectExpr("key", "one as form", "struct(b, y) as other").union(found.selectExpr("key", "two as form", "struct(a as b, x as y) as other"))
+    rest = member.where("open = 1").join(sides.groupBy("key", "form").agg(F.min("other").alias("other")), ["key", "form"])
+    return found.select("a", "x", "b", "y").union(rest.where("doc_id <> other.b").select(F.col("doc_id").alias("a"), F.col("place").alias("x"), "other.b", "other.y"))
 
 
 def first_texts(texts: DataFrame, classes: DataFrame, same: DataFrame) -> DataFrame:
