@@ -201,6 +201,37 @@ def test_passages_of_long_lists_are_connected(spark, prose, monkeypatch, block):
     assert len(links) > 500 and not lost, (len(links), len(lost))
 
 
+def test_surroundings_of_repeated_words_are_compared_as_sets(monkeypatch):
+    """A run of one word is one shingle: texts that share it alone are not verified. Others are connected as trying all pairs has it."""
+    rng, t = np.random.default_rng(3), 46
+    verify, calls = windows.passages, []
+    monkeypatch.setattr(windows, "passages", lambda *x: calls.append(1) or verify(*x))
+
+    def links(words, at, ids):
+        tokens = windows._shingled([np.array(w, np.uint32).tobytes() for w in words])
+        ones, ids = np.ones(len(at), int), np.array(ids)
+        return tokens, windows.block_links(ids, ids, np.array(at), ones, 0 * ones, tokens, True, t, 0.8)
+
+    runs = [[k] * 25 + [1] * 45 + [k + 1] * 25 for k in range(10, 130, 2)]
+    assert links(runs, [47] * 60, range(60))[1] == [] and not calls
+    words, at = [], []
+    for _ in range(70):  # runs and repeated lines, edited
+        line = [rng.permutation(np.arange(2, 2 + n)) for n in (9, 23)][rng.integers(2)] if rng.random() < 0.2 else np.arange(2, 2 + 11 * rng.integers(1, 4))
+        w = np.concatenate((rng.integers(100, 1 << 30, rng.integers(0, 30)), np.repeat(1, rng.integers(0, 30)), np.tile(line, 9)))[:99]
+        w[rng.integers(0, len(w), rng.integers(0, 3))] = rng.integers(100, 1 << 30)
+        words.append(w)
+        at.append(int(rng.integers(20, min(60, len(w) - 5))))
+    ids = rng.integers(0, 30, 70)
+    tokens, got = links(words, at, ids)
+    top = list(range(70))
+    for i, j in got:
+        assert ids[i] != ids[j]
+        top = [top[j] if x == top[i] else x for x in top]
+    want = [(i, j) for i in range(70) for j in range(70) if ids[i] != ids[j] and any(s <= at[i] < e and u <= at[j] < v for s, e, u, v, _ in verify(tokens[i], windows.Side(tokens[j]), t, 0.8))]
+    assert len(want) > 100 and all(top[i] == top[j] for i, j in want)
+    assert all(x in want for x in got)
+
+
 def test_redaction_takes_one_python_worker_of_a_task(spark, documents):
     """Scanning and cutting in two functions held two workers, with the text in both."""
     plan = secrets.redact(documents)._jdf.queryExecution().executedPlan().toString()
