@@ -41,7 +41,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattix.llm.common import bloom_of_ids, checkpoint, chunks, may_hold, mix, parts as tasks, powers, shingle_hashes, shingles_of, span_hashes, word_sequences, word_spans
@@ -53,7 +53,7 @@ FUNCTIONS = 2
 SPAN = 20
 FEW = 32
 #: Places of a long list that are held against as many others in one group.
-BLOCK = 500
+BLOCK = 1000
 SLICE = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 _SEED = [np.uint64(0xA0761D6478BD642F * (2 * k + 1) & (2**64 - 1)) for k in range(FUNCTIONS)]
@@ -170,6 +170,20 @@ def stretches(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(a)))
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """The values of a in order, each once; for few of them, sorting takes a tenth of the time of numpy's hashing."""
+    a = np.sort(a)
+    new = np.ones(len(a), bool)
+    np.not_equal(a[1:], a[:-1], out=new[1:])
+    return a[new]
+
+
+def holds(values: np.ndarray, x: np.uint64) -> bool:
+    """Whether x is among values, which are in order."""
+    k = values.searchsorted(x)
+    return bool(k < len(values) and values[k] == x)
+
+
 class Side:
     """A text as partner: its shingles in order of value."""
 
@@ -177,6 +191,15 @@ class Side:
         self.b = b
         self.ranked = np.sort(b)
 
+    @cached_property
+    def once(self) -> bool:
+        """Whether no shingle repeats."""
+        return bool((self.ranked[1:] != self.ranked[:-1]).all())
+
+    @cached_property
+    def order(self) -> np.ndarray:
+        return np.argsort(self.b)
+
     @cached_property
     def laid_out(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First place, length and shingle of its stretches, in order of the shingle."""
@@ -202,6 +225,13 @@ def runs_of(a: np.ndarray, other: Side) -> tuple[np.ndarray, np.ndarray, np.ndar
 
     Stretches of one repeated shingle are laid beginning on beginning and end on end only.
     """
+    if other.once:  # a shingle of a has one place in b or none
+        k = np.minimum(other.ranked.searchsorted(a), len(other.ranked) - 1)
+        p = np.flatnonzero(other.ranked[k] == a)
+        q = other.order[k[p]]
+        head = np.flatnonzero(np.concatenate(([True], (q[1:] != q[:-1] + 1) | (p[1:] != p[:-1] + 1)))[: len(p)])
+        tail = np.append(head[1:], len(p)) - 1 if len(p) else head
+        return p[head], p[tail] + 1, q[head]
     first, size = stretches(a)
     of_first, of_size, values = other.laid_out
     low, high = np.searchsorted(values, a[first]), np.searchsorted(values, a[first], side="right")
@@ -222,8 +252,8 @@ def runs_of(a: np.ndarray, other: Side) -> tuple[np.ndarray, np.ndarray, np.ndar
     return start[by], end[by], place[by]
 
 
-def laid(a: np.ndarray, other: Side, t: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(places in a, places in b) of chains of runs along diagonals, the longest first.
+def laid(a: np.ndarray, other: Side, t: int, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places in a, places in b) of chains of runs along diagonals, of ``least`` places or more, the longest first.
 
     A run follows the one before that makes the longest chain with it: at most t // 2 behind, and
     on a diagonal that is at most 3 * WIDTH off. A run is in one chain.
@@ -257,7 +287,7 @@ def laid(a: np.ndarray, other: Side, t: int) -> list[tuple[np.ndarray, np.ndarra
     before[:] = back
     used = np.zeros(len(start), bool)
     chains_ = []
-    for k in np.argsort(-best, kind="stable").tolist():
+    for k in np.argsort(-best, kind="stable")[: int((best >= least).sum())].tolist():
         links = []
         while k >= 0 and not used[k]:
             used[k] = True
@@ -274,28 +304,27 @@ def laid(a: np.ndarray, other: Side, t: int) -> list[tuple[np.ndarray, np.ndarra
     return chains_
 
 
-def grown(a: np.ndarray, lo: int, hi: int, own: set[int]) -> tuple[int, int]:
-    """The stretch lo to hi of a as far as only its own shingles follow on either side."""
-    while hi < len(a) and int(a[hi]) in own:
+def grown(a: np.ndarray, lo: int, hi: int, own: np.ndarray) -> tuple[int, int]:
+    """The stretch lo to hi of a as far as only its own shingles (in order) follow on either side."""
+    while hi < len(a) and holds(own, a[hi]):
         hi += 1
-    while lo and int(a[lo - 1]) in own:
+    while lo and holds(own, a[lo - 1]):
         lo -= 1
     return lo, hi
 
 
-def facing(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, lo: int, hi: int) -> tuple[set[int], tuple[int, int], set[int], float]:
-    """(shingles of a[lo:hi], the stretch of b that the chain (p, q) sets against it, its shingles, their similarity)."""
-    i, j = np.searchsorted(p, (lo, hi))
+def facing(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, tuple[int, int], np.ndarray, float]:
+    """(shingles of a[lo:hi], the stretch of b that the chain (p, q) sets against it, its shingles, their similarity); shingles are in order."""
+    i, j = p.searchsorted((lo, hi))
     u, v = int(q[i:j].min()), int(q[i:j].max()) + 1
-    one = np.unique(a[lo:hi])
-    own = set(one.tolist())
-    while v - u < hi - lo and v < len(b) and int(b[v]) in own:  # shingles that b repeats: on as far as they go
+    one = distinct(a[lo:hi])
+    while v - u < hi - lo and v < len(b) and holds(one, b[v]):  # shingles that b repeats: on as far as they go
         v += 1
-    while v - u < hi - lo and u and int(b[u - 1]) in own:
+    while v - u < hi - lo and u and holds(one, b[u - 1]):
         u -= 1
-    two = np.unique(b[u:v])
-    both = len(np.intersect1d(one, two, assume_unique=True))
-    return own, (u, v), set(two.tolist()), both / (len(one) + len(two) - both)
+    two = distinct(b[u:v])
+    all_ = len(distinct(np.concatenate((one, two))))
+    return one, (u, v), two, (len(one) + len(two) - all_) / all_
 
 
 def densest(p: np.ndarray, q: np.ndarray, x: int, y: int, size: int) -> int | None:
@@ -308,6 +337,42 @@ def densest(p: np.ndarray, q: np.ndarray, x: int, y: int, size: int) -> int | No
     return int(w[((j - i) / (size + q[j - 1] - q[i] + 1 - (j - i))).argmax()])
 
 
+def shares_of(similarity: float) -> list[float]:
+    """The shares of shared shingles at which passages() looks for stretches, one after the other."""
+    return [2 * similarity / (1 + similarity), 0.5 + similarity / (1 + similarity), 1 - 1e-9]
+
+
+def may_share(ones: list[np.ndarray], others: list[np.ndarray], t: int, similarity: float) -> np.ndarray:
+    """Whether passages() can give something, for many pairs of texts at once: a stretch of t or more that is in the other text to the first share."""
+    n, m = ([len(x) for x in y] for y in (ones, others))
+    if not sum(n) or not sum(m):
+        return np.zeros(len(ones), bool)
+    pair = mix(np.arange(1, len(ones) + 1).astype(np.uint64))  # sums with it are told apart by pair; a clash only lets one through
+    a, b = np.concatenate(ones) + np.repeat(pair, n), np.sort(np.concatenate(others) + np.repeat(pair, m))
+    order = np.argsort(a)
+    at = np.empty(len(a), np.int64)
+    at[order] = b.searchsorted(a[order])  # in order, as places near by are read then
+    same = b[np.minimum(at, len(b) - 1)] == a
+    ends = np.cumsum(n)
+    of = np.repeat(np.arange(len(n)), n)
+    s = np.concatenate(([0.0], np.cumsum(same - shares_of(similarity)[0])))
+    # a pair's sums lie below those of the pairs before, so that the least so far is the pair's own; a stretch lies between shared places
+    s = np.concatenate((s[:-1] - of * (2.0 * max(n) + 2), s[1:] - of * (2.0 * max(n) + 2)))
+    start, end = s[: len(a)], s[len(a) :]
+    level = np.concatenate(([0.0], end + of * (2.0 * max(n) + 2)))[ends - n]
+    start, end = start - level[of], end - level[of]
+    shared = np.flatnonzero(same)
+    some = np.flatnonzero(np.bincount(of[shared], minlength=len(n)))
+    first, last = np.full(len(n), len(a)), np.full(len(n), -1)
+    first[some], last[some] = shared[shared.searchsorted((ends - n)[some])], shared[shared.searchsorted(ends[some]) - 1]
+    at = np.arange(len(a))
+    low = np.minimum.accumulate(np.where(at >= first[of], start, np.inf))
+    ok = np.flatnonzero((end[t - 1 :] >= low[: len(a) - t + 1] - 1e-6) & (at[t - 1 :] <= last[of[t - 1 :]]) & (of[t - 1 :] == of[: len(a) - t + 1])) + t - 1
+    out = np.zeros(len(n), bool)
+    out[of[ok]] = True
+    return out
+
+
 def passages(a: np.ndarray, other: Side, t: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
     """(start, end, start in b, end in b, similarity) of passages of t shingles or more that a and b have in common.
 
@@ -315,12 +380,12 @@ def passages(a: np.ndarray, other: Side, t: int, similarity: float) -> list[tupl
     shingles on both sides have the similarity. Of passages that others cover on both sides one is given.
     """
     b, ranked = other.b, other.ranked
-    shares = [2 * similarity / (1 + similarity), 0.5 + similarity / (1 + similarity), 1 - 1e-9]
+    shares = shares_of(similarity)
     out: list[tuple[int, int, int, int, float]] = []
-    if min(len(a), len(b)) < t * similarity or (ranked[np.minimum(np.searchsorted(ranked, a), len(b) - 1)] == a).sum() < t * shares[0] - 1:
+    if min(len(a), len(b)) < t * similarity or (ranked[np.minimum(ranked.searchsorted(a), len(b) - 1)] == a).sum() < t * shares[0] - 1:
         return out
     seen = np.zeros(len(a), bool), np.zeros(len(b), bool)
-    for p, q in laid(a, other, t):
+    for p, q in laid(a, other, t, t * shares[0] - 1):
         if seen[0][p].all() and seen[1][q].all():
             continue
         todo = [(int(p[0]), int(p[-1]) + 1, 0)]
@@ -329,8 +394,8 @@ def passages(a: np.ndarray, other: Side, t: int, similarity: float) -> list[tupl
             if y - x < t:
                 continue
             same = np.zeros(y - x)
-            inner = (p >= x) & (p < y)
-            same[p[inner] - x] = 1
+            i, j = p.searchsorted((x, y))
+            same[p[i:j] - x] = 1
             s, e = longest(same, shares[level])
             if e - s < t:
                 continue
@@ -353,10 +418,34 @@ def passages(a: np.ndarray, other: Side, t: int, similarity: float) -> list[tupl
     return out
 
 
+def in_lists(posts: DataFrame) -> DataFrame:
+    """The rows (key, ...) whose key another row has: most keys have one, and are dropped as they pass by in order."""
+
+    def rows(batches):
+        last, kept = None, False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if last is not None:
+                b = pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
+            key = b.column("key").to_numpy()
+            keep = np.zeros(len(key), bool)
+            keep[1:] = key[1:] == key[:-1]
+            keep[:-1] |= keep[1:]
+            keep[0] |= kept
+            last, kept, keep[-1] = b.slice(len(key) - 1), bool(keep[-1]), False  # whose key the next batch may have
+            yield b.filter(pa.array(keep))
+        if kept:
+            yield last
+
+    return posts.repartition("key").sortWithinPartitions("key").mapInArrow(rows, posts.schema)
+
+
 def listed(place: DataFrame) -> DataFrame:
     """place (key, doc_id, place, open) with c, lo and hi of its list: places, smallest and largest id; of lists with several texts and an open place."""
-    stat = place.groupBy("key").agg(F.count("*").alias("c"), F.sum("open").alias("o"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("o > 0 and lo <> hi")
-    return checkpoint(place.join(checkpoint(stat.drop("o")), "key"))
+    own = Window.partitionBy("key")
+    stat = [F.count("*").over(own).alias("c"), F.max("open").over(own).alias("o"), F.min("doc_id").over(own).alias("lo"), F.max("doc_id").over(own).alias("hi")]
+    return checkpoint(place.select("*", *stat).where("o > 0 and lo <> hi").drop("o"))
 
 
 def leads(hit: DataFrame) -> DataFrame:
@@ -404,13 +493,15 @@ def verified(pairs: DataFrame, items: DataFrame, t: int, similarity: float) -> D
                 part = batch.slice(i, 256)
                 sides = [part.column(c).to_pylist() for c in ("xs", "ys")]
                 tokens = iter(_shingled([t for x, y in zip(*sides, strict=True) for t in (*x, *y)]))
-                for a, b, x0, y0, xs, ys in zip(*(part.column(c).to_pylist() for c in ("a", "b", "x0", "y0")), *sides, strict=True):
+                todo = []
+                for pair, xs, ys in zip(zip(*(part.column(c).to_pylist() for c in ("a", "b", "x0", "y0")), strict=True), *sides, strict=True):
                     own = [next(tokens) for _ in xs]
-                    for other in [Side(next(tokens)) for _ in ys]:
-                        for x in own:
-                            for s, e, u, v, alike in passages(x, other, t, similarity):
-                                p, q = (s + x0, e - s + extra), (u + y0, v - u + extra)
-                                out += [(a, *p, b, *q, alike), (b, *q, a, *p, alike)]
+                    todo += [(pair, x, y) for y in [next(tokens) for _ in ys] for x in own]
+                may = may_share([x for _, x, _ in todo], [y for *_, y in todo], t, similarity)
+                for (a, b, x0, y0), x, y in (todo[k] for k in np.flatnonzero(may).tolist()):
+                    for s, e, u, v, alike in passages(x, Side(y), t, similarity):
+                        p, q = (s + x0, e - s + extra), (u + y0, v - u + extra)
+                        out += [(a, *p, b, *q, alike), (b, *q, a, *p, alike)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.float64() if n == "similarity" else pa.int64()) for k, n in enumerate(names)], names)
 
     return checkpoint(both.mapInArrow(rows, PASSAGE))
@@ -580,26 +671,23 @@ def around(parts: DataFrame, reach: int, t: int, similarity: float) -> DataFrame
 
 
 class Around:
-    """The stretches of ``t`` shingles or more of a text that hold a place, as sets."""
-
-    def __init__(self, tokens: np.ndarray, place: int, t: int) -> None:
-        n = len(tokens)
-        self.values, first, self.where = np.unique(tokens, return_index=True, return_inverse=True)
-        self.first = np.zeros(n, bool)
-        self.first[first] = True
-        before, order = np.full(n, -1), np.argsort(tokens, kind="stable")
-        again = tokens[order[1:]] == tokens[order[:-1]]
+    """The stretches of ``t`` shingles or more of a text that hold a place, as sets; where: the shingles by numbers from 0."""
+
+    def __init__(self, where: np.ndarray, place: int, t: int) -> None:
+        n = len(where)
+        self.where = where
+        before, order = np.full(n, -1), np.argsort(where, kind="stable")
+        again = where[order[1:]] == where[order[:-1]]
         before[order[1:][again]] = order[:-1][again]
         start, at = np.arange(min(place, n - t) + 1)[:, None], np.arange(n)
         #: For each start, where a shingle is the first of its kind; a stretch may end with ``ends``.
         self.new = (at >= start) & (before < start)
         self.ends = np.flatnonzero(at + 1 >= np.maximum(start + t, place + 1))
         self.size = np.cumsum(self.new, axis=1, dtype=np.int16).ravel()[self.ends]
-        self.least = int(self.size.min(initial=n + 1))
         self.known: dict[bytes, np.ndarray] = {}
 
     def lacking(self, shared: np.ndarray) -> np.ndarray:
-        """For each number of shared shingles (shared: which of ``values`` are) the fewest others of a stretch that has as many or more."""
+        """For each number of shared shingles (shared: which they are) the fewest others of a stretch that has as many or more."""
         key = shared.tobytes()
         if key not in self.known:
             both = np.cumsum(self.new & shared[self.where], axis=1, dtype=np.int16).ravel()[self.ends]
@@ -609,71 +697,131 @@ class Around:
         return self.known[key]
 
 
-def block_links(lo: np.ndarray, hi: np.ndarray, at: np.ndarray, open_: np.ndarray, side: np.ndarray, tokens: list[np.ndarray], same: bool, t: int, similarity: float) -> list[tuple[int, int]]:
-    """(i, j): links that connect the surroundings of places of a block pair, i open; with same, both blocks are one.
+class Block:
+    """Texts of a block pair by the shingles that they have: which others may share a passage with one."""
+
+    def __init__(self, tokens: list[np.ndarray], share: float, t: int) -> None:
+        n, self.t, self.share = len(tokens), t, share
+        sizes = [len(x) for x in tokens]
+        values, where = np.unique(np.concatenate(tokens), return_inverse=True)
+        owned, first, where, self.times = np.unique(np.repeat(np.arange(n), sizes) * len(values) + where, return_index=True, return_inverse=True, return_counts=True)
+        #: Each shingle of a text once, in order, by text; and by shingle the texts that have it.
+        self.own, self.of = owned % len(values), np.concatenate(([0], np.cumsum(np.bincount(owned // len(values), minlength=n))))
+        self.owners = (owned // len(values))[np.argsort(self.own, kind="stable")]
+        self.many = np.bincount(self.own, minlength=len(values))
+        self.at = np.cumsum(self.many) - self.many
+        self.common = self.many > max(16, n // 16)
+        self.column = np.full(len(values), -1)
+        #: Of each text, which of its shingles are at its places, and where each is first.
+        ends = np.cumsum(sizes)
+        self.where = [x - k for x, k in zip(np.split(where, ends[:-1]), self.of[:-1], strict=True)]
+        self.first = [x - k for x, k in zip(np.split(first, self.of[1:-1]), ends - sizes, strict=True)]
+
+    def lacking(self, same: np.ndarray, ends: bool = True) -> np.ndarray:
+        """Of each row, how many more places would have to be true, so that a stretch of t or more is to the share; with ends, one between places that are true."""
+        n, t = same.shape[1], self.t
+        if n < t:
+            return np.full(len(same), np.inf)
+        s = np.zeros((len(same), n + 1))
+        np.cumsum(self.share - same, axis=1, out=s[:, 1:])
+        start, end = s[:, : n + 1 - t], s[:, t:]
+        if ends:
+            at = np.arange(n + 1)
+            start = np.where(at[: n + 1 - t] >= same.argmax(axis=1)[:, None], start, -np.inf)
+            end = np.where(at[t:] <= n - same[:, ::-1].argmax(axis=1)[:, None], end, np.inf)
+        return (end - np.maximum.accumulate(start, axis=1)).min(axis=1, initial=np.inf)
+
+    def met(self, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(texts, their kinds, which shingles of text i a kind has, which of a text's i has) of those of others that i has a stretch of as passages() needs it.
+
+        Shingles that many have, as those of the line that all do, are no news of each other: a
+        passage needs more than the stretch has of them, and as many of the others are looked for.
+        """
+        mine = slice(self.of[i], self.of[i + 1])
+        asked, times, where = self.own[mine], self.times[mine], self.where[i]
+        need = float(self.lacking(self.common[asked][where][None], False)[0])
+        rare, need = (~self.common[asked], need) if need > 1e-6 else (slice(None), self.share * self.t)
+        seek, times = asked[rare], times[rare]
+        many = self.many[seek]
+        meets = self.owners[np.repeat(self.at[seek] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        found = np.flatnonzero((np.bincount(meets, np.repeat(times, many), len(self.where)) >= need - 1e-6) & others)
+        size = self.of[found + 1] - self.of[found]
+        start = np.cumsum(size) - size
+        self.column[asked] = np.arange(len(asked))
+        column = self.column[self.own[np.repeat(self.of[found] - start, size) + np.arange(size.sum())]]
+        self.column[asked] = -1
+        has = column >= 0
+        both = np.zeros((len(found), len(asked)), bool)
+        both[np.repeat(np.arange(len(found)), size)[has], column[has]] = True
+        packed = np.packbits(both, axis=1)  # many have the same of its shingles
+        _, first, kind = np.unique(packed.view(f"S{packed.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        kinds = both[first]
+        ok = np.flatnonzero((self.lacking(kinds[:, where]) <= 1e-6)[kind])
+        return found[ok], kind[ok], kinds, [has[x : x + n] for x, n in zip(start[ok].tolist(), size[ok].tolist(), strict=True)]
+
+
+def block_links(lo: np.ndarray, hi: np.ndarray, at: np.ndarray, open_: np.ndarray, side: np.ndarray, tokens: list[np.ndarray], same: bool, t: int, similarity: float, given: list | None = None) -> list[tuple[int, int]]:
+    """(i, j): links that connect the surroundings of places of a block pair, i open; with same, both blocks are one. ``given`` gets their passages.
 
     Texts lo to hi have the same surroundings of a place, which is ``at`` in them. Places that are
     not open are connected by the first text of the list. A link is a passage that holds both
-    places. Its sets of shingles have the similarity, so the shingles that its two stretches lack
-    are few for those that are shared; a pair without such stretches is not looked at further.
+    places. passages() looks for them from stretches of i that are in j to its first share, so pairs
+    without one are not looked at. Its sets of shingles have the similarity, so in texts that repeat
+    shingles those that its two stretches lack are few for those that are shared; a pair without
+    such stretches is not looked at further.
     """
-    n, ratio = len(lo), (1 - similarity) / similarity
-    sets, sides, own, other = [np.unique(x) for x in tokens], {}, {}, {}
-    items, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(x) for x in sets])
-    order = np.argsort(items, kind="stable")
-    items, owner = items[order], owner[order]
+    n = len(lo)
+    most = (1 - similarity) / similarity * np.arange(max(map(len, tokens), default=0) + 2) + 1e-9  # others to so many shared ones
+    sides, other = {}, {}
+    block = Block(tokens, shares_of(similarity)[0], t)
     label = np.where(open_ == 1, np.arange(n), n)
     out = []
     for i in np.flatnonzero(open_ == 1).tolist():
-        ok = (label != label[i]) & ((lo != lo[i]) | (hi != lo[i]) | (hi[i] != lo[i]))
+        others = (label != label[i]) & ((lo != lo[i]) | (hi != lo[i]) | (hi[i] != lo[i]))
         if not same:
-            ok &= side != side[i]
-        if not ok.any():
+            others &= side != side[i]
+        met, kind, kinds, back = block.met(i, others)
+        if not len(met):
             continue
-        if i not in own:
-            own[i] = Around(tokens[i], int(at[i]), t)
-        mine = own[i]
-        low, high = np.searchsorted(items, mine.values), np.searchsorted(items, mine.values, side="right")
-        many = high - low
-        meets = np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-        ok &= np.bincount(owner[meets], minlength=n) >= mine.least * similarity - 1e-9
-        row = np.cumsum(ok) - 1
-        both = np.zeros((int(ok.sum()), len(many)), bool)
-        kept = ok[owner[meets]]
-        both[row[owner[meets][kept]], np.repeat(np.arange(len(many)), many)[kept]] = True
-        near = alike_around(~(mine.first & ~both[:, mine.where]), int(at[i]), t, similarity)  # one that repeats counts as lacking once
-        few: dict[bytes, bool] = {}
-        for j, shared in zip(np.flatnonzero(ok)[near].tolist(), both[near], strict=True):
+        lone = np.zeros(len(tokens[i]), bool)
+        lone[block.first[i]] = True
+        ok = alike_around(~(lone & ~kinds[:, block.where[i]]), int(at[i]), t, similarity)  # one that repeats counts as lacking once
+        few: dict[int, np.ndarray] = {}
+        if kinds.shape[1] < len(tokens[i]):
+            mine = Around(block.where[i], int(at[i]), t)
+            for k in np.flatnonzero(np.bincount(kind, minlength=len(kinds)) * ok).tolist():
+                few[k] = mine.lacking(kinds[k])
+                ok[k] = (few[k] <= most[: len(few[k])]).any()
+        ok = ok[kind]
+        for k in np.flatnonzero(ok).tolist():
+            j = int(met[k])
             if label[j] == label[i]:
                 continue
-            key = shared.tobytes()
-            if key not in few:
-                lacking = mine.lacking(shared)
-                few[key] = bool((lacking <= ratio * np.arange(len(lacking)) + 1e-9).any())
-            if not few[key]:
-                continue
-            if j not in other:
-                other[j] = Around(tokens[j], int(at[j]), int(np.ceil(t * similarity)))
-            back = np.zeros(len(sets[j]), bool)
-            back[np.searchsorted(sets[j], mine.values[shared])] = True
-            a, b = mine.lacking(shared), other[j].lacking(back)
-            most = min(len(a), len(b))
-            if not (a[:most] + b[:most] <= ratio * np.arange(most) + 1e-9).any():
-                continue
+            if few:
+                if j not in other:
+                    other[j] = Around(block.where[j], int(at[j]), int(np.ceil(t * similarity)))
+                a, b = few[int(kind[k])], other[j].lacking(back[k])
+                m = min(len(a), len(b))
+                if not (a[:m] + b[:m] <= most[:m]).any():
+                    continue
             if j not in sides:
                 sides[j] = Side(tokens[j])
-            if any(s <= at[i] < e and u <= at[j] < v for s, e, u, v, _ in passages(tokens[i], sides[j], t, similarity)):
+            held = next((x for x in passages(tokens[i], sides[j], t, similarity) if x[0] <= at[i] < x[1] and x[2] <= at[j] < x[3]), None)
+            if held:
                 label[label == label[i]] = label[j]
                 out.append((i, j))
+                if given is not None:
+                    given.append(held)
     return out
 
 
 def unconnected(place: DataFrame, parts: DataFrame, t: int, similarity: float) -> DataFrame:
-    """(a, x, b, y): links that connect the open places of long lists (listed() rows and their parts) with others of their list, by pairs of blocks.
+    """(a, x, b, y, PASSAGE): links that connect the open places of long lists (listed() rows and their parts) with others of their list, by pairs of blocks.
 
     Places with the same words around them are compared once. Different texts among them are
-    alike(); what one is linked with, the others are held against too.
+    alike(); what one is linked with, the others are held against too. The passage is that of the words around both places.
     """
+    link = "a long, x int, b long, y int, s int, m int, u int, w int, similarity double"  # begins of the passage, from the places, and words
     near = checkpoint(around(parts, t + 1, t, similarity).withColumn("form", F.xxhash64("at", "words")))
     member = checkpoint(place.select("key", "doc_id", "place", "open").join(near.select("doc_id", "place", "form").distinct(), ["doc_id", "place"]))
     spot = F.struct("doc_id", "place")
@@ -689,19 +837,36 @@ def unconnected(place: DataFrame, parts: DataFrame, t: int, similarity: float) -
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("lo_id", "ascending"), ("lo_at", "ascending"), ("form", "ascending")])
         form, lo, hi, x, y, at, open_, side = (table.column(c).to_numpy() for c in ("form", "lo_id", "hi_id", "lo_at", "hi_at", "at", "open", "side"))
-        got = block_links(lo, hi, at, open_, side, _shingled(table.column("words").to_pylist()), key[1].as_py() == key[2].as_py(), t, similarity)
+        given: list[tuple] = []
+        got = block_links(lo, hi, at, open_, side, _shingled(table.column("words").to_pylist()), key[1].as_py() == key[2].as_py(), t, similarity, given)
         i, j = np.array(got, np.int64).reshape(-1, 2).T
+        s, e, u, v, similar = np.array(given).reshape(-1, 5).T
         # the first text of both, or the last of one whose first is that of the other
         last = lo[i] == lo[j]
         a_last, b_last = last & (hi[j] == lo[i]), last & (hi[j] != lo[i])
         a, b = np.where(a_last, hi[i], lo[i]), np.where(b_last, hi[j], lo[j])
         x, y = np.where(a_last, y[i], x[i]), np.where(b_last, y[j], x[j])
-        return pa.table({"key": pa.array([key[0].as_py()] * len(i), pa.int64()), "one": form[i], "a": a, "x": x.astype(np.int32), "two": form[j], "b": b, "y": y.astype(np.int32)})
-
-    found = checkpoint(full.groupBy("key", "i", "j").applyInArrow(compare, "key long, one long, a long, x int, two long, b long, y int"))
-    sides = found.selectExpr("key", "one as form", "struct(b, y) as other").union(found.selectExpr("key", "two as form", "struct(a as b, x as y) as other"))
+        ints = {"x": x, "y": y, "s": s - at[i], "m": e - s + (WIDTH - 1), "u": u - at[j], "w": v - u + (WIDTH - 1)}
+        columns = {"key": pa.array([key[0].as_py()] * len(i), pa.int64()), "one": form[i], "two": form[j], "a": a, "b": b, "similarity": similar} | {k: x.astype(np.int32) for k, x in ints.items()}
+        return pa.table(columns).select([f.split()[0] for f in f"key long, one long, two long, {link}".split(", ")])
+
+    found = checkpoint(full.groupBy("key", "i", "j").applyInArrow(compare, f"key long, one long, two long, {link}"))
+    sides = found.selectExpr("key", "one as form", "struct(b, y, s, m, u, w, similarity) as other").union(
+        found.selectExpr("key", "two as form", "struct(a as b, x as y, u as s, w as m, s as u, m as w, similarity) as other")
+    )
     rest = member.where("open = 1").join(sides.groupBy("key", "form").agg(F.min("other").alias("other")), ["key", "form"])
-    return found.select("a", "x", "b", "y").union(rest.where("doc_id <> other.b").select(F.col("doc_id").alias("a"), F.col("place").alias("x"), "other.b", "other.y"))
+    rest = rest.where("doc_id <> other.b").select(F.col("doc_id").alias("a"), F.col("place").alias("x"), "other.*")
+    passage = ["a as doc_id", "cast(x + s as long) as start", "cast(m as long) as words", "b as other_id", "cast(y + u as long) as other_start", "cast(w as long) as other_words", "similarity"]
+    return checkpoint(found.drop("key", "one", "two").unionByName(rest).selectExpr("a", "x", "b", "y", *passage))
+
+
+def left_out(links: DataFrame, found: DataFrame) -> DataFrame:
+    """The passages of unconnected() links, seen from both documents, whose texts have none together among those found.
+
+    In the hull of all that two texts share, passages() may lay out repeated words in another way than around one place.
+    """
+    lost = links.join(found.selectExpr("doc_id as a", "other_id as b"), ["a", "b"], "left_anti").select(*(f.split()[0] for f in PASSAGE.split(", ")))
+    return lost.union(lost.select("other_id", "other_start", "other_words", "doc_id", "start", "words", "similarity"))
 
 
 def first_texts(texts: DataFrame, classes: DataFrame, same: DataFrame) -> DataFrame:
@@ -737,7 +902,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, similarity: float = S
     whole = copies.distinct().select("doc_id", zero.alias("start"), all_.alias("words"), F.col("other").alias("other_id"), zero.alias("other_start"), all_.alias("other_words"), F.lit(1.0).alias("similarity"))
 
     post = first_texts(texts, classes, same).select("doc_id", F.explode(F.arrays_zip("keys", "places")).alias("k")).select(F.col("k.keys").alias("key"), "doc_id", F.col("k.places").alias("place"), F.lit(1).alias("open"))
-    member = listed(post)
+    member = listed(in_lists(post))
     items = word_sequences(docs, member.select("doc_id"), WIDTH)
     lead = leads(member)
     first = verified(led(member, lead), items, t, similarity)
@@ -745,6 +910,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, similarity: float = S
     place = listed(marked(member, lead, first))
     many = place.where(F.col("c") > FEW)
     parts = checkpoint(in_company(checkpoint(cut_out(many, items, t + 1))))
-    others = partners(place, FEW).union(alike(parts, words)).union(unconnected(many, parts, t, similarity))
+    links = unconnected(many, parts, t, similarity)
+    others = partners(place, FEW).union(alike(parts, words)).union(links.select("a", "x", "b", "y"))
     second = verified(others, items, t, similarity)
-    return first.union(second).union(whole).distinct()
+    return first.union(second).union(left_out(links, second)).union(whole).distinct()

@@ -4,6 +4,7 @@ import hashlib
 import random
 import time
 
+import brute
 import corpus_pipeline
 import numpy as np
 import pytest
@@ -236,3 +237,58 @@ def test_redaction_takes_one_python_worker_of_a_task(spark, documents):
     """Scanning and cutting in two functions held two workers, with the text in both."""
     plan = secrets.redact(documents)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_a_line_that_is_too_short_is_not_verified(monkeypatch):
+    """Texts that share a line of 49 words alone: all pairs of a list were verified, though no stretch of 50 words lies between shared ones."""
+    rng, t = np.random.default_rng(4), 46
+    verify, calls = windows.passages, []
+    monkeypatch.setattr(windows, "passages", lambda *x: calls.append(1) or verify(*x))
+    line = rng.integers(0, 1 << 30, 49)
+    words = [np.concatenate((rng.integers(0, 1 << 30, 25), line, rng.integers(0, 1 << 30, 25))) for _ in range(60)]
+    words.append(np.append(words[7][:76], rng.integers(0, 1 << 30, 20)))
+    tokens = windows._shingled([np.array(w, np.uint32).tobytes() for w in words])
+    ids, ones, given = np.arange(61), np.ones(61, int), []
+    got = windows.block_links(ids, ids, np.full(61, 47), ones, 0 * ones, tokens, True, t, 0.8, given)
+    assert got == [(7, 60)] and len(calls) == 1
+    (s, e, u, v, alike) = given[0]
+    assert (s, e, u, v) == verify(tokens[7], windows.Side(tokens[60]), t, 0.8)[0][:4] and s <= 47 < e and alike >= 0.8
+
+
+def test_may_share_lets_all_pairs_with_passages_through():
+    rng, t = np.random.default_rng(9), 46
+    ones, others = [], []
+    for k in range(400):  # runs of a word, lines and edits
+        a = np.repeat(rng.integers(0, 40, 20), rng.integers(1, 9, 20)) if k % 3 else rng.integers(0, 1 << 30, rng.integers(0, 120))
+        b = np.concatenate((rng.integers(0, 1 << 30, rng.integers(0, 30)), a))[: rng.integers(0, 130)]
+        b[rng.integers(0, len(b), rng.integers(0, 4)) if len(b) else []] = rng.integers(0, 1 << 30)
+        x = windows._shingled([w.astype(np.uint32).tobytes() for w in (a, b)])
+        ones, others = [*ones, x[0]], [*others, x[1]]
+    may = windows.may_share(ones, others, t, 0.8)
+    want = np.array([bool(windows.passages(x, windows.Side(y), t, 0.8)) for x, y in zip(ones, others, strict=True)])
+    assert 50 < want.sum() < 350 and not (want & ~may).any() and may.sum() < 1.2 * want.sum()
+
+
+def test_keys_of_one_row_are_dropped_across_batches(spark):
+    rng = np.random.default_rng(2)
+    keys = [*range(3000), *rng.integers(0, 600, 3000).tolist(), *[5000] * 70]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = windows.in_lists(spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key long, doc_id long")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert sorted(map(tuple, got)) == sorted((k, i) for i, k in enumerate(keys) if keys.count(k) > 1)
+
+
+def test_links_of_long_lists_that_the_hull_hides(spark, monkeypatch):
+    """Runs of words: the link shows around the place, while the hull of both texts has the runs of one too far off."""
+    monkeypatch.setattr(windows, "FEW", 1)
+    run = lambda *x: " ".join(" ".join([w] * n) for w, n in x)
+    other = lambda p: [(f"{p}{k}", 24) for k in range(4)]
+    docs = [run(*other("p"), ("b", 24), *other("q"), ("c", 24), *other("r")), run(*((w, 42) for w in ("x", "y", "b", "c", "z"))), run(*other("e"), ("b", 24), ("c", 24), *other("h"))]
+    out = windows.repeated_passages(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in out} == {(1, 2), (2, 1)}
+    for r in out:
+        a, b = (brute.shingles(" ".join(docs[r[k]].split()[r[s] : r[s] + r[n]]), 5) for k, s, n in (("doc_id", "start", "words"), ("other_id", "other_start", "other_words")))
+        assert len(a & b) / len(a | b) == pytest.approx(r["similarity"]) and r["similarity"] >= 0.8
