@@ -293,14 +293,13 @@ def laid(a: np.ndarray, other: Side, t: int, least: float) -> list[tuple[np.ndar
             used[k] = True
             links.append(k)
             k = int(before[k])
-        p, q, to = [], [], -1
-        for m in reversed(links):
-            x = np.arange(max(int(start[m]), to), int(end[m]))
-            p.append(x)
-            q.append(x + drift[m])
-            to = int(end[m])
-        if p and p[-1][-1] + 1 - p[0][0] >= t:
-            chains_.append((np.concatenate(p), np.concatenate(q)))
+        m = np.array(links[::-1], np.int64)
+        if len(m) and end[m[-1]] - start[m[0]] >= t:
+            x, to = start[m], end[m]
+            x[1:] = np.maximum(x[1:], to[:-1])  # a run begins behind the one before
+            size = to - x
+            p = np.repeat(to - np.cumsum(size), size) + np.arange(size.sum())
+            chains_.append((p, p + np.repeat(drift[m], size)))
     return chains_
 
 
@@ -342,35 +341,12 @@ def shares_of(similarity: float) -> list[float]:
     return [2 * similarity / (1 + similarity), 0.5 + similarity / (1 + similarity), 1 - 1e-9]
 
 
-def may_share(ones: list[np.ndarray], others: list[np.ndarray], t: int, similarity: float) -> np.ndarray:
-    """Whether passages() can give something, for many pairs of texts at once: a stretch of t or more that is in the other text to the first share."""
-    n, m = ([len(x) for x in y] for y in (ones, others))
-    if not sum(n) or not sum(m):
-        return np.zeros(len(ones), bool)
-    pair = mix(np.arange(1, len(ones) + 1).astype(np.uint64))  # sums with it are told apart by pair; a clash only lets one through
-    a, b = np.concatenate(ones) + np.repeat(pair, n), np.sort(np.concatenate(others) + np.repeat(pair, m))
-    order = np.argsort(a)
-    at = np.empty(len(a), np.int64)
-    at[order] = b.searchsorted(a[order])  # in order, as places near by are read then
-    same = b[np.minimum(at, len(b) - 1)] == a
-    ends = np.cumsum(n)
-    of = np.repeat(np.arange(len(n)), n)
-    s = np.concatenate(([0.0], np.cumsum(same - shares_of(similarity)[0])))
-    # a pair's sums lie below those of the pairs before, so that the least so far is the pair's own; a stretch lies between shared places
-    s = np.concatenate((s[:-1] - of * (2.0 * max(n) + 2), s[1:] - of * (2.0 * max(n) + 2)))
-    start, end = s[: len(a)], s[len(a) :]
-    level = np.concatenate(([0.0], end + of * (2.0 * max(n) + 2)))[ends - n]
-    start, end = start - level[of], end - level[of]
-    shared = np.flatnonzero(same)
-    some = np.flatnonzero(np.bincount(of[shared], minlength=len(n)))
-    first, last = np.full(len(n), len(a)), np.full(len(n), -1)
-    first[some], last[some] = shared[shared.searchsorted((ends - n)[some])], shared[shared.searchsorted(ends[some]) - 1]
-    at = np.arange(len(a))
-    low = np.minimum.accumulate(np.where(at >= first[of], start, np.inf))
-    ok = np.flatnonzero((end[t - 1 :] >= low[: len(a) - t + 1] - 1e-6) & (at[t - 1 :] <= last[of[t - 1 :]]) & (of[t - 1 :] == of[: len(a) - t + 1])) + t - 1
-    out = np.zeros(len(n), bool)
-    out[of[ok]] = True
-    return out
+def stretched(same: np.ndarray, t: int, share: float) -> bool:
+    """Whether a stretch of t or more that lies between true places is true to the share; same is true somewhere."""
+    n = len(same) - same[::-1].argmax()
+    s = np.zeros(n - same.argmax() + 1)
+    np.cumsum(share - same[same.argmax() : n], out=s[1:])
+    return len(s) > t and bool((s[t:] - np.maximum.accumulate(s[: len(s) - t])).min() <= 1e-6)
 
 
 def passages(a: np.ndarray, other: Side, t: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
@@ -382,7 +358,10 @@ def passages(a: np.ndarray, other: Side, t: int, similarity: float) -> list[tupl
     b, ranked = other.b, other.ranked
     shares = shares_of(similarity)
     out: list[tuple[int, int, int, int, float]] = []
-    if min(len(a), len(b)) < t * similarity or (ranked[np.minimum(ranked.searchsorted(a), len(b) - 1)] == a).sum() < t * shares[0] - 1:
+    if min(len(a), len(b)) < t * similarity:
+        return out
+    same = ranked[np.minimum(ranked.searchsorted(a), len(b) - 1)] == a
+    if same.sum() < t * shares[0] - 1 or not stretched(same, t, shares[0]):  # what a chain holds is less
         return out
     seen = np.zeros(len(a), bool), np.zeros(len(b), bool)
     for p, q in laid(a, other, t, t * shares[0] - 1):
@@ -393,10 +372,14 @@ def passages(a: np.ndarray, other: Side, t: int, similarity: float) -> list[tupl
             x, y, level = todo.pop()
             if y - x < t:
                 continue
-            same = np.zeros(y - x)
             i, j = p.searchsorted((x, y))
-            same[p[i:j] - x] = 1
-            s, e = longest(same, shares[level])
+            if j - i < t * shares[level] - 1e-6:
+                continue
+            s, e = 0, y - x
+            if j - i < y - x:
+                same = np.zeros(y - x)
+                same[p[i:j] - x] = 1
+                s, e = longest(same, shares[level])
             if e - s < t:
                 continue
             got = facing(a, b, p, q, x + s, x + e)
@@ -493,15 +476,13 @@ def verified(pairs: DataFrame, items: DataFrame, t: int, similarity: float) -> D
                 part = batch.slice(i, 256)
                 sides = [part.column(c).to_pylist() for c in ("xs", "ys")]
                 tokens = iter(_shingled([t for x, y in zip(*sides, strict=True) for t in (*x, *y)]))
-                todo = []
-                for pair, xs, ys in zip(zip(*(part.column(c).to_pylist() for c in ("a", "b", "x0", "y0")), strict=True), *sides, strict=True):
+                for a, b, x0, y0, xs, ys in zip(*(part.column(c).to_pylist() for c in ("a", "b", "x0", "y0")), *sides, strict=True):
                     own = [next(tokens) for _ in xs]
-                    todo += [(pair, x, y) for y in [next(tokens) for _ in ys] for x in own]
-                may = may_share([x for _, x, _ in todo], [y for *_, y in todo], t, similarity)
-                for (a, b, x0, y0), x, y in (todo[k] for k in np.flatnonzero(may).tolist()):
-                    for s, e, u, v, alike in passages(x, Side(y), t, similarity):
-                        p, q = (s + x0, e - s + extra), (u + y0, v - u + extra)
-                        out += [(a, *p, b, *q, alike), (b, *q, a, *p, alike)]
+                    for other in [Side(next(tokens)) for _ in ys]:
+                        for x in own:
+                            for s, e, u, v, alike in passages(x, other, t, similarity):
+                                p, q = (s + x0, e - s + extra), (u + y0, v - u + extra)
+                                out += [(a, *p, b, *q, alike), (b, *q, a, *p, alike)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.float64() if n == "similarity" else pa.int64()) for k, n in enumerate(names)], names)
 
     return checkpoint(both.mapInArrow(rows, PASSAGE))
@@ -595,6 +576,13 @@ def all_but_one(words: np.ndarray, place: np.ndarray, open_: np.ndarray, shared:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def once(key: np.ndarray, place: np.ndarray, open_: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each row of all_but_one() once: of a repeated word, the words left are the same wherever the edit is."""
+    row = mix(key + (4 * place + 2 * open_ + kind).astype(np.uint64) * np.uint64(_B))
+    at = np.unique(row, return_index=True)[1]
+    return key[at], place[at], open_[at], kind[at]
+
+
 def alike(parts: DataFrame, size: int) -> DataFrame:
     """(a, x, b, y): for each open passage of a part by all_but_one() one text that has it too.
 
@@ -613,7 +601,7 @@ def alike(parts: DataFrame, size: int) -> DataFrame:
         for b in batches:
             ids, got, held = [], [], 0
             for doc, base, text, place, open_, at in zip(*(b.column(c).to_pylist() for c in ("doc_id", "base", "words", "place", "open", "at")), strict=True):
-                found = all_but_one(np.frombuffer(text, np.uint32), np.array(place), np.array(open_), np.array(at), size)
+                found = once(*all_but_one(np.frombuffer(text, np.uint32), np.array(place), np.array(open_), np.array(at), size))
                 ids.append(doc)
                 got.append((found[0], found[1] + base, *found[2:]))
                 held += len(found[0])
@@ -850,7 +838,8 @@ def unconnected(place: DataFrame, parts: DataFrame, t: int, similarity: float) -
         columns = {"key": pa.array([key[0].as_py()] * len(i), pa.int64()), "one": form[i], "two": form[j], "a": a, "b": b, "similarity": similar} | {k: x.astype(np.int32) for k, x in ints.items()}
         return pa.table(columns).select([f.split()[0] for f in f"key long, one long, two long, {link}".split(", ")])
 
-    found = checkpoint(full.groupBy("key", "i", "j").applyInArrow(compare, f"key long, one long, two long, {link}"))
+    # few rows of many tasks
+    found = checkpoint(full.groupBy("key", "i", "j").applyInArrow(compare, f"key long, one long, two long, {link}")).coalesce(max(1, tasks(place.sparkSession) // 4))
     sides = found.selectExpr("key", "one as form", "struct(b, y, s, m, u, w, similarity) as other").union(
         found.selectExpr("key", "two as form", "struct(a as b, x as y, u as s, w as m, s as u, m as w, similarity) as other")
     )

@@ -255,18 +255,26 @@ def test_a_line_that_is_too_short_is_not_verified(monkeypatch):
     assert (s, e, u, v) == verify(tokens[7], windows.Side(tokens[60]), t, 0.8)[0][:4] and s <= 47 < e and alike >= 0.8
 
 
-def test_may_share_lets_all_pairs_with_passages_through():
-    rng, t = np.random.default_rng(9), 46
-    ones, others = [], []
-    for k in range(400):  # runs of a word, lines and edits
-        a = np.repeat(rng.integers(0, 40, 20), rng.integers(1, 9, 20)) if k % 3 else rng.integers(0, 1 << 30, rng.integers(0, 120))
-        b = np.concatenate((rng.integers(0, 1 << 30, rng.integers(0, 30)), a))[: rng.integers(0, 130)]
-        b[rng.integers(0, len(b), rng.integers(0, 4)) if len(b) else []] = rng.integers(0, 1 << 30)
-        x = windows._shingled([w.astype(np.uint32).tobytes() for w in (a, b)])
-        ones, others = [*ones, x[0]], [*others, x[1]]
-    may = windows.may_share(ones, others, t, 0.8)
-    want = np.array([bool(windows.passages(x, windows.Side(y), t, 0.8)) for x, y in zip(ones, others, strict=True)])
-    assert 50 < want.sum() < 350 and not (want & ~may).any() and may.sum() < 1.2 * want.sum()
+def test_stretches_between_true_places():
+    rng = np.random.default_rng(9)
+    seen = set()
+    for _ in range(500):
+        same = rng.random(rng.integers(1, 40)) < rng.choice((0.5, 0.8, 0.95))
+        same[rng.integers(0, len(same))] = True
+        at = np.flatnonzero(same)
+        want = any(same[x:y].mean() >= 0.8 - 1e-9 for x in range(at[0], at[-1] + 1) for y in range(x + 10, at[-1] + 2))
+        assert windows.stretched(same, 10, 0.8) == want
+        seen.add(want)
+    assert len(seen) == 2
+
+
+def test_digests_of_a_repeated_word_are_posted_once():
+    rng = np.random.default_rng(1)
+    for words in (np.repeat([5, 6], [60, 45]), rng.integers(0, 3, 105), rng.integers(0, 1 << 30, 105)):
+        all_ = windows.all_but_one(words.astype(np.uint32), np.array([40]), np.array([1]), np.arange(101), 50)
+        rows = list(zip(*(x.tolist() for x in windows.once(*all_)), strict=True))
+        assert set(rows) == set(zip(*(x.tolist() for x in all_), strict=True)) and len(rows) == len(set(rows))
+    assert len(windows.once(*windows.all_but_one(np.full(105, 5, np.uint32), np.array([40]), np.array([1]), np.arange(101), 50))[0]) < 200
 
 
 def test_keys_of_one_row_are_dropped_across_batches(spark):
